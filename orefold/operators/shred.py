@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 NODES = "node int, parent int, label string, ordinal int, kind string, scalar string"
 #: Payloads are shredded in groups of about this many characters, so that a batch of large ones stays small.
 CHUNK_CHARS = 1 << 21
-#: Keys that make an object a site or a claim, and the containers they are found in.
+#: Keys that make an object a proposal, a site or a claim.
+PROPOSAL_KEYS = frozenset({"proposal_id", "composition", "structure", "claimed_properties", "synthesis_hint", "generator_confidence", "rationale"})
 SITE_KEYS = frozenset({"element", "frac_coords", "occupancy", "oxidation_state", "label"})
 CLAIM_KEYS = frozenset({"name", "value", "unit", "uncertainty", "basis", "confidence"})
 NAMING_KEYS = frozenset({"name", "value", "unit"})
@@ -129,12 +130,11 @@ def _roles(n: Shredder) -> tuple[list[str], list[int], list[str | None]]:
         s = state[p]
         pos[i] = pos[p]
         mine = keys.get(i, frozenset())
-        if s == "root" and label == "proposals":
-            state[i] = "proposals"
-            if kind == "object" and "proposal_id" in mine:
+        if s == "root" and label == "proposals" or s == "proposals":
+            if kind == "object" and (mine & PROPOSAL_KEYS or not mine and s == "proposals"):
                 state[i], role[i], pos[i], seen = "proposal", "proposal", seen, seen + 1
-        elif s == "proposals" and kind == "object":
-            state[i], role[i], pos[i], seen = "proposal", "proposal", seen, seen + 1
+            elif kind in ("object", "array"):
+                state[i] = "proposals"
         elif s == "proposal" and label == "structure":
             state[i] = "structure"
         elif s == "proposal" and label == "claimed_properties":
