@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orefold.llm import bpe, history, leak, merkle
+from orefold.llm import bpe, history, leak, level, merkle
 from orefold.session import tune
 from orefold.sources.tables import table
 
@@ -36,5 +37,15 @@ def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return leak.cleaned(docs, "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_distinct, p6_found, p7_ids, p8_found, p8_cleaned)}
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(tune(spark), folder, "documents", "doc_id", "text")
+    labels = table(spark, folder, "reading_labels", "doc_id", "reading_level")
+    return level.levels(docs, "doc_id", "text", level.train(docs, "doc_id", "text", labels, "doc_id", "reading_level"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_levels(spark, folder).where(F.col("level") >= level.HARD).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_distinct, p6_found, p7_ids, p8_found, p8_cleaned, p9_found, p9_levels)}
 SQL: dict[str, str] = {}
