@@ -9,3 +9,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """One table of the folder; with columns, only those are read."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def evened(df: DataFrame) -> DataFrame:
+    """Rows of a table that lies in fewer files than there are cores, dealt out evenly before costly Python.
+
+    A table of many files is returned as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
