@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ _ABBREVIATION = re.compile(r"\b(e\.g|i\.e|cf|ca|vs|fig|no|approx|etc|resp|dr|eq|
 _LIST = re.compile(r"^\s*(?:[-*•>|]+|\(?\d{1,3}[.)]|[a-z]\))\s+", re.M)
 _SPLIT = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|\n\s*\n|\n")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_APART = re.compile(r"(?<![\w])[^\W\d_]+(?:['’][^\W\d_]+)?(?![\w])")
+_DIGIT = re.compile(r"\d")
 _PROSE = re.compile(r"^[(\"'“‘\[]*[^\W\d_]+(?:[-'’][^\W\d_]+)*[)\"'”’\]]*[.,;:!?…]*$")
 _BULLET = re.compile(r"^(?:[-*•>|]+|\(?\d{1,3}[.)])$")
 _VOWELS = re.compile(r"[aeiouy]+")
@@ -69,22 +72,32 @@ def sentences(text: str) -> list[str]:
     return [s for s in (p.strip() for p in _SPLIT.split(t)) if s]
 
 
+@lru_cache(maxsize=1 << 16)
+def _word(word: str) -> tuple[int, int, bool, bool]:
+    """Letters, syllables, whether it has a Latinate ending, whether it opens a clause; of a lower-cased word."""
+    return len(word), max(1, len(_VOWELS.findall(word))), len(word) > 5 and _LATINATE.search(word) is not None, word in CLAUSE_WORDS
+
+
+@lru_cache(maxsize=1 << 16)
+def _is_prose(token: str) -> bool:
+    return _PROSE.match(token) is not None
+
+
 def features(sentence: str) -> list[float] | None:
-    """Features of one sentence, without regard to letter case; None for fewer than three words."""
-    words = [w.lower() for w in _WORD.findall(sentence)]
-    # Formulas and codes are no words of the language: letters that touch digits are left out.
-    if re.search(r"\d", sentence):
-        words = [w.lower() for w in re.findall(r"(?<![\w])[^\W\d_]+(?:['’][^\W\d_]+)?(?![\w])", sentence)]
-    n = len(words)
+    """Features of one sentence, without regard to letter case; None for fewer than three words.
+
+    Formulas and codes are no words of the language: letters that touch digits are left out."""
+    stats = [_word(w) for w in (_APART if _DIGIT.search(sentence) else _WORD).findall(sentence.lower())]
+    n = len(stats)
     if n < 3:
         return None
-    sizes = [len(w) for w in words]
-    length, letters = math.log(n), sum(sizes) / n
-    long = sum(s >= 7 for s in sizes) / n
-    clauses = sum(w in CLAUSE_WORDS for w in words)
+    size = sum(s[0] for s in stats)
+    length, letters = math.log(n), size / n
+    long = sum(s[0] >= 7 for s in stats) / n
+    clauses = sum(s[3] for s in stats)
     return [
-        length, length * length, letters, long, sum(s >= 11 for s in sizes) / n, sum(max(1, len(_VOWELS.findall(w))) for w in words) / n,
-        sum(bool(_LATINATE.search(w)) for w in words if len(w) > 5) / n, math.log1p(clauses), math.log1p(sentence.count(",") + sentence.count(";")), sum(s <= 4 for s in sizes) / n,
+        length, length * length, letters, long, sum(s[0] >= 11 for s in stats) / n, sum(s[1] for s in stats) / n,
+        sum(s[2] for s in stats) / n, math.log1p(clauses), math.log1p(sentence.count(",") + sentence.count(";")), sum(s[0] <= 4 for s in stats) / n,
         length * letters, length * long, clauses / n, letters * letters,
     ]
 
@@ -99,7 +112,7 @@ def is_english_prose(text: str | None) -> bool:
     if len(words) < LEAST_WORDS:
         return False
     body = [t for t in tokens if not _BULLET.match(t)]
-    if not body or sum(bool(_PROSE.match(t)) for t in body) < PROSE_SHARE * len(body):
+    if not body or sum(map(_is_prose, body)) < PROSE_SHARE * len(body):
         return False
     count = dict.fromkeys(FUNCTION_WORDS, 0)
     plain = 0

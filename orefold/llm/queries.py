@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from orefold.llm import bpe, history, leak, level, merkle
 from orefold.session import tune
-from orefold.sources.tables import table
+from orefold.sources.tables import evened, table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return merkle.copies(table(tune(spark), folder, "corpus_entries", "entry_id", "entry_text"), "entry_id", "entry_text")
+    return merkle.copies(evened(table(tune(spark), folder, "corpus_entries", "entry_id", "entry_text")), "entry_id", "entry_text")
 
 
 def p2_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    return merkle.distinct_records(table(tune(spark), folder, "corpus_entries", "entry_id", "entry_text"), "entry_id", "entry_text")
+    return merkle.distinct_records(evened(table(tune(spark), folder, "corpus_entries", "entry_id", "entry_text")), "entry_id", "entry_text")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,21 +24,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode(table(tune(spark), folder, "documents", "doc_id", "text"), "doc_id", "text", f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode(evened(table(tune(spark), folder, "documents", "doc_id", "text")), "doc_id", "text", f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(tune(spark), folder, "documents", "doc_id", "text")
+    docs = evened(table(tune(spark), folder, "documents", "doc_id", "text"))
     return leak.leaks(docs, "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
 
 def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(tune(spark), folder, "documents", "doc_id", "text")
+    docs = evened(table(tune(spark), folder, "documents", "doc_id", "text"))
     return leak.cleaned(docs, "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(tune(spark), folder, "documents", "doc_id", "text")
+    docs = evened(table(tune(spark), folder, "documents", "doc_id", "text"))
     labels = table(spark, folder, "reading_labels", "doc_id", "reading_level")
     return level.levels(docs, "doc_id", "text", level.train(docs, "doc_id", "text", labels, "doc_id", "reading_level"))
 
