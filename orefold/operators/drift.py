@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orefold.session import cut
+
 LEAF = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("path", "kind", "content")]))
 
 
@@ -75,8 +77,8 @@ def catalogue(runs: DataFrame, producer: str, seq: str, payload: str) -> DataFra
     """(producer, file_seq, path, kind): the footer metadata of each file, exploded and made distinct."""
     rows = runs.where(F.col(producer).isNotNull() & F.col(seq).isNotNull())
     entries = rows.select(F.col(producer).alias("producer"), F.col(seq).alias("file_seq"), F.explode(_footer(F.col(payload))).alias("e")).distinct()
-    cut = F.locate("\t", F.col("e"))
-    return entries.select("producer", "file_seq", F.substr(F.col("e"), cut + 1).alias("path"), F.substr(F.col("e"), F.lit(1), cut - 1).alias("kind"))
+    tab = F.locate("\t", F.col("e"))
+    return entries.select("producer", "file_seq", F.substr(F.col("e"), tab + 1).alias("path"), F.substr(F.col("e"), F.lit(1), tab - 1).alias("kind"))
 
 
 def files_of(runs: DataFrame, producer: str, seq: str) -> DataFrame:
@@ -118,7 +120,8 @@ def changes(runs: DataFrame, producer: str = "producer", seq: str = "file_seq",
     A file whose rows hold no readable value has no path. Rows without producer or file_seq belong to no
     file; a null or broken payload adds nothing; an empty table gives no rows.
     """
-    entries, files = catalogue(runs, producer, seq, payload), files_of(runs, producer, seq)
+    entries = cut(catalogue(runs, producer, seq, payload))
+    files = cut(files_of(runs, producer, seq))
     spans = lifespans(entries, files)
     at = ["producer", "file_seq", "before", "path"]
     edges = _edges(spans).groupBy(*at).agg(F.count("came").alias("came"), F.count("went").alias("went"))
@@ -128,7 +131,8 @@ def changes(runs: DataFrame, producer: str = "producer", seq: str = "file_seq",
     old = here.select("producer", F.col("file_seq").alias("before"), "path", F.col("n").alias("n_old"))
     moved = edges.join(now, ["producer", "file_seq", "path"], "left").join(old, ["producer", "before", "path"], "left")
     moved = moved.select(*at, F.when(F.col("n_old").isNull(), F.lit("added")).when(F.col("n_now").isNull(), F.lit("removed")).otherwise(F.lit("retyped")).alias("what"))
-    renamed = _renames(runs, moved.where(F.col("what") != "retyped"), producer, seq, payload)
+    moved = cut(moved)
+    renamed = cut(_renames(runs, moved.where(F.col("what") != "retyped"), producer, seq, payload))
     gone = renamed.select("producer", "file_seq", F.col("old_path").alias("path"), F.lit("removed").alias("what")).distinct()
     come = renamed.select("producer", "file_seq", F.col("new_path").alias("path"), F.lit("added").alias("what")).distinct()
     single = moved.join(gone.unionByName(come), ["producer", "file_seq", "path", "what"], "left_anti")
