@@ -23,7 +23,7 @@ def strip_invisible(text: Column) -> Column:
 def fold_separators(text: Column) -> Column:
     """Adduct dots become *, dashes -, digits of other scripts plain, blanks nothing."""
     folded = F.translate(text, "·•‧⋅・.−–—₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹", "******---01234567890123456789")
-    return F.regexp_replace(folded, r"\s+", "")
+    return F.regexp_replace(folded, r"[ \t\n\r\f\x0B]+", "")
 
 
 def is_ascii(text: Column) -> Column:
@@ -47,7 +47,7 @@ def sha256(text: Column) -> Column:
 
 def fingerprint(code: Column, pointer: Column, observed: Column) -> Column:
     """Identity of a finding wherever it occurs: code, pointer and observed value, not record or run."""
-    return sha256(F.concat_ws("\u001f", code, pointer, F.coalesce(observed, F.lit("\u0000"))))
+    return sha256(F.concat_ws("\u001f", code, pointer, F.coalesce(observed, F.lit("\u2400"))))
 
 
 def is_naive_timestamp(text: Column) -> Column:

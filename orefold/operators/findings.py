@@ -38,8 +38,10 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CODES, "code string, phase string, default_level string, gate boolean, unverifiable boolean")
 
 
-def with_phase(findings: DataFrame) -> DataFrame:
-    """Findings with phase, gate and unverifiable of their code; an unknown code has phase meta."""
-    t = F.broadcast(taxonomy(findings.sparkSession).select("code", "phase", "gate", "unverifiable"))
+def with_phase(findings: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Findings with phase, gate and unverifiable of their code; an unknown code has phase meta.
+
+    codes is a table of codes, whose number is fixed; the own one where it is not given."""
+    t = F.broadcast((taxonomy(findings.sparkSession) if codes is None else codes).select("code", "phase", "gate", "unverifiable"))
     out = findings.join(t, "code", "left")
     return out.withColumns({"phase": F.coalesce("phase", F.lit("meta")), "gate": F.coalesce("gate", F.lit(False)), "unverifiable": F.coalesce("unverifiable", F.lit(False))})

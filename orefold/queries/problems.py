@@ -59,4 +59,34 @@ def p5_common(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_casts, p3_found, p3_loaded, p4_found, p4_proposals, p4_nodes, p5_found, p5_common)}
-SQL: dict[str, str] = {}
+_NUMBER = r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *\z"
+_FIELDS = r"""SELECT line_id, raw_line, regexp_extract_all(',' || raw_line, ',("[^"]*(?:""[^"]*)*"|[^",]*)', 1) AS f FROM claim_lines"""
+
+
+def _finite(v: str) -> str:
+    return f"(regexp_matches({v}, '{_NUMBER}') AND coalesce(abs(TRY_CAST(trim({v}) AS DOUBLE)) < 'inf'::DOUBLE, false))"
+
+
+def _field(i: int) -> str:
+    return f"CASE WHEN f[{i}] LIKE '\"%' THEN replace(substring(f[{i}], 2, length(f[{i}]) - 2), '\"\"', '\"') ELSE f[{i}] END"
+
+
+SQL: dict[str, str] = {
+    "p1_found": """WITH leaf AS (SELECT producer, file_seq, replace(substring(t.fullkey, 3), '"', '') AS path,
+          CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+          CASE WHEN t.type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(CAST(t.atom AS VARCHAR)::DOUBLE AS VARCHAR) ELSE CAST(t.value AS VARCHAR) END AS v
+        FROM run_files r, json_tree(r.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%'),
+      d AS (SELECT DISTINCT * FROM leaf), k AS (SELECT producer, file_seq, path, list_sort(list(DISTINCT kind)) AS kinds FROM d GROUP BY ALL),
+      files AS (SELECT producer, file_seq, lag(file_seq) OVER (PARTITION BY producer ORDER BY file_seq) AS prev FROM (SELECT DISTINCT producer, file_seq FROM run_files)),
+      now AS (SELECT k.*, prev FROM k JOIN files USING (producer, file_seq) WHERE prev IS NOT NULL), old AS (SELECT f.producer, f.file_seq, k.path, k.kinds, f.prev FROM files f JOIN k ON k.producer = f.producer AND k.file_seq = f.prev),
+      j AS (SELECT producer, file_seq, path, now.kinds AS a, old.kinds AS b FROM now FULL OUTER JOIN old USING (producer, file_seq, path)),
+      come AS (SELECT producer, file_seq, path FROM j WHERE b IS NULL), gone AS (SELECT producer, file_seq, path FROM j WHERE a IS NULL),
+      ren AS (SELECT DISTINCT g.producer, g.file_seq, g.path AS old_path, c.path AS new_path FROM gone g JOIN come c USING (producer, file_seq) JOIN files f USING (producer, file_seq)
+        JOIN d x ON x.producer = g.producer AND x.file_seq = f.prev AND x.path = g.path JOIN d y ON y.producer = g.producer AND y.file_seq = g.file_seq AND y.path = c.path AND y.kind = x.kind AND y.v = x.v)
+      SELECT producer, file_seq, 'renamed' AS change_kind, old_path, new_path FROM ren
+      UNION ALL SELECT producer, file_seq, 'removed', path, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.producer = g.producer AND r.file_seq = g.file_seq AND r.old_path = g.path)
+      UNION ALL SELECT producer, file_seq, 'added', '', path FROM come c WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.producer = c.producer AND r.file_seq = c.file_seq AND r.new_path = c.path)
+      UNION ALL SELECT producer, file_seq, 'retyped', path, path FROM j WHERE a <> b""",
+    "p3_found": f"""WITH p AS ({_FIELDS}), q AS (SELECT line_id, CASE WHEN raw_line IS NULL OR coalesce(list_sum(list_transform(f, lambda x: length(x) + 1)), 0) <> length(raw_line) + 1 THEN 'quoting' WHEN len(f) <> 9 THEN 'column_count' END AS why, {_field(3)} AS v, {_field(7)} AS t FROM p),
+      r AS (SELECT line_id, coalesce(why, CASE WHEN NOT {_finite('v')} THEN 'value' WHEN NOT ({_finite('t')} OR regexp_full_match(t, '\\s*')) THEN 'temperature' END) AS reason FROM q) SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+}
