@@ -48,4 +48,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_distinct, p6_found, p7_ids, p8_found, p8_cleaned, p9_found, p9_levels)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p8_found": r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL), ig AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 8)) AS s FROM i)),
+      d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), dg AS (SELECT doc_id, array_to_string(w[s:s + 9], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 8)) AS s FROM d))
+      SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
