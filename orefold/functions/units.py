@@ -194,7 +194,7 @@ def noted_temperature_unit(text: str) -> str | None:
     for sentence in _SENTENCE.split(text):
         s = sentence.strip()
         if m := re.search(r"\bbut\b.*\b(?:here|given|recorded|logged)\b", s, re.I):
-            s = m[0]
+            s = s[m.start() :]
         if _AGAINST.search(s):
             continue
         for m in _DEGREES.finditer(s):

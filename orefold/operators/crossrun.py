@@ -67,9 +67,10 @@ def recompute(wanted: DataFrame, folder: str, key: str, compute) -> DataFrame:
 
 def differences(recorded: DataFrame, current: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
     """(path, change, recorded, current): paths added, removed or changed between two flattened documents."""
-    a, b = recorded.select(path, F.col(value).alias("recorded")), current.select(path, F.col(value).alias("current"))
+    a = recorded.select(path, F.col(value).alias("recorded"), F.lit(True).alias("_a"))
+    b = current.select(path, F.col(value).alias("current"), F.lit(True).alias("_b"))
     j = a.join(b, path, "full_outer")
-    change = F.when(F.col("recorded").isNull(), "added").when(F.col("current").isNull(), "removed").when(F.col("recorded") != F.col("current"), "changed")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("recorded").eqNullSafe(F.col("current")), "changed")
     return j.select(path, change.alias("change"), "recorded", "current").where(F.col("change").isNotNull())
 
 

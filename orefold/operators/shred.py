@@ -231,6 +231,8 @@ def children(df: DataFrame, key: str, payload: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, nodes in _chunks(batches):
             e = _entities(nodes)
+            if not e["doc"]:
+                continue
             yield pd.DataFrame({"k": [keys[d] for d in e["doc"]], "proposal_pos": e["pos"], "child": e["child"], "child_pos": e["at"], "label": e["label"], "x4": e["x"], "y4": e["y"], "z4": e["z"]})
 
     kind = df.schema[key].dataType.simpleString()
@@ -257,7 +259,8 @@ def proposals(df: DataFrame, key: str, payload: str) -> DataFrame:
                     comp[i] = p
                 elif p in comp and label[i] == "formula":
                     rows[comp[p]][3] = nodes.scalar[i]
-            yield pd.DataFrame([*rows.values()], columns=["k", "proposal_pos", "proposal_id", "formula"])
+            if rows:
+                yield pd.DataFrame([*rows.values()], columns=["k", "proposal_pos", "proposal_id", "formula"])
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(F.col(key).alias("k"), F.col(payload).alias("p")).mapInPandas(run, f"k {kind}, proposal_pos int, proposal_id string, formula string")

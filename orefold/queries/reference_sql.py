@@ -191,7 +191,7 @@ SQL: dict[str, str] = {
     "hint_kelvin": f"WITH h AS (SELECT proposal_no, synthesis_hint.temperature AS t, synthesis_hint.temperature_unit AS u FROM proposals WHERE synthesis_hint.temperature IS NOT NULL) SELECT proposal_no, round({_KELVIN}, 4) AS kelvin FROM h",
     "oxygen_potential": f"WITH h AS (SELECT proposal_no, synthesis_hint.temperature AS k, synthesis_hint.atmosphere AS gas FROM proposals WHERE synthesis_hint.temperature > 0 AND synthesis_hint.atmosphere IS NOT NULL) SELECT proposal_no, round({_MU}, 6) AS potential FROM h",
     "atmosphere_survival": f"""WITH {_PHASES}, {_FC}, h AS (SELECT proposal_no, synthesis_hint.temperature AS t, synthesis_hint.temperature_unit AS u, synthesis_hint.atmosphere AS gas0 FROM proposals), hk AS (SELECT proposal_no, gas0, {_KELVIN} AS k0 FROM h),
-        g AS (SELECT proposal_no, CASE WHEN k0 > 0 AND k0 < 6000 THEN k0 ELSE 1273.15 END AS k, unnest(list_distinct(list_filter(['air', 'H2', CASE WHEN gas0 <> 'unknown' THEN gas0 END], lambda x: x IS NOT NULL))) AS gas FROM hk)
+        g AS (SELECT proposal_no, CASE WHEN k0 > 0 AND k0 < 6000 THEN k0 ELSE 1273.15 END AS k, unnest(list_distinct(list_filter(['air', 'H2', CASE WHEN gas0 <> 'unknown' THEN gas0 END], lambda x: x IS NOT NULL))) AS gas FROM hk),
         j AS (SELECT i.proposal_no, gas, g.k AS k, fc.n / i.g AS o, ph.ev, ph.atoms FROM ident i JOIN phases ph USING (key) JOIN fc ON fc.proposal_no = i.proposal_no AND fc.sym = 'O' JOIN g ON g.proposal_no = i.proposal_no)
         SELECT proposal_no, gas AS atmosphere, round((o * {_MU} - ev) / atoms, 6) AS force FROM j WHERE {_MU} IS NOT NULL""",
     "hull_binary_energy": f"""WITH {_PHASES}, {_PHASE_COUNTS}, {_FC}, two AS (SELECT proposal_no, els[1] AS e1, els[2] AS e2 FROM ident WHERE k = 2), x AS (SELECT two.*, a.n / (a.n + b.n) AS x FROM two JOIN fc a ON a.proposal_no = two.proposal_no AND a.sym = e1 JOIN fc b ON b.proposal_no = two.proposal_no AND b.sym = e2),
