@@ -25,6 +25,7 @@ class Checked:
     screened: DataFrame
     claims: DataFrame
     answers: DataFrame
+    units: DataFrame | None = None
 
 
 def parsed(docs: DataFrame) -> DataFrame:
@@ -110,6 +111,19 @@ def preference_pairs(repaired: DataFrame) -> DataFrame:
     return repaired.where(F.col("improves") & (F.col("status_before") == "rejected")).select(KEY, "repair_id", F.col("reward_before").alias("rejected_reward"), F.col("reward_after").alias("chosen_reward"), "targets")
 
 
+def check_batches(batches: DataFrame, config: dict) -> tuple[Checked | None, DataFrame, DataFrame]:
+    """(checked, admitted, all proposals with their decision) of parsed envelopes; checked is None if none is
+    admitted. Rejected envelopes take no part."""
+    rows = cut(admission.admit(env.proposals_of(batches), "proposal_id", ["path", "pos"], F.size("issues") == 0))
+    docs = rows.where(F.col("decision") == "admitted").drop("decision", "issues")
+    if docs.isEmpty():
+        return None, docs, rows
+    units = cut(claims_audit.first_units(claims_audit.long_claims(parsed(docs), KEY, KEY), KEY))
+    checked = check(docs, config, units=units)
+    checked.units = units
+    return checked, docs, rows
+
+
 @dataclass
 class Run:
     run_id: str
@@ -132,17 +146,17 @@ def run(spark: SparkSession, path: str, *, config: dict | None = None, seed: int
     run_id = "run-" + _hash("|".join([digest(config), str(seed), logical_time, shas or ""]))[:24]
     if not batches.where(F.col("code").isNotNull()).isEmpty():
         return Run(run_id, 3, batches)
-    rows = cut(admission.admit(env.proposals_of(batches), "proposal_id", ["path", "pos"], F.size("issues") == 0))
-    docs = rows.where(F.col("decision") == "admitted").drop("decision", "issues")
+    checked, docs, rows = check_batches(batches, config)
     aside = rows.where(F.col("decision") != "admitted").select("key", "proposal_id", F.when(F.col("decision") == "duplicate", "FMT.ID.DUPLICATE_PROPOSAL_ID").otherwise(F.col("issues")[0]["code"]).alias("violation_code"))
-    units = cut(claims_audit.first_units(claims_audit.long_claims(parsed(docs), KEY, KEY), KEY))
-    checked = check(docs, config, units=units)
+    if checked is None:
+        c = admission.counts(rows).first().asDict()
+        return Run(run_id, 4, batches, docs, aside, counts=c)
     checked.verdicts = cut(checked.verdicts.withColumn("run_id", F.lit(run_id)).withColumn("record_id", F.concat(F.lit(run_id + ":"), slug(F.col("proposal_id")))))
     hits = _hits(batches, rows, checked)
     c = admission.counts(rows).first().asDict()
     c |= {r["status"]: r["n"] for r in checked.verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     away = not checked.answers.where(F.col("status") == "unavailable").isEmpty()
-    repaired = reverified(checked, docs, config, units) if repairs else None
+    repaired = reverified(checked, docs, config, checked.units) if repairs else None
     return Run(run_id, 4 if away or c["quarantined"] else 0, batches, docs, aside, checked, repaired, admission.ledger(hits, admission.rules(spark)), c)
 
 

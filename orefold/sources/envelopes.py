@@ -116,10 +116,14 @@ _RESULT = T.StructType(
 
 
 def envelopes(spark: SparkSession, path: str, limits: dict) -> DataFrame:
-    """(path, length, digest, code, rule, detail, batch_id, proposals, naive): one row per *.json file.
+    """(path, length, digest, code, rule, detail, batch_id, proposals, naive): one row per *.json file of path."""
+    return parse_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path), limits)
+
+
+def parse_files(files: DataFrame, limits: dict) -> DataFrame:
+    """envelopes() of (path, length, content) rows.
 
     Files over the byte budget are rejected by their length alone; their content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
 
     @F.pandas_udf(_RESULT)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
