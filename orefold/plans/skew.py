@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orefold.session import cut
+
 #: A key is hot if it holds at least one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 #: A hot key longer than this is left to the shuffled join, so the broadcast is at most HOT_SHARE * this.
@@ -37,11 +39,15 @@ def dictionary_join(
     are spread over the shuffle by the column spread; all other keys meet in a shuffled join, where no key
     is hot any more. keep restricts the shuffled part of the dictionary to the entries of interest; other
     rows keep nulls. Rows with a null key match nothing. The dictionary's n is not returned.
+
+    The entries that are hot or kept are written into the shared folder first, so the dictionary is made
+    once although both joins read it.
     """
     attrs = [c for c in dictionary.columns if c not in keys and c != n]
     is_hot = (F.col(n) * HOT_SHARE >= F.lit(total)) & (key_bytes(keys) <= HOT_BYTES)
+    dictionary = cut(dictionary if keep is None else dictionary.where(is_hot | keep))
     hot = dictionary.where(is_hot)
-    rest = dictionary.where(~is_hot if keep is None else (~is_hot & keep))
+    rest = dictionary.where(~is_hot)
     hot = hot.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"_h_{a}") for a in attrs], F.lit(True).alias("_hot"))
     rest = rest.select(*[F.col(k).alias(f"_ck{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"_c_{a}") for a in attrs], F.lit(0).cast("int").alias("_cs"))
     on_hot = [F.col(k) == F.col(f"_hk{i}") for i, k in enumerate(keys)]
