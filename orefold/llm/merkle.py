@@ -9,27 +9,28 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from decimal import Decimal
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orefold.plans.skew import dictionary_join
 
 DIGEST_BYTES = 16
-_POINT = re.compile(r"(?<=\d)\.(?=\d)")
+_STRAY_POINT = regex.compile(r"(?<!\d)\.|\.(?!\d)")
+_ASCII_DRESS = re.compile(r"[^0-9A-Za-z.]+")
+_DRESS = regex.compile(r"(?V1)[\p{P}\p{S}\p{Z}\p{C}--[.]]+")
 _PLAIN = re.compile(r"[a-z0-9]*\Z")
 
 
-@lru_cache(maxsize=4096)
-def _counts(ch: str) -> bool:
-    """Whether a character is content: not blank, punctuation, symbol, control or format character."""
-    return unicodedata.category(ch)[0] not in "PSZC"
+def _normal(text: str) -> str:
+    if "." in text:
+        text = _STRAY_POINT.sub("", text)
+    return _ASCII_DRESS.sub("", text).lower() if text.isascii() else _DRESS.sub("", text).casefold()
 
 
 @lru_cache(maxsize=1 << 16)
@@ -37,14 +38,9 @@ def _normal_short(text: str) -> str:
     return _normal(text)
 
 
-def _normal(text: str) -> str:
-    points = {m.start() for m in _POINT.finditer(text)} if "." in text else ()
-    kept = "".join(ch for i, ch in enumerate(text) if i in points or _counts(ch))
-    return kept.casefold()
-
-
 def normal(text: str) -> str:
-    """The text without case, blanks, punctuation and symbols; a point between two digits stays."""
+    """The text without case, blanks, punctuation, symbols, control and format characters; a point between two
+    digits stays."""
     if _PLAIN.match(text):
         return text
     return _normal_short(text) if len(text) <= 128 else _normal(text)
@@ -61,11 +57,13 @@ def _number(value: int | Decimal) -> str:
 
 
 def _hash(tag: bytes, *parts: bytes) -> bytes:
-    h = hashlib.blake2b(tag, digest_size=DIGEST_BYTES)
-    for p in parts:
-        h.update(len(p).to_bytes(4, "big"))
-        h.update(p)
-    return h.digest()
+    """Digest of tagged parts, each behind its length."""
+    return hashlib.blake2b(tag + b"".join([x for p in parts for x in (len(p).to_bytes(4, "big"), p)]), digest_size=DIGEST_BYTES).digest()
+
+
+@lru_cache(maxsize=1 << 16)
+def _string_leaf(text: str) -> tuple[bytes, str]:
+    return _hash(b"s", text.encode("utf-8", "surrogatepass")), json.dumps(text)
 
 
 class _Pairs(list):
@@ -82,7 +80,7 @@ def merkle(value: object) -> tuple[bytes, str]:
         return _hash(b"a", *(d for d, _ in items)), "[" + ",".join(c for _, c in items) + "]"
     if isinstance(value, str):
         text = normal(value)
-        return _hash(b"s", text.encode("utf-8", "surrogatepass")), json.dumps(text)
+        return _string_leaf(text) if len(text) <= 128 else _string_leaf.__wrapped__(text)
     if value is None or isinstance(value, bool):
         text = json.dumps(value)
         return _hash(b"c", text.encode()), text
@@ -103,19 +101,19 @@ def fingerprint(text: str | None) -> tuple[bytes | None, str | None]:
         return merkle(text) if leaf else (None, None)
 
 
-_SCHEMA = T.StructType([T.StructField("root", T.BinaryType()), T.StructField("form", T.StringType())])
-
-
-@F.pandas_udf(_SCHEMA)
-def _fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([fingerprint(t) for t in s], columns=["root", "form"])
-
-
 def rooted(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, root, form) of every record that has a digest."""
-    r = df.where(F.col(text).isNotNull()).select(key, _fingerprint(F.col(text)).alias("_r"))
-    return r.select(key, F.col("_r.root").alias("root"), F.col("_r.form").alias("form")).where(F.col("root").isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, *fingerprint(t)) for k, t in zip(pdf["k"], pdf["t"])]
+            rows = [r for r in rows if r[1] is not None]
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "root", "form"])
+
+    kind = df.schema[key].dataType.simpleString()
+    records = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return records.mapInPandas(run, f"k {kind}, root binary, form string").withColumnRenamed("k", key)
 
 
 def groups(records: DataFrame, key: str) -> DataFrame:
