@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Graded documents the ranker is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_DOCS = 4000
@@ -186,25 +185,24 @@ def fit(docs: list[np.ndarray], levels: np.ndarray, *, seed: int = 7, steps: int
     return Ranker(mean, scale, w, knots, steps_)
 
 
-_ROWS = T.ArrayType(T.ArrayType(T.DoubleType()))
-
-
-@F.pandas_udf(_ROWS)
-def _document_features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield pd.Series([None if (r := document_features(t)) is None else r.tolist() for t in s], dtype=object)
-
-
 def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_doc: str, level: str, *, sample: int = SAMPLE_DOCS) -> Ranker | None:
     """The ranker of the graded documents; None if no two of them differ in level.
 
     A document's grade is the median of its readers' grades. At most `sample` graded documents are used."""
     graded = labels.where(F.col(level).isNotNull() & F.col(label_doc).isNotNull()).groupBy(F.col(label_doc).alias("_d")).agg(F.expr(f"percentile({level}, 0.5)").alias("_y"))
     chosen = graded.orderBy(F.xxhash64("_d"), "_d").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_d")
-    rows = rows.select("_d", "_y", _document_features("_t").alias("_x")).where(F.col("_x").isNotNull()).orderBy("_d").collect()
-    y = np.array([r["_y"] for r in rows], float)
-    return fit([np.array(r["_x"]) for r in rows], y) if len({*y}) > 1 else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(d, y, x.ravel().tolist()) for d, y, x in zip(pdf["d"], pdf["y"], map(document_features, pdf["t"])) if x is not None]
+            if found:
+                yield pd.DataFrame(found, columns=["d", "y", "x"])
+
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen.select(F.col("_d").alias("d"), F.col("_y").alias("y"))), "d")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    graded_docs = sorted(rows.select("d", "y", "t").mapInPandas(run, f"d {kind}, y double, x array<double>").collect())
+    y = np.array([r.y for r in graded_docs], float)
+    return fit([np.array(r.x).reshape(-1, len(FEATURES)) for r in graded_docs], y) if len({*y}) > 1 else None
 
 
 def levels(docs: DataFrame, doc_id: str, text: str, ranker: Ranker | None) -> DataFrame:
