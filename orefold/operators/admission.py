@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orefold.plans.skew import dictionary_join
 from orefold.reference.taxonomy import RULES
 
 
-def admit(df: DataFrame, id_col: str, order: list[str], conforming: Column) -> DataFrame:
+def admit(df: DataFrame, id_col: str, order: list[str], conforming: Column, *, total: int | None = None) -> DataFrame:
     """df with decision: duplicate if an earlier conforming row has the id, else nonconforming or admitted.
 
-    The earliest conforming position of each id is found by a partial aggregate and joined back, so an id
-    that repeats very often is not sorted in one task. Rows with a null id are never duplicates."""
+    The earliest conforming position of each id is found by a partial aggregate and joined back with hot ids
+    apart, so an id that repeats very often is neither sorted nor joined in one task. Rows with a null id
+    are never duplicates; a null condition does not conform."""
     at = F.struct(*order)
-    firsts = df.where(F.coalesce(conforming, F.lit(False)) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(at).alias("_first"))
-    out = df.join(firsts, id_col, "left")
+    ok = F.coalesce(conforming, F.lit(False))
+    firsts = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.when(ok, at)).alias("_first"), F.count(F.lit(1)).alias("n"))
+    out = dictionary_join(df, firsts, [id_col], spread=F.xxhash64(*order), total=df.count() if total is None else total, keep=F.col("_first").isNotNull())
     late = F.col("_first").isNotNull() & (F.col("_first") < at)
-    decision = F.when(late, "duplicate").when(~F.coalesce(conforming, F.lit(False)), "nonconforming").otherwise("admitted")
-    return out.withColumn("decision", decision).drop("_first").select(*df.columns, "decision")
+    return out.select(*df.columns, F.when(late, "duplicate").when(~ok, "nonconforming").otherwise("admitted").alias("decision"))
 
 
 def quarantine_codes(issues: DataFrame, key: str) -> DataFrame:

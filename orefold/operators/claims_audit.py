@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from orefold.functions.text import is_ascii, nfkc
 from orefold.operators.findings import found_many
+from orefold.plans.skew import dictionary_join
 from orefold.reference.properties import FACTORS, OVERFLOW, SENTINEL_EXACT, SENTINEL_MAGNITUDES, SPECS
+from orefold.session import cut
 
 
 def token(unit: Column, *, unicode: bool = True) -> Column:
@@ -32,11 +34,12 @@ def long_claims(df: DataFrame, key: str, order: str, claims: str = "claimed_prop
 
 
 def first_units(claims: DataFrame, order: str) -> DataFrame:
-    """(name, first_token): the token of the first claim of each property in input order; empty tokens do not count.
+    """(name, first_token, n): the token of the first claim of each property in input order; empty tokens do not
+    count. n is the number of such claims.
 
     One row per property; the minimum is taken before the shuffle."""
     t = claims.where(F.col("name").isNotNull()).withColumn("token", token(F.col("unit"))).where(F.col("token") != "")
-    return t.groupBy("name").agg(F.min(F.struct(order, "pos", "token")).alias("m")).select("name", F.col("m.token").alias("first_token"))
+    return t.groupBy("name").agg(F.min(F.struct(order, "pos", "token")).alias("m"), F.count(F.lit(1)).alias("n")).select("name", F.col("m.token").alias("first_token"), "n")
 
 
 def sentinel(value: Column, plausible_max: Column) -> Column:
@@ -48,12 +51,14 @@ def assess(claims: DataFrame, order: str, *, units: DataFrame | None = None) ->
     """claims with token, canonical, factor, normalized, first_token, is_sentinel and assessment.
 
     assessment is the first that applies of not_a_number, overflow, unknown_property, unit_error, sentinel,
-    impossible, implausible; else unsupported. Property and unit tables are broadcast; they are fixed. The
-    first units are one row per property name and meet their claims in a join that AQE sizes."""
+    impossible, implausible; else unsupported. Property and unit tables are broadcast; they are fixed. A
+    property name may hold most of the claims, so the first units are joined with hot names apart."""
     spark = claims.sparkSession
-    units = first_units(claims, order) if units is None else units
+    units = cut(first_units(claims, order)) if units is None else units
+    total = units.agg(F.sum("n")).first()[0] or 0
     c = claims.withColumn("token", token(F.col("unit"))).join(F.broadcast(specs(spark)), "name", "left")
-    c = c.join(F.broadcast(factors(spark)), ["canonical", "token"], "left").join(units, "name", "left")
+    c = c.join(F.broadcast(factors(spark)), ["canonical", "token"], "left")
+    c = dictionary_join(c, units, ["name"], spread=F.xxhash64(order, "pos"), total=total)
     v = F.col("value")
     c = c.withColumn("normalized", v * F.col("factor") + F.col("offset"))
     c = c.withColumn("is_sentinel", F.coalesce(sentinel(v, F.col("plausible_max")), F.lit(False)))

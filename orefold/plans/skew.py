@@ -37,7 +37,7 @@ def dictionary_join(
     dictionary[n] is the number of rows of its key and total the number of all rows. The at most HOT_SHARE
     keys that hold 1/HOT_SHARE of the rows are broadcast (bounded by HOT_SHARE * HOT_BYTES), and their rows
     are spread over the shuffle by the column spread; all other keys meet in a shuffled join, where no key
-    is hot any more. keep restricts the shuffled part of the dictionary to the entries of interest; other
+    is hot any more. Where all entries are hot, or none is, the other join is left out. keep restricts the shuffled part of the dictionary to the entries of interest; other
     rows keep nulls. Rows with a null key match nothing. The dictionary's n is not returned.
 
     The entries that are hot or kept are written into the shared folder first, so the dictionary is made
@@ -45,23 +45,30 @@ def dictionary_join(
     """
     attrs = [c for c in dictionary.columns if c not in keys and c != n]
     is_hot = (F.col(n) * HOT_SHARE >= F.lit(total)) & (key_bytes(keys) <= HOT_BYTES)
-    dictionary = cut(dictionary if keep is None else dictionary.where(is_hot | keep))
-    hot = dictionary.where(is_hot)
-    rest = dictionary.where(~is_hot)
-    hot = hot.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"_h_{a}") for a in attrs], F.lit(True).alias("_hot"))
-    rest = rest.select(*[F.col(k).alias(f"_ck{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"_c_{a}") for a in attrs], F.lit(0).cast("int").alias("_cs"))
-    on_hot = [F.col(k) == F.col(f"_hk{i}") for i, k in enumerate(keys)]
-    tagged = rows.join(F.broadcast(hot), on_hot, "left").drop(*[f"_hk{i}" for i in range(len(keys))])
-    some_null = F.lit(False)
-    for k in keys:
-        some_null = some_null | F.col(k).isNull()
-    aside = F.col("_hot").isNotNull() | some_null
-    tagged = tagged.withColumn("_salt", F.when(aside, 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0)))
-    cold = [F.when(F.col("_salt") == 0, F.col(k)) for k in keys]
-    for i, c in enumerate(cold):
-        tagged = tagged.withColumn(f"_rk{i}", c)
-    on_cold = [F.col(f"_rk{i}") == F.col(f"_ck{i}") for i in range(len(keys))] + [F.col("_salt") == F.col("_cs")]
-    joined = tagged.join(rest, on_cold, "left")
-    out = [F.col(c) for c in rows.columns]
-    out += [F.when(F.col("_hot").isNotNull(), F.col(f"_h_{a}")).otherwise(F.col(f"_c_{a}")).alias(a) for a in attrs]
-    return joined.select(*out)
+    entries = cut(dictionary if keep is None else dictionary.where(is_hot | keep))
+    mine = lambda side, c: f"_of_{side}_{c}"
+    pick = lambda df, side: df.select(*[F.col(k).alias(mine(side, f"key{i}")) for i, k in enumerate(keys)], *[F.col(a).alias(mine(side, a)) for a in attrs], F.lit(True).alias(mine(side, "there")))
+    hot, rest = entries.where(is_hot), entries.where(~is_hot)
+    with_hot, with_rest = not hot.isEmpty(), not rest.isEmpty()
+    out = rows
+    if with_hot:
+        out = out.join(F.broadcast(pick(hot, "hot")), [F.col(k) == F.col(mine("hot", f"key{i}")) for i, k in enumerate(keys)], "left")
+    if with_rest:
+        aside = F.col(mine("hot", "there")).isNotNull() if with_hot else F.lit(False)
+        for k in keys:
+            aside = aside | F.col(k).isNull()
+        # Rows that need no shuffled partner are spread by a salt no entry has, under null keys.
+        out = out.withColumn(mine("row", "salt"), F.when(aside, 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0)))
+        out = out.withColumns({mine("row", f"key{i}"): F.when(F.col(mine("row", "salt")) == 0, F.col(k)) for i, k in enumerate(keys)})
+        cold = pick(rest, "cold").withColumn(mine("cold", "salt"), F.lit(0).cast("int"))
+        meet = [F.col(mine("row", c)) == F.col(mine("cold", c)) for c in ("salt", *[f"key{i}" for i in range(len(keys))])]
+        out = out.join(cold, meet, "left")
+
+    def value(a: str) -> Column:
+        if with_hot and with_rest:
+            return F.when(F.col(mine("hot", "there")).isNotNull(), F.col(mine("hot", a))).otherwise(F.col(mine("cold", a)))
+        if with_hot or with_rest:
+            return F.col(mine("hot" if with_hot else "cold", a))
+        return F.lit(None).cast(entries.schema[a].dataType)
+
+    return out.select(*[F.col(c) for c in rows.columns], *[value(a).alias(a) for a in attrs])

@@ -133,7 +133,7 @@ def unit_normalization_log(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def batch_unit_first_wins(spark: SparkSession, folder: str) -> DataFrame:
-    return claims_audit.first_units(_claims(spark, folder), NO)
+    return claims_audit.first_units(_claims(spark, folder), NO).select("name", "first_token")
 
 
 @query
