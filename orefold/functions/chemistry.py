@@ -98,22 +98,32 @@ def hull(counts: Counts) -> Hull:
     return _hull(tuple(sorted(fm.reduced(counts).items())))
 
 
+@lru_cache(maxsize=1 << 12)
+def _inside(elements: frozenset[str]) -> tuple[Phase, ...]:
+    """The phases of a chemical system, by formula."""
+    return tuple(sorted((p for p in phases().values() if set(p.counts) <= elements), key=lambda p: (p.formula, p.key)))
+
+
 @lru_cache(maxsize=1 << 12)
 def _hull(items: tuple[tuple[str, float], ...]) -> Hull:
     counts = dict(items)
     elements, total = [*counts], sum(counts.values())
     target = np.array([counts[e] / total for e in elements])
-    inside = sorted((p for p in phases().values() if set(p.counts) <= set(elements)), key=lambda p: (p.formula, p.key))
+    inside = _inside(frozenset(elements))
     own = phase_of(counts)
     if not inside:
         return Hull(None, (), own.per_atom if own else None, None, ())
     columns = {p.key: np.array([p.counts.get(e, 0.0) / p.atoms for e in elements]) for p in inside}
+    covers = {p.key: sum(1 << i for i, e in enumerate(elements) if e in p.counts) for p in inside}
     best, mix = None, ()
     for size in range(1, len(elements) + 1):
         for combo in combinations(inside, size):
-            a = np.column_stack([columns[p.key] for p in combo])
-            if (a.sum(axis=1) == 0).any():
+            seen = 0
+            for p in combo:
+                seen |= covers[p.key]
+            if seen != (1 << len(elements)) - 1:
                 continue
+            a = np.column_stack([columns[p.key] for p in combo])
             x, _, rank, _ = np.linalg.lstsq(a, target, rcond=None)
             if rank < size or (x < -1e-9).any() or np.abs(a @ x - target).max() > 1e-6:
                 continue

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from orefold.functions import chemistry as ch
 from orefold.functions import formula as fm
 from orefold.operators.findings import found_many
-from orefold.plans.skew import dictionary_join
+from orefold.plans.skew import dealt, dictionary_join
 
 _S, _D, _B = T.StringType(), T.DoubleType(), T.BooleanType()
 _MIX = T.ArrayType(T.StructType([T.StructField("formula", _S), T.StructField("fraction", _D)]))
@@ -61,7 +61,7 @@ def with_facts(df: DataFrame, key: str, formula: str, *, total: int | None = Non
     total = df.count() if total is None else total
     named = df.withColumn("_formula", F.coalesce(F.col(formula), F.lit("")))
     words = named.groupBy("_formula").agg(F.count(F.lit(1)).alias("n"))
-    words = words.withColumn("facts", _facts("_formula"))
+    words = dealt(words).withColumn("facts", _facts("_formula"))
     return dictionary_join(named, words, ["_formula"], spread=F.col(key), total=total).drop("_formula")
 
 

@@ -72,3 +72,10 @@ def dictionary_join(
         return F.lit(None).cast(entries.schema[a].dataType)
 
     return out.select(*[F.col(c) for c in rows.columns], *[value(a).alias(a) for a in attrs])
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly before costly Python: small in bytes, they would else be coalesced into one task."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
