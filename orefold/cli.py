@@ -47,8 +47,10 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(problems) or "ok")
         return int(bool(problems))
     if args.command == "aggregate":
-        for name, df in report.pool(spark, args.runs).items():
+        pooled = report.pool(spark, args.runs)
+        for name, df in pooled.items():
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")
+        Path(args.out, "pooled.html").write_text(report.pooled_page(pooled))
         return 0
     source = Path(args.input)
     if not source.exists() or source.is_dir() and not [*source.glob("*.json")]:

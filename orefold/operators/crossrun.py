@@ -27,6 +27,17 @@ def trend(findings: DataFrame, runs: DataFrame, run: str) -> DataFrame:
     return out.withColumn("change", F.round(F.col("last_per_100") - F.col("first_per_100"), 3))
 
 
+def rates(findings: DataFrame, runs: DataFrame, run: str) -> DataFrame:
+    """(code, run, per_100): the rate of every code that occurs in every run with records, 0 where it is absent.
+
+    Codes and runs are both few; their product is joined with the counts, not the findings."""
+    per = findings.where(F.col("code").isNotNull()).groupBy("code", run).agg(F.count(F.lit(1)).alias("n"))
+    every = per.select("code").distinct().groupBy().agg(F.collect_list("code").alias("codes"))
+    grid = runs.select(run, "n_records").join(F.broadcast(every)).select(run, "n_records", F.explode("codes").alias("code"))
+    out = grid.join(per, ["code", run], "left")
+    return out.select("code", run, F.round(F.when(F.col("n_records") > 0, F.lit(100.0) * F.coalesce("n", F.lit(0)) / F.col("n_records")), 3).alias("per_100"))
+
+
 def lifecycle(findings: DataFrame, run_order: str) -> DataFrame:
     """(fingerprint, state): new if only in the last run, resolved if only before it, else persistent.
 

@@ -100,3 +100,25 @@ def scalar_rewards(verdicts: DataFrame) -> DataFrame:
 def top_k(counted: DataFrame, n: str, ties: list[str], k: int) -> DataFrame:
     """The k largest by n, ties in order; a sort that keeps k rows per task."""
     return counted.orderBy(F.desc(n), *ties).limit(k)
+
+
+def component_means(verdicts: DataFrame, columns: list[str]) -> DataFrame:
+    """(component, n, mean): each component over the records that have it, summed as decimals; others have no row."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("v")) for c in columns]))
+    v = verdicts.select(pairs.alias("p")).select("p.*").where(F.col("v").isNotNull())
+    g = v.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("decimal(26,12)")).alias("s"))
+    return g.select("component", "n", (F.col("s").cast("double") / F.col("n")).alias("mean"))
+
+
+def assumptions(verdicts: DataFrame, key: str) -> DataFrame:
+    """(key, assumptions): what a record's verdict takes for granted, by the checks that ran."""
+    lines = F.array_compact(
+        F.array(
+            F.lit("formula as written; decimal points separate adducts"),
+            F.when(F.col("frame") == "closed_0k", F.lit("closed system at 0 K from enthalpies at 298 K")),
+            F.when(F.col("frame") == "grand_potential", F.lit("oxygen reservoir fixed by the atmosphere; no suboxides, no kinetics")),
+            F.when(F.col("value_structure_valid").isNotNull(), F.lit("periodic images of the nearest cells only")),
+            F.when(F.col("unavailable"), F.lit("a provider could not answer")),
+        )
+    )
+    return verdicts.select(key, lines.alias("assumptions"))

@@ -22,6 +22,13 @@ from orefold.reference.thermochemistry import ENTRIES
 from orefold.sources import artifacts as af
 
 FIGURES = 4
+#: The projections for training a generator, and which records each leaves out.
+PROJECTIONS = {
+    "scalar_reward": "accepted and rejected records; unverifiable and quarantined ones are left out",
+    "preference_pairs": "rejected records with a repair that scores higher",
+    "calibration_pairs": "stated confidences of records and fields with a terminal outcome",
+    "findings": "every finding of every record",
+}
 VERDICTS = "key string, record_id string, run_id string, proposal_id string, candidate_key string, composition_key string, reduced string, tier string, feasibility string, status string, reward double, unavailable boolean"
 FINDINGS = "key string, code string, level string, phase string, json_pointer string, observed string, fingerprint string"
 
@@ -118,6 +125,10 @@ def write(r: vf.Run, folder: str, *, config: dict | None = None, logical_time: s
         if r.repaired is not None:
             files.append(af.write_lines(vf.preference_pairs(r.repaired), out / "preference_pairs.jsonl", ["key", "repair_id"]))
         manifest["reward"] = s["reward"].first().asDict()
+        manifest["component_means"] = {x.component: x.mean for x in s["component_means"].collect()}
+        manifest["totals"] = s["ledger_totals"].first().asDict()
+        files.append(af.write_lines(summarize.assumptions(v, vf.KEY), out / "assumptions.jsonl", ["key"]))
+        manifest["projections"] = PROJECTIONS
         manifest["calibration"] = s["calibration"].first().asDict()
         files += _figures(out, v)
         page = _page(r, s, out)
@@ -246,7 +257,15 @@ def pool(spark: SparkSession, folders: list[str]) -> dict[str, DataFrame]:
     return {
         "runs": runs,
         "code_by_field": crossrun.pooled(f, "run_id", v.count()),
+        "rates": crossrun.rates(f, runs, "run_id"),
         "trend": crossrun.trend(f, runs.select("run_id", "logical_time", "n_records"), "run_id"),
         "lifecycle": crossrun.lifecycle(timed, "run_order"),
         "comparability": crossrun.comparability(runs, cols[2:]),
     }
+
+
+def pooled_page(pooled: dict[str, DataFrame]) -> str:
+    """HTML of pooled runs: the runs, what differs between them, the thirty most frequent pairs, the trend."""
+    moved = pooled["trend"].orderBy(F.col("change").isNull(), F.desc("change"), "code")
+    parts = [("Runs", pooled["runs"].orderBy("logical_time", "run_id")), ("Comparability", pooled["comparability"].orderBy("aspect")), ("Codes by field", summarize.top_k(pooled["code_by_field"], "total_findings", ["code", "json_pointer"], 30)), ("Trend", moved), ("Findings", pooled["lifecycle"].groupBy("state").count().orderBy("state"))]
+    return '<!doctype html><meta charset="utf-8"><title>Pooled runs</title>' + "".join(f"<section><h2>{t}</h2>{_table(d, 30)}</section>" for t, d in parts)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orefold import __version__
 from orefold.functions.text import slug
-from orefold.operators import admission, claims_audit, composition, evidence, feasibility, findings as fd, repair, score, structure, summarize
+from orefold.operators import admission, claims_audit, composition, crossrun, evidence, feasibility, findings as fd, repair, score, structure, summarize
 from orefold.reference.config import digest, resolve
+from orefold.reference.taxonomy import TAXONOMY_VERSION
 from orefold.schemas import PROPOSAL
 from orefold.session import cut
 from orefold.sources import envelopes as env
@@ -124,6 +128,64 @@ def check_batches(batches: DataFrame, config: dict) -> tuple[Checked | None, Dat
     return checked, docs, rows
 
 
+def content_keys(docs: DataFrame, config: dict, units: DataFrame) -> DataFrame:
+    """docs with content_key: digest of everything a verdict depends on but the run it is part of.
+
+    That is the candidate, the thresholds, the versions of engine, taxonomy and reference tables, and the
+    batch's first units, which decide findings too."""
+    from orefold.plans.report import corpus_fingerprint
+
+    used = units.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "first_token"))), ",").alias("u")).first()["u"]
+    base = _hash("|".join([__version__, digest(config), TAXONOMY_VERSION, corpus_fingerprint(), used or ""]))
+    return docs.withColumn("content_key", F.sha2(F.concat_ws("|", F.lit(base), F.col("candidate_key")), 256))
+
+
+def cached_check(docs: DataFrame, config: dict, folder: str, *, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(verdicts, findings, number computed) of docs, taking from folder what was judged before.
+
+    The store holds one verdict per content key and its findings, partitioned by the key's first two digits;
+    new content is found by an anti-join, checked once whatever the number of its records, and appended.
+    Keys of records are stamped on when the stored rows are joined back."""
+    spark = docs.sparkSession
+    units = cut(claims_audit.first_units(claims_audit.long_claims(parsed(docs), KEY, KEY), KEY)) if units is None else units
+    wanted = cut(content_keys(docs, config, units))
+    try:
+        todo = crossrun.misses(wanted, spark.read.parquet(f"{folder}/verdicts"), "content_key")
+    except AnalysisException:
+        todo = wanted
+    fresh = cut(todo.groupBy("content_key").agg(F.min("doc").alias("doc"), F.min("proposal_id").alias("proposal_id"), F.min("candidate_key").alias("candidate_key")))
+    n = fresh.count()
+    if n:
+        done = check(fresh.withColumnRenamed("content_key", KEY), config, units=units)
+        for name, df in (("findings", done.findings), ("verdicts", done.verdicts.drop("proposal_id", "candidate_key"))):
+            df.withColumnRenamed(KEY, "content_key").withColumn("shard", F.substring("content_key", 1, 2)).write.mode("append").partitionBy("shard").parquet(f"{folder}/{name}")
+    stamp = wanted.select(KEY, "content_key", "proposal_id", "candidate_key", F.substring("content_key", 1, 2).alias("shard"))
+    back = lambda name, cols: spark.read.parquet(f"{folder}/{name}").join(stamp.select(KEY, "content_key", "shard", *cols), ["shard", "content_key"]).drop("shard", "content_key")
+    return back("verdicts", ["proposal_id", "candidate_key"]), back("findings", []), n
+
+
+def check_within(docs: DataFrame, config: dict, seconds: float, *, chunks: int = 16, clock=time.monotonic) -> tuple[Checked | None, DataFrame]:
+    """(checked, left out) with a budget of seconds: records are checked in chunks by the hash of their key, and
+    no chunk is begun after the budget. What was not begun is returned for quarantine as VERIFY.BUDGET.EXHAUSTED.
+
+    Units are taken from all records, so a cut-off run judges each record as a full one would."""
+    begun = clock()
+    docs = docs.withColumn("_chunk", F.pmod(F.xxhash64(KEY), F.lit(chunks)))
+    units = cut(claims_audit.first_units(claims_audit.long_claims(parsed(docs), KEY, KEY), KEY))
+    done: Checked | None = None
+    for i in range(chunks):
+        if clock() - begun >= seconds:
+            left = docs.where(F.col("_chunk") >= i).select(KEY, "proposal_id", F.lit("VERIFY.BUDGET.EXHAUSTED").alias("violation_code"))
+            return done, left
+        part = docs.where(F.col("_chunk") == i).drop("_chunk")
+        if part.isEmpty():
+            continue
+        c = check(part, config, units=units)
+        c.verdicts = cut(c.verdicts)
+        done = c if done is None else Checked(*[getattr(done, f).unionByName(getattr(c, f)) for f in ("verdicts", "findings", "screened", "claims", "answers")], units)
+    return done, docs.limit(0).select(KEY, "proposal_id", F.lit("VERIFY.BUDGET.EXHAUSTED").alias("violation_code"))
+
+
 @dataclass
 class Run:
     run_id: str
@@ -186,6 +248,8 @@ def summary(r: Run) -> dict[str, DataFrame]:
     return {
         "code_by_field": summarize.code_by_field(c.findings),
         "reward": summarize.upper_median(c.verdicts, "reward"),
+        "component_means": summarize.component_means(c.verdicts, [x for x in c.verdicts.columns if x.startswith("value_")]),
+        "ledger_totals": c.screened.agg(F.count_if(F.size("facts.steps") > 0).alias("records_modified")).join(c.answers.agg(F.count_if(F.col("status") == "unavailable").alias("unavailable_queries"))),
         "tiers": c.verdicts.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.count(F.lit(1)).alias("n")),
         "calibration_pairs": outcomes,
         "calibration": summarize.calibration(outcomes),

@@ -293,6 +293,19 @@ def cross_run_trend(spark: SparkSession, folder: str) -> DataFrame:
     return crossrun.trend(v, runs, "batch_seq")
 
 
+@query
+def code_rates_by_batch(spark: SparkSession, folder: str) -> DataFrame:
+    v = _violations(spark, folder, "code", "batch_seq", "record_id")
+    return crossrun.rates(v, crossrun.runs_of(v, "batch_seq", "record_id", "batch_seq"), "batch_seq")
+
+
+@query
+def component_means(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(tune(spark), folder, "proposals", NO, "generator_confidence", "composition", "synthesis_hint")
+    v = p.select(F.col("generator_confidence.overall").alias("overall"), F.col("composition.charge").alias("charge"), F.col("synthesis_hint.duration_hours").alias("duration_hours"))
+    return summarize.component_means(v, ["overall", "charge", "duration_hours"]).withColumn("mean", F.round("mean", 6))
+
+
 @query
 def finding_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
     return crossrun.lifecycle(_violations(spark, folder, "fingerprint", "batch_seq"), "batch_seq")

@@ -216,6 +216,10 @@ SQL: dict[str, str] = {
     "pooled_rates": "SELECT code, json_pointer, CAST(count(*) AS BIGINT) AS total_findings, CAST(count(DISTINCT run_id) + max(CASE WHEN run_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS runs_present_in, round(100.0::DOUBLE * count(*) / (SELECT count(DISTINCT record_id) FROM violations), 3) AS per_100 FROM violations GROUP BY 1, 2",
     "cross_run_trend": """WITH e AS (SELECT min(batch_seq) AS a, max(batch_seq) AS z FROM violations), r AS (SELECT count(DISTINCT record_id) FILTER (batch_seq = a) AS ra, count(DISTINCT record_id) FILTER (batch_seq = z) AS rz FROM violations, e),
         n AS (SELECT code, round(100.0::DOUBLE * count(*) FILTER (batch_seq = a) / any_value(ra), 3) AS first_per_100, round(100.0::DOUBLE * count(*) FILTER (batch_seq = z) / any_value(rz), 3) AS last_per_100 FROM violations, e, r GROUP BY 1) SELECT *, round(last_per_100 - first_per_100, 3) AS change FROM n""",
+    "code_rates_by_batch": """WITH r AS (SELECT batch_seq, count(DISTINCT record_id) AS n_records FROM violations WHERE batch_seq IS NOT NULL GROUP BY 1), c AS (SELECT DISTINCT code FROM violations WHERE code IS NOT NULL), n AS (SELECT code, batch_seq, count(*) AS n FROM violations GROUP BY 1, 2)
+        SELECT code, batch_seq, round(100.0::DOUBLE * coalesce(n, 0) / n_records, 3) AS per_100 FROM r CROSS JOIN c LEFT JOIN n USING (code, batch_seq)""",
+    "component_means": """WITH v AS (SELECT 'overall' AS component, generator_confidence.overall AS v FROM proposals UNION ALL SELECT 'charge', composition.charge FROM proposals UNION ALL SELECT 'duration_hours', synthesis_hint.duration_hours FROM proposals)
+        SELECT component, count(*) AS n, round(CAST(sum(CAST(v AS DECIMAL(26, 12))) AS DOUBLE) / count(*), 6) AS mean FROM v WHERE v IS NOT NULL GROUP BY 1""",
     "finding_lifecycle": """WITH m AS (SELECT max(batch_seq) AS z FROM violations), last AS (SELECT DISTINCT fingerprint FROM violations, m WHERE batch_seq = z AND fingerprint IS NOT NULL), old AS (SELECT DISTINCT fingerprint FROM violations, m WHERE batch_seq < z AND fingerprint IS NOT NULL)
         SELECT fingerprint, 'new' AS state FROM (SELECT * FROM last EXCEPT SELECT * FROM old) UNION ALL SELECT fingerprint, 'resolved' FROM (SELECT * FROM old EXCEPT SELECT * FROM last) UNION ALL SELECT fingerprint, 'persistent' FROM (SELECT * FROM last INTERSECT SELECT * FROM old)""",
     "comparability_flags": "SELECT aspect, n_values, n_values <= 1 AS comparable FROM (SELECT 'lang' AS aspect, count(DISTINCT lang) AS n_values FROM documents UNION ALL SELECT 'source', count(DISTINCT source) FROM documents UNION ALL SELECT 'kind', count(DISTINCT kind) FROM documents)",
