@@ -20,12 +20,13 @@ def test_columns(spark, name):
     assert df.columns == COLUMNS.get(name, df.columns) and len(df.collect()) > 0
 
 
-def test_leaks_agree_with_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_agrees_with_sql(spark, name):
     con = pytest.importorskip("duckdb").connect()
-    for t in ("documents", "eval_items"):
+    for t in ("documents", "eval_items", "corpus_entries"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    got = sorted(map(tuple, queries.p8_found(spark, str(FOLDER)).collect()))
-    assert got == sorted(con.execute(queries.SQL["p8_found"]).fetchall())
+    got = sorted(map(tuple, queries.QUERIES[name](spark, str(FOLDER)).collect()))
+    assert got == sorted(con.execute(queries.SQL[name]).fetchall())
 
 
 def test_repeats_agree_with_brute_force(spark):
