@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orefold.plans.skew import dictionary_join
 from orefold.session import cut
 
 LEAF = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("path", "kind", "content")]))
@@ -150,7 +151,8 @@ def _renames(runs: DataFrame, moved: DataFrame, producer: str, seq: str, payload
     """(producer, file_seq, old_path, new_path) of goings and comings of one file that share a value.
 
     Only rows of files on either side of a going or coming are parsed for values, and only the paths that
-    move are kept; they meet on (file, type, value), where each side is distinct.
+    move are kept; they meet on (file, type, value), where each side is distinct. A file may hold many of
+    the rows, so rows find their file's moving paths with hot files apart.
     """
     both = moved.groupBy("producer", "file_seq", "before").agg(
         F.collect_set(F.when(F.col("what") == "removed", F.col("path"))).alias("gone"), F.collect_set(F.when(F.col("what") == "added", F.col("path"))).alias("come")
@@ -160,7 +162,10 @@ def _renames(runs: DataFrame, moved: DataFrame, producer: str, seq: str, payload
         both.select("producer", F.col("file_seq").alias("_seq"), "file_seq", F.col("come").alias("paths"), F.lit("new").alias("side"))
     )
     rows = runs.select(F.col(producer).alias("producer"), F.col(seq).alias("_seq"), F.col(payload).alias("_payload")).where(F.col("_payload").isNotNull())
-    rows = rows.join(wanted.groupBy("producer", "_seq").agg(F.collect_list(F.struct("file_seq", "paths", "side")).alias("_want")), ["producer", "_seq"])
+    sizes = rows.groupBy("producer", "_seq").agg(F.count(F.lit(1)).alias("n"))
+    asked = wanted.groupBy("producer", "_seq").agg(F.collect_list(F.struct("file_seq", "paths", "side")).alias("_want")).join(sizes, ["producer", "_seq"])
+    total = runs.count()
+    rows = dictionary_join(rows, asked, ["producer", "_seq"], spread=F.col("_payload"), total=total).where(F.col("_want").isNotNull())
     leaves = rows.select("producer", "_want", F.explode(_leaves(F.col("_payload"))).alias("l"))
     values = leaves.select("producer", F.explode("_want").alias("w"), "l").where(F.array_contains(F.col("w.paths"), F.col("l.path")))
     values = values.select("producer", F.col("w.file_seq").alias("file_seq"), F.col("w.side").alias("side"), F.col("l.path").alias("path"), F.col("l.kind").alias("kind"), F.sha2(F.col("l.content"), 256).alias("content")).distinct()
