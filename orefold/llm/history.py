@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold.plans.skew import dictionary_join
@@ -196,11 +196,12 @@ def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, hist
         base.groupBy("k", "f", "form").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).write.parquet(f"{work}/first")
         first = spark.read.parquet(f"{work}/first")
         weights = token_weights(first) if weights is None else weights
-        new = postings(first, weights).withColumn("asks", F.lit(True))
-        met = new
+        postings(first, weights).withColumn("asks", F.lit(True)).write.parquet(f"{work}/posted")
+        met = spark.read.parquet(f"{work}/posted")
         if history is not None:
             met = met.unionByName(history.select("h", "id").withColumn("asks", F.lit(False)))
-        met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where(F.col("n") > 1)
+        shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.col("n"))
+        met = dictionary_join(met, shared, ["h"], spread=F.col("id"), total=6 * total, keep=F.col("n") > 1).where(F.col("rows") > 1).withColumnRenamed("rows", "n")
         known = first.select("id", "k", "f", "form")
         if history is not None:
             known = known.unionByName(history.select("id", "k", "f", "form").dropDuplicates(["id"]))
@@ -213,7 +214,7 @@ def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, hist
         mark = F.md5(F.concat_ws("|", F.col("k").cast("string"), F.coalesce(F.col("f").cast("string"), F.lit("-")), F.coalesce(F.col("form"), F.lit("-"))))
         classes = first.where(F.col("n") > 1).select(*same, F.col("id").alias("rep"), "n").withColumn("c", F.unhex(mark))
         classes = classes.join(found.select(F.col("new_id").alias("rep"), F.col("old_id").alias("old")), "rep", "left").select("c", "n", F.coalesce("old", "rep").alias("old_id"))
-        members = base.select(F.col("id").alias("new_id"), F.unhex(mark).alias("c"))
+        members = cut(base.select(F.col("id").alias("new_id"), F.unhex(mark).alias("c")))
         copies = dictionary_join(members, classes, ["c"], spread=F.col("new_id"), total=total)
         copies = copies.where(F.col("old_id").isNotNull() & (F.col("old_id") != F.col("new_id"))).select("old_id", "new_id")
         return cut(found.select("old_id", "new_id").unionByName(copies).distinct())
