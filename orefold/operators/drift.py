@@ -7,8 +7,10 @@ Per producer, path and type the files form islands; the start and end of an isla
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +21,11 @@ from orefold.plans.skew import dictionary_join
 from orefold.session import cut
 
 LEAF = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("path", "kind", "content")]))
+PLACED = T.ArrayType(T.StructType([*LEAF.elementType.fields, T.StructField("column", T.StringType())]))
 
 
 def _content(value: object) -> tuple[str, str]:
-    """Type and content of a leaf; numbers by value, strings as they are, arrays by their values."""
+    """Type and content of a leaf; numbers by value, strings as they are, arrays as canonical JSON."""
     if isinstance(value, bool):
         return "boolean", str(value).lower()
     if isinstance(value, (int, float, Decimal)):
@@ -30,15 +33,18 @@ def _content(value: object) -> tuple[str, str]:
         return "number", format(d.normalize() if d else Decimal(0), "f") if abs(d.adjusted()) < 400 else str(d.normalize())
     if isinstance(value, str):
         return "string", value
-    return "array", json.dumps(_plain(value), sort_keys=True)
+    return "array", _canonical(value)
 
 
-def _plain(value: object) -> object:
+def _canonical(value: object) -> str:
+    """JSON without blanks, members sorted by key, numbers by value: equal arrays have one text, others another."""
     if isinstance(value, list):
-        return [_plain(v) for v in value]
+        return "[" + ",".join(map(_canonical, value)) + "]"
     if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    return [*_content(value)] if value is not None else None
+        return "{" + ",".join(f"{json.dumps(k)}:{_canonical(v)}" for k, v in sorted(value.items())) + "}"
+    if value is None or isinstance(value, str):
+        return json.dumps(value)
+    return _content(value)[1]
 
 
 def leaves_of(text: str | None) -> list[tuple[str, str, str]]:
@@ -199,24 +205,68 @@ def _is_alias(folded_path: Column, paths: tuple[str, ...]) -> Column:
     return folded_path.isin(names) | F.element_at(F.split(folded_path, r"\."), -1).isin([n for n in names if "." not in n])
 
 
-def _matcher(paths: tuple[str, ...]) -> Callable[[Column], Column]:
-    return lambda leaf: _is_alias(_fold(leaf["path"]), paths)
+def _column_of(path: str, aliases: tuple[tuple[str, str, tuple[str, ...]], ...]) -> str | None:
+    """The column a path stands for, as _is_alias has it: the first of several, None for a path outside the table."""
+    folded = re.sub(r"[^a-z0-9.]", "", path.lower())
+    last = folded.rsplit(".", 1)[-1]
+    for name, _, paths in aliases:
+        names = [p.lower().replace("_", "").replace("-", "") for p in paths]
+        if folded in names or last in [n for n in names if "." not in n]:
+            return name
+    return None
 
 
-def unify(runs: DataFrame, key: str, payload: str, aliases: tuple[tuple[str, str, tuple[str, ...]], ...] = ALIASES) -> DataFrame:
-    """One consistent table of all rows: key and a column per alias, cast to its type.
+def _placed(aliases: tuple[tuple[str, str, tuple[str, ...]], ...]) -> Callable[[Column], Column]:
+    """All leaves of a payload in alphabetical order, each with its column; of a column's leaves only the first has it."""
+
+    @F.pandas_udf(PLACED)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        column_of = lru_cache(maxsize=1 << 12)(lambda path: _column_of(path, aliases))
+        for s in texts:
+            out = []
+            for text in s:
+                row, taken = [], set()
+                for path, kind, content in sorted(leaves_of(text)):
+                    column = column_of(path)
+                    row.append({"path": path, "kind": kind, "content": content, "column": None if column in taken else column})
+                    taken.add(column)
+                out.append(row)
+            yield pd.Series(out)
+
+    return run
+
+
+def _stands_for(name: str) -> Callable[[Column], Column]:
+    return lambda leaf: leaf["column"] == name
 
-    A path stands for a column if it, or its last step, folds to one of the aliases. Values that do not
-    cast become null, as do absent ones; a row whose payload is null or broken keeps only its key. Of
-    several matching paths the first in alphabetical order that is not null decides.
+
+def unify(runs: DataFrame, key: str, payload: str, aliases: tuple[tuple[str, str, tuple[str, ...]], ...] = ALIASES) -> DataFrame:
+    """One consistent table of all rows: key, a column per alias, cast to its type, and others.
+
+    A path stands for a column if it, or its last step, folds to one of the aliases. Of several matching
+    paths the first in alphabetical order that is not null decides. Arrays stand in a string column as
+    canonical JSON. others holds every leaf that no column holds, in alphabetical order, as (path, kind,
+    content): paths outside the alias table under their own type, paths that did not decide, and values
+    that do not cast, whose column is null. It is a list, since a payload can write a dotted path in two
+    ways. A row whose payload is null or broken keeps its key and an empty list.
     """
-    leaves = F.array_sort(_leaves(F.col(payload)))
-    rows = runs.select(key, leaves.alias("_l"))
+    rows = runs.select(key, _placed(aliases)(F.col(payload)).alias("_l"))
     out = [F.col(key)]
-    for name, kind, paths in aliases:
-        found = F.get(F.filter("_l", _matcher(paths)), F.lit(0))["content"]
+    for name, kind, _ in aliases:
+        found = F.get(F.filter("_l", _stands_for(name)), F.lit(0))["content"]
         out.append((found if kind == "string" else found.try_cast(kind)).alias(name))
-    return rows.select(*out)
+    return rows.select(*out, _others(aliases).alias("others"))
+
+
+def _others(aliases: tuple[tuple[str, str, tuple[str, ...]], ...]) -> Column:
+    def left(leaf: Column) -> Column:
+        out = leaf["column"].isNull()
+        for name, kind, _ in aliases:
+            if kind != "string":
+                out = out | ((leaf["column"] == name) & leaf["content"].try_cast(kind).isNull())
+        return out
+
+    return F.transform(F.filter("_l", left), lambda leaf: F.struct(*[leaf[c].alias(c) for c in LEAF.elementType.names]))
 
 
 def casts(spans: DataFrame, aliases: tuple[tuple[str, str, tuple[str, ...]], ...] = ALIASES) -> DataFrame:

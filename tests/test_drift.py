@@ -83,6 +83,30 @@ def test_unify_casts_by_alias(spark):
     assert got[1][0] is not None
 
 
+def test_unify_keeps_every_leaf(spark):
+    """Paths outside the alias table, unknown spellings, losers of a column and values that do not cast stay."""
+    docs = [
+        {"run_id": "r", "exit_code": 0, "timing": {"wall_seconds": 1.50}, "is_replay": False, "scoring_law": "new@1", "n": None},
+        {"mean_reward": "none", "counts": {"admitted": 7.5}, "taxonomyVersion": "1.2", "meta": {"taxonomy_version": "1.3"}},
+        {"a.b": 1, "a": {"b": "1"}},
+        "{broken",
+        None,
+    ]
+    got = drift.unify(runs(spark, [("a", 1, docs)]), "row_no", "payload").orderBy("row_no").collect()
+    others = [[tuple(x) for x in r.others] for r in got]
+    assert others[0] == [("exit_code", "number", "0"), ("is_replay", "boolean", "false"), ("scoring_law", "string", "new@1"), ("timing.wall_seconds", "number", "1.5")]
+    assert others[1] == [("counts.admitted", "number", "7.5"), ("mean_reward", "string", "none"), ("taxonomyVersion", "string", "1.2")]
+    assert got[0].run_id == "r" and (got[1].taxonomy_version, got[1].mean_reward, got[1].n_admitted) == ("1.3", None, None)
+    assert others[2] == [("a.b", "number", "1"), ("a.b", "string", "1")] and others[3:] == [[], []]
+
+
+def test_arrays_have_one_canonical_string(spark):
+    docs = ['{"tax_version": [1, 2.0, "2", null, true, {"b": [], "a": "\\""}]}', '{"tax_version": [1.0,2,"2",null,true,{"a":"\\u0022","b":[ ]}], "x": [[10]]}']
+    got = drift.unify(runs(spark, [("a", 1, docs)]), "row_no", "payload").orderBy("row_no").collect()
+    assert {r.taxonomy_version for r in got} == {'[1,2,"2",null,true,{"a":"\\"","b":[]}]'}
+    assert [tuple(x) for x in got[1].others] == [("x", "array", "[[10]]")]
+
+
 def test_lifespans_are_islands(spark):
     df = runs(spark, FILES)
     spans = drift.lifespans(drift.catalogue(df, "producer", "file_seq", "payload"), drift.files_of(df, "producer", "file_seq"))
