@@ -89,8 +89,13 @@ def _agree(a: tuple, b: tuple) -> bool:
     return den * common >= num * (len(x) + len(y) - common)
 
 
-def _row(k: int, f: float | None, form: str | None) -> tuple:
-    return k, (None if f is None or f != f else f), frozenset(form.split(" ")) if isinstance(form, str) else frozenset()
+def _row(k: int, f: str | None, form: str | None) -> tuple:
+    return k, int(f) if isinstance(f, str) else None, frozenset(form.split(" ")) if isinstance(form, str) else frozenset()
+
+
+def _exact(posted: DataFrame) -> DataFrame:
+    """f as text: pandas would take a batch of bigints with a null among them as floats and lose digits."""
+    return posted.withColumn("f", F.col("f").cast("string"))
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,8 +126,8 @@ def _nearest(posted: DataFrame) -> DataFrame:
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = posted.withColumn("own", own).withColumn("b", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-    spread = spread.withColumn("holds", F.col("b") == F.col("own")).withColumn("f", F.col("f"))
-    even = spread.select("h", "b", "id", "k", "f", "form", "asks", "holds").repartition("h", "b").sortWithinPartitions("h", "b", "id")
+    spread = spread.withColumn("holds", F.col("b") == F.col("own"))
+    even = _exact(spread).select("h", "b", "id", "k", "f", "form", "asks", "holds").repartition("h", "b").sortWithinPartitions("h", "b", "id")
     return even.mapInPandas(_meet, "new_id bigint, old_id bigint").groupBy("new_id").agg(F.min("old_id").alias("old_id"))
 
 
@@ -172,7 +177,7 @@ def decide(posted: DataFrame) -> DataFrame:
         rest = rest.drop("asks").join(open_ids.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         rest = cut(rest.select("h", "id", "k", "f", "form", "asks", "n"))
         if rest.count() <= TAIL_ROWS:
-            return done.unionByName(rest.coalesce(1).mapInPandas(_tail, "new_id bigint, old_id bigint"))
+            return done.unionByName(_exact(rest).coalesce(1).mapInPandas(_tail, "new_id bigint, old_id bigint"))
         near = cut(_nearest(rest))
         asked = near.join(open_ids.withColumnRenamed("id", "old_id"), "old_id", "left_semi")
         settled = near.join(open_ids.withColumnRenamed("id", "old_id"), "old_id", "left_anti")

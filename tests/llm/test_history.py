@@ -97,6 +97,16 @@ def test_hot_exact_copies(spark):
     assert found(spark.createDataFrame(data, SCHEMA)) == brute(data) == [(0, i) for i in range(1, 800)]
 
 
+@pytest.mark.parametrize("tail", [0, 200_000])
+def test_one_fingerprint_over_many_messages_beside_null_ones(spark, monkeypatch, tail):
+    """The hot key spans several Arrow batches, the first of which holds null fingerprints too."""
+    monkeypatch.setattr(history, "TAIL_ROWS", tail)
+    nulls = [(i, f"N-{i // 2}", f"lone{i // 2} words here{' too' * (i % 2)}", None) for i in range(400)]
+    data = nulls + [(400, "HOT", "w0", None)] + [(401 + i, "HOT", f"m{i} x{i * 7} y{i * 11}", "sha256:AB") for i in range(5_000)]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    assert found(df) == brute(data)
+
+
 def test_nulls_empty_and_ties(spark):
     data = [(1, "a", None, None), (2, "a", "", None), (3, "a", "!!", ""), (4, "a", "?", ""), (5, None, "x y", "f"), (6, "b", "x y", "f"), (7, "B.", "q", "F"), (8, "", "x y z w", None), (9, "-", "x y z w", None)]
     assert found(spark.createDataFrame(data, SCHEMA)) == brute(data) == [(3, 4), (6, 7), (8, 9)]
