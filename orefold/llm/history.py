@@ -188,7 +188,8 @@ def decide(posted: DataFrame) -> DataFrame:
 def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, history: DataFrame | None = None, weights: bytes | None = None, keep: str | None = None) -> DataFrame:
     """(old_id, new_id): every row that repeats an accepted row, with the smallest accepted row it repeats.
 
-    Rows are taken by id; history holds POSTING rows of what was accepted before, whose ids are smaller.
+    Rows are taken by id; history holds POSTING rows of what was accepted before, whose ids are smaller. Of
+    it only the postings under keys the new rows ask under go further.
     Rows with equal proposal, fingerprint and tokens form one class: only its first row is searched, the
     others repeat it or what it repeats. A row with a null proposal, and the fingerprint or message that is
     null or without tokens, agree with nothing. keep names a folder that receives the accepted postings.
@@ -204,9 +205,11 @@ def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, hist
         postings(first, weights).withColumn("asks", F.lit(True)).write.parquet(f"{work}/posted")
         met = spark.read.parquet(f"{work}/posted")
         if history is not None:
+            history = cut(history.join(met.select("h").distinct(), "h", "left_semi"))
             met = met.unionByName(history.select("h", "id").withColumn("asks", F.lit(False)))
         shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.col("n"))
-        met = dictionary_join(met, shared, ["h"], spread=F.col("id"), total=6 * total, keep=F.col("n") > 1).where(F.col("rows") > 1).withColumnRenamed("rows", "n")
+        asked = 6 * total if history is None else met.count()
+        met = dictionary_join(met, shared, ["h"], spread=F.col("id"), total=asked, keep=F.col("n") > 1).where(F.col("rows") > 1).withColumnRenamed("rows", "n")
         known = first.select("id", "k", "f", "form")
         if history is not None:
             known = known.unionByName(history.select("id", "k", "f", "form").dropDuplicates(["id"]))

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from orefold.llm import history
 
@@ -92,6 +93,24 @@ def test_batches_against_an_index(spark, tmp_path):
     assert sorted(got) == brute(data) and len(index.shards) < 3
 
 
+def test_a_batch_meets_only_the_history_it_asks_for(spark, tmp_path, monkeypatch):
+    """No key of the history goes through the comparison unless a row of the new batch asks under it."""
+    data = sample(240, 4)
+    seen, real = [], history.decide
+
+    def spy(posted):
+        seen.append([(r.h, r.asked) for r in posted.groupBy("h").agg(F.max("asks").alias("asked")).collect()])
+        return real(posted)
+
+    monkeypatch.setattr(history, "decide", spy)
+    index = history.Index(spark, str(tmp_path / "index"))
+    got = []
+    for part in (data[:230], data[230:]):
+        got += [tuple(r) for r in index.add(spark.createDataFrame(part, SCHEMA), *ARGS).collect()]
+    assert sorted(got) == brute(data)
+    assert seen[1] and all(asked for _, asked in seen[1]) and len(seen[1]) < len(seen[0])
+
+
 def test_hot_exact_copies(spark):
     data = [(i, "HOT", "same old message here", "sha256:AA") for i in range(800)] + [(800 + i, "HOT", f"other {i} thing {i * 7} x{i}", None) for i in range(50)]
     assert found(spark.createDataFrame(data, SCHEMA)) == brute(data) == [(0, i) for i in range(1, 800)]
