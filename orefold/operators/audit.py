@@ -15,12 +15,12 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def unordered(df: DataFrame, position: str, keys: list[str], *, block: int = 100_000) -> DataFrame:
     """Rows whose key is smaller than that of the row before by position.
 
-    Neighbours are compared inside blocks of positions; each block also sees the last row of the one
-    before, so no task sorts more than a block. Positions are whole numbers."""
+    Neighbours are compared inside blocks of positions; each block also sees the last row of the filled
+    block before it, so no task sorts more than a block or one row per block. Positions are whole numbers."""
     k = F.struct(*keys)
     b = df.withColumn("_b", F.floor(F.col(position) / block))
-    last = b.groupBy("_b").agg(F.max_by(k, F.col(position)).alias("_k"), F.max(position).alias("_at"))
-    heads = last.select((F.col("_b") + 1).alias("_b"), "_k")
+    last = b.groupBy("_b").agg(F.max_by(k, F.col(position)).alias("_k"))
+    heads = last.select("_b", F.lag("_k").over(Window.orderBy("_b")).alias("_k"))
     w = Window.partitionBy("_b").orderBy(position)
     rows = b.withColumn("_prev", F.lag(k).over(w)).join(heads, "_b", "left")
     before = F.coalesce(F.col("_prev"), F.col("_k"))

@@ -176,6 +176,13 @@ def test_incremental_recompute(spark, tmp_path):
     assert rows(crossrun.recompute(more, str(tmp_path / "c"), "k", compute)) == [("b", "B"), ("c", "C")] and calls == [2, 1]
 
 
+def test_unordered_sees_across_empty_blocks(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6), (100, 4), (101, 5), (900, 1), (1700, 2)], "n bigint, v int").repartition(4)
+    assert [r.n for r in audit.unordered(df, "n", ["v"], block=3).orderBy("n").collect()] == [100, 900]
+    wide = df.selectExpr("n * 100000 AS n", "v")
+    assert [r.n for r in audit.unordered(wide, "n", ["v"]).orderBy("n").collect()] == [10_000_000, 90_000_000]
+
+
 def test_audit(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1, 2, 2, 5, 4, 6, 3, 9, 10, 8])], "n bigint, v int").repartition(4)
     assert [r.n for r in audit.unordered(df, "n", ["v"]).orderBy("n").collect()] == [4, 6, 9]
