@@ -70,6 +70,10 @@ class _Pairs(list):
     """Members of an object in the order of writing; repeated keys stay."""
 
 
+class _Constant(str):
+    """NaN, Infinity or -Infinity, which Python reads although JSON has no such number."""
+
+
 def merkle(value: object) -> tuple[bytes, str]:
     """Digest and canonical form of a parsed value. Objects come as _Pairs."""
     if isinstance(value, _Pairs):
@@ -78,6 +82,8 @@ def merkle(value: object) -> tuple[bytes, str]:
     if isinstance(value, list):
         items = [merkle(v) for v in value]
         return _hash(b"a", *(d for d, _ in items)), "[" + ",".join(c for _, c in items) + "]"
+    if isinstance(value, _Constant):
+        return _hash(b"c", value.encode()), str(value)
     if isinstance(value, str):
         text = normal(value)
         return _string_leaf(text) if len(text) <= 128 else _string_leaf.__wrapped__(text)
@@ -94,7 +100,7 @@ def fingerprint(text: str | None) -> tuple[bytes | None, str | None]:
     if text is None:
         return None, None
     try:
-        value = json.loads(text, object_pairs_hook=_Pairs, parse_float=Decimal)
+        value = json.loads(text, object_pairs_hook=_Pairs, parse_float=Decimal, parse_constant=_Constant)
         return merkle(value)
     except (ValueError, ArithmeticError, RecursionError):
         leaf = normal(text)

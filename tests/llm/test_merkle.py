@@ -47,6 +47,15 @@ def test_no_digest_for_nothing():
     assert root("not json") == root("NOT-JSON!") and root("[]") != root("{}") and root('{"a":1,"A":1}') != root('{"a":1}')
 
 
+def test_constants_outside_json_are_leaves_of_their_own(spark):
+    forms = [merkle.fingerprint(t) for t in ('{"v": NaN}', '{"v": Infinity}', '{"v": -Infinity}', '{"v": "NaN"}', '{"v": null}', '{"v": 0}', "NaN")]
+    assert len({r for r, _ in forms}) == len({f for _, f in forms}) == 7
+    data = [(1, '{"v": NaN, "w": [Infinity]}'), (2, '{"W":[ Infinity],"V":NaN}'), (3, '{"v": NaN, "w": [-Infinity]}')]
+    df = spark.createDataFrame(data, "id bigint, t string")
+    assert [tuple(r) for r in merkle.copies(df, "id", "t").collect()] == [(1, 2)]
+    assert sorted(map(tuple, merkle.distinct_records(df, "id", "t").collect())) == [(1, 2), (3, 1)]
+
+
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-99, 99) | st.text("abC 1.-_é", max_size=6), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.sampled_from(["a", "b", "c", "d"]), c, max_size=3), max_leaves=12)
 
 
