@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefold.plans.skew import dictionary_join
+from orefold.session import cut, scratch, stored
 
 DIGEST_BYTES = 16
 _STRAY_POINT = regex.compile(r"(?<!\d)\.|\.(?!\d)")
@@ -122,27 +123,39 @@ def rooted(df: DataFrame, key: str, text: str) -> DataFrame:
     return records.mapInPandas(run, f"k {kind}, root binary, form string").withColumnRenamed("k", key)
 
 
-def groups(records: DataFrame, key: str) -> DataFrame:
-    """(root, form, keep_id, n): one row per distinct record with its smallest id and its number of copies.
-
-    Grouping by digest and form confirms the structure in full; the partial aggregate runs before the
-    shuffle, so that a record copied very often arrives as one row per task."""
-    return records.groupBy("root", "form").agg(F.min(key).alias("keep_id"), F.count(F.lit(1)).alias("n"))
-
-
-def copies(df: DataFrame, key: str, text: str, *, total: int | None = None) -> DataFrame:
+def copies(df: DataFrame, key: str, text: str) -> DataFrame:
     """(keep_id, copy_id): one row for each member of a group of copies but its smallest id.
 
     Null texts belong to no group. Equal ids in several rows count as one record. Records are copies if
     their keys and values agree but for the order of members at every depth and for case, blanks and
-    punctuation in keys and strings; numbers agree by value."""
-    total = df.count() if total is None else total
-    records = rooted(df, key, text)
-    joined = dictionary_join(records, groups(records, key), ["root", "form"], spread=F.col(key), total=total, keep=F.col("n") > 1)
-    pairs = joined.where(F.col("keep_id").isNotNull() & (F.col("keep_id") != F.col(key))).select("keep_id", F.col(key).alias("copy_id"))
-    return pairs
+    punctuation in keys and strings; numbers agree by value.
+
+    Digests are made once and written with the canonical forms. Groups are counted by the digest alone; only
+    the forms of groups with two and more rows are compared, and a digest that stands for several forms has
+    its group split by form."""
+    with scratch(df.sparkSession) as work:
+        return cut(confirmed(stored(rooted(df, key, text), f"{work}/records"), key, work))
+
+
+def confirmed(records: DataFrame, key: str, work: str) -> DataFrame:
+    """(keep_id, copy_id) of (key, root, form) rows that agree in root and form; work receives what is read twice."""
+    sizes = records.groupBy("root").agg(F.min(key).alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    met = dictionary_join(records, sizes, ["root"], spread=F.col(key), total=records.count(), keep=F.col("n") > 1)
+    met = stored(met.where(F.col("keep_id").isNotNull()), f"{work}/met")
+    pairs = met.select("root", "keep_id", F.col(key).alias("copy_id"))
+    clash = stored(met.groupBy("root").agg(F.min("form").alias("a"), F.max("form").alias("z")).where("a <> z").select("root"), f"{work}/clash")
+    if not clash.isEmpty():
+        split = met.join(clash, "root", "left_semi")
+        heads = split.groupBy("root", "form").agg(F.min(key).alias("keep_id"))
+        split = split.drop("keep_id").join(heads, ["root", "form"]).select("root", "keep_id", F.col(key).alias("copy_id"))
+        pairs = pairs.join(clash, "root", "left_anti").unionByName(split)
+    return pairs.where(F.col("keep_id") != F.col("copy_id")).select("keep_id", "copy_id")
 
 
 def distinct_records(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(keep_id, copies): every record once, with the number of rows it stood in."""
-    return groups(rooted(df, key, text), key).select("keep_id", F.col("n").alias("copies"))
+    """(keep_id, copies): every record once, with the number of rows it stood in.
+
+    Grouping by digest and form confirms the structure in full; the partial aggregate runs before the
+    shuffle, so that a record copied very often arrives as one row per task."""
+    g = rooted(df, key, text).groupBy("root", "form").agg(F.min(key).alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    return g.select("keep_id", F.col("n").alias("copies"))

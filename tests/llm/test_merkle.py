@@ -89,6 +89,12 @@ def test_copies(spark):
     assert merkle.copies(df.limit(0), "id", "t").count() == 0
 
 
+def test_forms_that_share_a_digest_are_told_apart(spark, tmp_path):
+    rows = [(1, b"r", "x"), (2, b"r", "y"), (3, b"r", "x"), (4, b"r", "y"), (5, b"r", "z"), (6, b"q", "x"), (7, b"q", "x")]
+    found = merkle.confirmed(spark.createDataFrame(rows, "id bigint, root binary, form string"), "id", str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 4), (6, 7)]
+
+
 def test_repeated_rows_and_long_texts(spark):
     long = json.dumps({"a": "x y" * 200_000})
     df = spark.createDataFrame([(1, long), (1, long), (2, long.replace("x y", "X-Y"))], "id bigint, t string")
