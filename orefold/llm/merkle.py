@@ -47,65 +47,98 @@ def normal(text: str) -> str:
     return _normal_short(text) if len(text) <= 128 else _normal(text)
 
 
-def _number(value: int | Decimal) -> str:
-    d = Decimal(value)
-    if not d:
-        return "0"
-    sign, digits, exponent = d.as_tuple()
-    text = "".join(map(str, digits)).lstrip("0")
-    cut = text.rstrip("0")
-    return f"{'-' if sign else ''}{cut}e{exponent + len(text) - len(cut)}"
+class Node(tuple):
+    """(digest, canonical form) of a parsed value."""
 
+    __slots__ = ()
 
-def _hash(tag: bytes, *parts: bytes) -> bytes:
-    """Digest of tagged parts, each behind its length."""
-    return hashlib.blake2b(tag + b"".join([x for p in parts for x in (len(p).to_bytes(4, "big"), p)]), digest_size=DIGEST_BYTES).digest()
+
+def _sized(part: bytes) -> bytes:
+    return len(part).to_bytes(4, "big") + part
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST_BYTES).digest()
 
 
 @lru_cache(maxsize=1 << 16)
-def _string_leaf(text: str) -> tuple[bytes, str]:
-    return _hash(b"s", text.encode("utf-8", "surrogatepass")), json.dumps(text)
+def _number(written: str) -> Node:
+    """A number by its value, sign included: digits without outer zeros, and the exponent behind them."""
+    d = Decimal(written)
+    text = "0"
+    if d:
+        sign, digits, exponent = d.as_tuple()
+        whole = "".join(map(str, digits)).lstrip("0")
+        cut_ = whole.rstrip("0")
+        text = f"{'-' if sign else ''}{cut_}e{exponent + len(whole) - len(cut_)}"
+    return Node((_digest(b"n" + text.encode()), text))
+
+
+def _constant(name: str) -> Node:
+    """null, true, false, and NaN, Infinity or -Infinity, which Python reads although JSON has no such number."""
+    return Node((_digest(b"c" + name.encode()), name))
+
+
+_WORDS = {None: _constant("null"), True: _constant("true"), False: _constant("false")}
+
 
+def _string(text: str) -> Node:
+    plain = normal(text)
+    return Node((_digest(b"s" + plain.encode("utf-8", "surrogatepass")), json.dumps(plain)))
 
-class _Pairs(list):
-    """Members of an object in the order of writing; repeated keys stay."""
 
+_short_string = lru_cache(maxsize=1 << 16)(_string)
 
-class _Constant(str):
-    """NaN, Infinity or -Infinity, which Python reads although JSON has no such number."""
 
+@lru_cache(maxsize=1 << 14)
+def _short_key(key: str) -> tuple[bytes, str]:
+    """What stands before a member's digest, and before its form."""
+    plain = normal(key)
+    return b"m" + _sized(plain.encode("utf-8", "surrogatepass")), json.dumps(plain) + ":"
 
-def merkle(value: object) -> tuple[bytes, str]:
-    """Digest and canonical form of a parsed value. Objects come as _Pairs."""
-    if isinstance(value, _Pairs):
-        members = sorted((_hash(b"m", k.encode(), d), f"{json.dumps(k)}:{c}") for k, (d, c) in ((normal(k), merkle(v)) for k, v in value))
-        return _hash(b"o", *(d for d, _ in members)), "{" + ",".join(c for _, c in members) + "}"
-    if isinstance(value, list):
+
+def _key(key: str) -> tuple[bytes, str]:
+    return _short_key(key) if len(key) <= 128 else _short_key.__wrapped__(key)
+
+
+def merkle(value: object) -> Node:
+    """The node of a parsed value, whose objects are nodes already."""
+    kind = type(value)
+    if kind is Node:
+        return value
+    if kind is str:
+        return _short_string(value) if len(value) <= 128 else _string(value)
+    if kind is list:
         items = [merkle(v) for v in value]
-        return _hash(b"a", *(d for d, _ in items)), "[" + ",".join(c for _, c in items) + "]"
-    if isinstance(value, _Constant):
-        return _hash(b"c", value.encode()), str(value)
-    if isinstance(value, str):
-        text = normal(value)
-        return _string_leaf(text) if len(text) <= 128 else _string_leaf.__wrapped__(text)
-    if value is None or isinstance(value, bool):
-        text = json.dumps(value)
-        return _hash(b"c", text.encode()), text
-    text = _number(value)
-    return _hash(b"n", text.encode()), text
+        return Node((_digest(b"a" + b"".join([d for d, _ in items])), "[" + ",".join([c for _, c in items]) + "]"))
+    return _WORDS[value]
+
+
+def _object(pairs: list[tuple[str, object]]) -> Node:
+    """An object by its members in the order of their digests; repeated keys stay."""
+    members = []
+    for k, v in pairs:
+        before, name = _key(k)
+        d, c = merkle(v)
+        members.append((_digest(before + d), name + c))
+    members.sort()
+    return Node((_digest(b"o" + b"".join([d for d, _ in members])), "{" + ",".join([c for _, c in members]) + "}"))
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_object, parse_float=_number, parse_int=_number, parse_constant=_constant)
 
 
 def fingerprint(text: str | None) -> tuple[bytes | None, str | None]:
     """Root digest and canonical form of a record. Null has none; text that is not JSON is one string leaf, and
-    if nothing of it counts (empty text, blanks) it has none either."""
+    if nothing of it counts (empty text, blanks) it has none either.
+
+    Objects are hashed as the decoder closes them, so children always come before their parent."""
     if text is None:
         return None, None
     try:
-        value = json.loads(text, object_pairs_hook=_Pairs, parse_float=Decimal, parse_constant=_Constant)
-        return merkle(value)
+        return merkle(_DECODER.decode(text))
     except (ValueError, ArithmeticError, RecursionError):
-        leaf = normal(text)
-        return merkle(text) if leaf else (None, None)
+        return merkle(text) if normal(text) else (None, None)
 
 
 def rooted(df: DataFrame, key: str, text: str) -> DataFrame:
