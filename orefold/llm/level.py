@@ -31,6 +31,8 @@ LEAST_WORDS = 30
 PROSE_PART = 0.75
 #: Counts a letter pair, and a single letter, lend to the estimate of what follows them.
 PRIOR = (50.0, 20.0)
+#: Share of the graded documents below which a step of the calibration is joined with its neighbour.
+LEAST_BLOCK = 0.02
 #: Calibrated levels from here on are nearer to 4 than to 3.
 HARD = 3.5
 #: Words are counted over all documents in this many hashed buckets: a table of fixed size for any corpus.
@@ -223,16 +225,30 @@ class Ranker:
         return np.where(np.isnan(scores), np.nan, np.interp(scores, self.knots, self.levels))
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: the centre and mean of each block of a non-decreasing fit of y over x."""
+def isotonic(x: np.ndarray, y: np.ndarray, *, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: the centre and mean of each block of a non-decreasing fit of y over x.
+
+    Blocks with less than the share `least` of the points, which stand for a few readers' errors where two
+    levels meet, are joined with the neighbour of the nearer mean, the smallest first."""
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []
+
+    def join(i: int) -> None:
+        a, b = blocks[i], blocks.pop(i + 1)
+        n = a[1] + b[1]
+        blocks[i] = [(a[0] * a[1] + b[0] * b[1]) / n, n, (a[2] * a[1] + b[2] * b[1]) / n]
+
     for xi, yi in zip(x[order], y[order]):
         blocks.append([yi, 1.0, xi])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            b, a = blocks.pop(), blocks.pop()
-            n = a[1] + b[1]
-            blocks.append([(a[0] * a[1] + b[0] * b[1]) / n, n, (a[2] * a[1] + b[2] * b[1]) / n])
+            join(len(blocks) - 2)
+    while len(blocks) > 1:
+        i = min(range(len(blocks)), key=lambda k: (blocks[k][1], k))
+        if blocks[i][1] >= least * len(x):
+            break
+        left = blocks[i][0] - blocks[i - 1][0] if i else math.inf
+        right = blocks[i + 1][0] - blocks[i][0] if i + 1 < len(blocks) else math.inf
+        join(i - 1 if left <= right else i)
     return np.array([b[2] for b in blocks]), np.array([b[0] for b in blocks])
 
 
@@ -258,7 +274,7 @@ def fit(x: np.ndarray, levels: np.ndarray, *, seed: int = 7, steps: int = 400, p
 
 def calibrated(ranker: Ranker, scores: np.ndarray, levels: np.ndarray) -> Ranker:
     """The ranker with the isotonic steps from scores to levels."""
-    return Ranker(ranker.mean, ranker.scale, ranker.weights, *isotonic(scores, levels))
+    return Ranker(ranker.mean, ranker.scale, ranker.weights, *isotonic(scores, levels, least=LEAST_BLOCK))
 
 
 def word_weights(docs: DataFrame, text: str) -> bytes:

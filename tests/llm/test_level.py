@@ -80,6 +80,14 @@ def test_isotonic_is_monotone():
     assert list(y) == [1, 2.5, 4] and list(x) == [1, 2.5, 4]
 
 
+def test_few_errors_make_no_step_of_their_own():
+    x = np.arange(200.0)
+    y = np.r_[np.full(99, 3.0), 4, 3, np.full(99, 4.0)]
+    assert len(level.isotonic(x, y)[0]) == 3
+    knots, steps = level.isotonic(x, y, least=0.02)
+    assert len(knots) == 2 and abs(np.interp(99.5, knots, steps) - 3.5) < 0.02
+
+
 def corpus(seed):
     rnd = random.Random(seed)
     docs, labels = [], []
