@@ -42,7 +42,9 @@ GROUP_CHARS, MEMORY_WORDS = 1 << 21, 1 << 17
 
 #: Words that open a subordinate clause or tie clauses together.
 CLAUSE_WORDS = frozenset("that which who whom whose whether although though since because if unless until while whereas where when before after than as inasmuch notwithstanding namely so but nor yet however consequently".split())
-_ABBREVIATION = re.compile(r"\b(e\.g|i\.e|cf|ca|vs|fig|no|approx|etc|resp|dr|eq|tab|ref|et al)\.", re.I)
+# Abbreviations whose point ends no sentence.
+ABBREVIATIONS = ("e.g.", "i.e.", "cf.", "ca.", "vs.", "fig.", "no.", "approx.", "etc.", "resp.", "dr.", "eq.", "tab.", "ref.", "et al.")
+_ABBREVIATION = re.compile(r"\b(" + "|".join(re.escape(a[:-1]) for a in ABBREVIATIONS) + r")\.", re.I)
 _LIST = re.compile(r"^\s*(?:[-*•>|]+|\(?\d{1,3}[.)]|[a-z]\))\s+", re.M)
 _SPLIT = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|\n\s*\n|\n")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -60,7 +62,9 @@ def sentences(text: str) -> list[str]:
     """Sentences of a text whatever its layout: marks of lists and quotes are dropped, a line that ends a
     sentence or is followed by a new one ends there, and a line broken inside a sentence is joined again."""
     t = _LIST.sub("", text.replace("\r\n", "\n").replace("\r", "\n").replace("\u200b", ""))
-    t = _ABBREVIATION.sub(lambda m: m[1].replace(".", "") + " ", t)
+    low = t.lower()
+    if any(map(low.__contains__, ABBREVIATIONS)):
+        t = _ABBREVIATION.sub(lambda m: m[1].replace(".", "") + " ", t)
     if "\n" in t and not (t.isupper() or t.islower()):
         t = _BROKEN.sub(" ", t)
     return [s for s in (p.strip() for p in _SPLIT.split(t)) if s]
