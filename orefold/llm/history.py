@@ -3,14 +3,14 @@
 Rows agree if their proposal does and either the fingerprint is the same or the messages share three
 quarters of their token set. Two messages that similar share one of their rarest tokens (those of the
 prefix), so a shard stores each accepted row under (proposal, prefix token) and (proposal, fingerprint);
-a new row is compared only with the rows it meets under a key. A batch adds a shard; shards are compacted.
+a new row is compared only with the rows it meets under a key. A key with many rows is replaced by keys of
+two tokens, since similar messages share two in a prefix longer by one. A batch adds a shard; shards are
+compacted on schedule.
 """
 
 from __future__ import annotations
 
 import math
-import shutil
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,18 +18,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold.plans.skew import dictionary_join
-from orefold.session import cut, shared_dir
+from orefold.session import cut, remove, scratch, stored
 
 #: Token counts are kept in this many hashed buckets, one byte each: a table of fixed size for any corpus.
 BUCKETS = 8192
-#: Rows under one key beyond which its index rows are split into blocks, each met by all queries of the key.
+#: Rows under one token beyond which the token's rows meet under pairs of tokens instead.
+PAIR_ROWS = 2_000
+#: Rows under one key beyond which its rows are split into blocks, each met by all queries of the key.
 BLOCK_ROWS = 20_000
-#: Postings up to which the last, chained decisions are made in one task instead of another round.
-TAIL_ROWS = 200_000
+#: Undecided rows of one proposal that one task decides in order; more are decided in consecutive parts.
+PART_ROWS = 20_000
 #: Similarity as a fraction.
 SHARE = (3, 4)
 
-POSTING = "h bigint, id bigint, k bigint, f bigint, form string"
+ROWS = "id bigint, k binary, f binary, form string"
+POSTINGS = "h bigint, id bigint"
 
 
 def _tokens(message: Column) -> Column:
@@ -37,13 +40,14 @@ def _tokens(message: Column) -> Column:
 
 
 def normalised(df: DataFrame, id_col: str, key: str, message: str, fp: str) -> DataFrame:
-    """(id, k, f, form): hashed proposal and fingerprint, and the sorted distinct tokens of the message.
+    """(id, k, f, form): 128-bit digests of proposal and fingerprint, and the sorted distinct tokens of the message.
 
     Rows without id or proposal, or with neither fingerprint nor tokens, agree with nothing and are left out."""
+    digest = lambda c: F.unhex(F.md5(c))
     k = F.lower(F.regexp_replace(F.col(key), "[^A-Za-z0-9]", ""))
     f = F.regexp_replace(F.lower(F.trim(F.col(fp))), "^sha256:", "")
     form = F.array_join(_tokens(F.col(message)), " ")
-    out = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(F.col(key).isNotNull(), F.xxhash64(k)).alias("k"), F.when(F.col(fp).isNotNull(), F.xxhash64(f)).alias("f"), F.when(form != "", form).alias("form"))
+    out = df.select(F.col(id_col).cast("bigint").alias("id"), digest(k).alias("k"), digest(f).alias("f"), F.when(form != "", form).alias("form"))
     return out.where(F.col("id").isNotNull() & F.col("k").isNotNull() & (F.col("f").isNotNull() | F.col("form").isNotNull()))
 
 
@@ -57,22 +61,49 @@ def token_weights(forms: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _needed(n: Column) -> Column:
+    """Tokens of n that a similar message must share: the share, rounded up."""
+    num, den = SHARE
+    return F.floor((n * num + den - 1) / den).cast("int")
+
+
+def _ranked(weights: bytes) -> Column:
+    """Hashes of a form's tokens, the rarest first: by weight, then by hash."""
+    weight = lambda t: F.substr(F.lit(bytearray(weights)), F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
+    pairs = F.array_sort(F.transform(F.split("form", " "), lambda t: F.struct(weight(t).alias("w"), F.xxhash64(t).alias("t"))))
+    return F.transform(pairs, lambda s: s["t"])
+
+
+def _token_key(t: Column) -> Column:
+    return F.xxhash64(F.col("k"), F.lit("t"), t)
+
+
 def postings(rows: DataFrame, weights: bytes) -> DataFrame:
-    """(h, id): a row under each key it can be met by; the order of tokens is by weight, then by hash.
+    """(h, id): a row under each key it can be met by.
 
     Of n tokens the first n - ceil(3n/4) + 1 suffice: any message that shares three quarters shares one."""
-    num, den = SHARE
-    token = F.split("form", " ")
-    ranked = F.array_sort(F.transform(token, lambda t: F.struct(F.substr(F.lit(bytearray(weights)), F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).alias("w"), F.xxhash64(t).alias("t"))))
-    n = F.size(token)
-    prefix = F.slice(ranked, F.lit(1), n - F.floor((n * num + den - 1) / den).cast("int") + 1)
-    by_token = F.when(F.col("form").isNotNull(), F.transform(prefix, lambda s: F.xxhash64(F.col("k"), F.lit("t"), s["t"])))
+    ranked, n = _ranked(weights), F.size(F.split("form", " "))
+    by_token = F.when(F.col("form").isNotNull(), F.transform(F.slice(ranked, F.lit(1), n - _needed(n) + 1), _token_key))
     by_print = F.when(F.col("f").isNotNull(), F.array(F.xxhash64(F.col("k"), F.lit("f"), F.col("f"))))
     none = F.array().cast("array<bigint>")
     keys = F.array_union(F.coalesce(by_token, none), F.coalesce(by_print, none))
     return rows.select(F.explode(keys).alias("h"), "id")
 
 
+def paired(hot: DataFrame, weights: bytes) -> DataFrame:
+    """hot (h, id, k, f, form, ...) with the keys of hot tokens replaced by keys of two tokens.
+
+    Messages that share the tokens needed share two of the first n - ceil(3n/4) + 2; the first of them is the
+    token of h, the second makes the new key. Messages of one token, and fingerprints, keep h."""
+    ranked, n = _ranked(weights), F.size(F.split("form", " "))
+    prefix = F.slice(ranked, F.lit(1), F.least(n - _needed(n) + 2, n))
+    at = F.array_position(F.transform(prefix, _token_key), F.col("h")).cast("int")
+    later = F.transform(F.slice(prefix, at + 1, F.greatest(F.size(prefix) - at, F.lit(0))), lambda t: F.xxhash64(F.col("h"), t))
+    keys = F.when(F.col("form").isNull() | (at == 0) | (n == 1), F.array("h")).otherwise(later)
+    rest = [c for c in hot.columns if c != "h"]
+    return hot.select(F.explode(keys).alias("h"), *rest)
+
+
 def _agree(a: tuple, b: tuple) -> bool:
     """a and b are (k, f, tokens)."""
     if a[0] != b[0]:
@@ -89,17 +120,13 @@ def _agree(a: tuple, b: tuple) -> bool:
     return den * common >= num * (len(x) + len(y) - common)
 
 
-def _row(k: int, f: str | None, form: str | None) -> tuple:
-    return k, int(f) if isinstance(f, str) else None, frozenset(form.split(" ")) if isinstance(form, str) else frozenset()
-
-
-def _exact(posted: DataFrame) -> DataFrame:
-    """f as text: pandas would take a batch of bigints with a null among them as floats and lose digits."""
-    return posted.withColumn("f", F.col("f").cast("string"))
+def _row(k: bytes, f: bytes | None, form: str | None) -> tuple:
+    """Digests come as bytes, so no null among them turns them into floats."""
+    return bytes(k), None if f is None else bytes(f), frozenset(form.split(" ")) if isinstance(form, str) else frozenset()
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each query of a key, in order of id, the smallest indexed row before it that it agrees with."""
+    """For each query of a key, in order of id, the smallest held row before it that it agrees with."""
     key, index = None, []
     for pdf in batches:
         new, old = [], []
@@ -119,120 +146,145 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _nearest(posted: DataFrame) -> DataFrame:
-    """(new_id, old_id): per query the smallest held row before it that it agrees with, over all its keys.
+    """(new_id, old_id): per asking row the smallest holding row before it that it agrees with, over all its keys.
 
-    posted is POSTING with asks and n, the rows under the key. Keys with more than BLOCK_ROWS rows are split:
-    each row is held in one block and asks in all, so no task holds more than about BLOCK_ROWS rows."""
+    posted has h, the columns of ROWS, asks, holds and n, the rows under the key. Keys with more than
+    BLOCK_ROWS rows are split: each row is held in one block and asks in all, so no task holds more than about
+    BLOCK_ROWS rows."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = posted.withColumn("own", own).withColumn("b", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-    spread = spread.withColumn("holds", F.col("b") == F.col("own"))
-    even = _exact(spread).select("h", "b", "id", "k", "f", "form", "asks", "holds").repartition("h", "b").sortWithinPartitions("h", "b", "id")
+    spread = spread.withColumn("holds", F.col("holds") & (F.col("b") == F.col("own"))).where("asks OR holds")
+    even = spread.select("h", "b", "id", "k", "f", "form", "asks", "holds").repartition("h", "b").sortWithinPartitions("h", "b", "id")
     return even.mapInPandas(_meet, "new_id bigint, old_id bigint").groupBy("new_id").agg(F.min("old_id").alias("old_id"))
 
 
-def _tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Decides the given rows one by one in order of id; open rows become accepted or repeat an accepted one."""
-    pdf = pd.concat([*batches], ignore_index=True)
-    if not len(pdf):
-        return
-    by_key: dict[int, list[int]] = {}
-    rows, keys, opened = {}, {}, set()
-    for h, i, k, f, form, asks in zip(pdf["h"], pdf["id"], pdf["k"], pdf["f"], pdf["form"], pdf["asks"]):
-        rows[i] = _row(k, f, form)
-        keys.setdefault(i, []).append(h)
-        if asks:
-            opened.add(i)
-    new, old = [], []
-    for i in sorted(rows):
-        if i in opened:
-            met = sorted({j for h in keys[i] for j in by_key.get(h, ())})
-            hit = next((j for j in met if _agree(rows[i], rows[j])), None)
-            if hit is not None:
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decides undecided rows, sorted by proposal and id, one by one: (new_id, old_id) of those that repeat.
+
+    A row repeats the smaller of `before`, the accepted row of an earlier part, and the smallest row accepted
+    here that it agrees with; one with neither is accepted."""
+    key, by_key, kept = None, {}, {}
+    for pdf in batches:
+        new, old = [], []
+        for k, i, f, form, hs, before in zip(pdf["k"], pdf["id"], pdf["f"], pdf["form"], pdf["hs"], pdf["before"]):
+            if k != key:
+                key, by_key, kept = k, {}, {}
+            me = _row(k, f, form)
+            hit = next((j for j in sorted({j for h in hs for j in by_key.get(h, ()) if before < 0 or j < before}) if _agree(me, kept[j])), before)
+            if hit >= 0:
                 new.append(i)
                 old.append(hit)
                 continue
-        for h in keys[i]:
-            by_key.setdefault(h, []).append(i)
-    yield pd.DataFrame({"new_id": new, "old_id": old})
+            kept[i] = me
+            for h in hs:
+                by_key.setdefault(h, []).append(i)
+        yield pd.DataFrame({"new_id": new, "old_id": old})
 
 
 def decide(posted: DataFrame) -> DataFrame:
     """(new_id, old_id) of every asking row that repeats an accepted one; rows that do not ask are accepted.
 
-    A row whose smallest agreeing predecessor is accepted repeats it; one without any is accepted. The rest
-    hang on undecided rows: they ask again among the rows not yet rejected until none is left. Few rounds
-    are needed, since the smallest undecided row of every chain is decided in each; once few postings are
-    left, one task decides them in order."""
-    near = cut(_nearest(posted))
-    chained = near.join(near.select(F.col("new_id").alias("old_id")), "old_id", "left_semi")
-    done = cut(near.join(near.select(F.col("new_id").alias("old_id")), "old_id", "left_anti").select("new_id", "old_id"))
-    open_ids = cut(chained.select(F.col("new_id").alias("id")))
-    while True:
-        left = open_ids.count()
-        if not left:
-            return done
-        lists = posted.join(open_ids, "id", "left_semi").select("h").distinct()
-        rest = posted.join(lists, "h", "left_semi").join(done.select(F.col("new_id").alias("id")), "id", "left_anti")
-        rest = rest.drop("asks").join(open_ids.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        rest = cut(rest.select("h", "id", "k", "f", "form", "asks", "n"))
-        if rest.count() <= TAIL_ROWS:
-            return done.unionByName(_exact(rest).coalesce(1).mapInPandas(_tail, "new_id bigint, old_id bigint"))
-        near = cut(_nearest(rest))
-        asked = near.join(open_ids.withColumnRenamed("id", "old_id"), "old_id", "left_semi")
-        settled = near.join(open_ids.withColumnRenamed("id", "old_id"), "old_id", "left_anti")
-        done = cut(done.unionByName(settled.select("new_id", "old_id")))
-        open_ids = cut(asked.select(F.col("new_id").alias("id")))
-
-
-def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, history: DataFrame | None = None, weights: bytes | None = None, keep: str | None = None) -> DataFrame:
+    posted has h, the columns of ROWS, asks and n. A row without agreeing predecessor is accepted; one whose
+    smallest is accepted repeats it. The others hang on rows that repeat something themselves. Agreement never
+    leaves a proposal, so each proposal's open rows are decided in order in a task of their own; a proposal
+    with more than PART_ROWS of them goes in consecutive parts, each of which first meets all that was
+    accepted before. There are as many rounds as the largest proposal has parts, however long the chains."""
+    near = cut(_nearest(posted.withColumn("holds", F.lit(True))))
+    repeating = near.select(F.col("new_id").alias("old_id"))
+    done = cut(near.join(repeating, "old_id", "left_anti").select("new_id", "old_id"))
+    opened = cut(near.join(repeating, "old_id", "left_semi").select(F.col("new_id").alias("id")))
+    if opened.isEmpty():
+        return done
+    lists = posted.join(opened, "id", "left_semi").select("h").distinct()
+    rest = posted.drop("asks").join(lists, "h", "left_semi").join(done.select(F.col("new_id").alias("id")), "id", "left_anti")
+    rest = cut(rest.join(opened.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False))))
+    most = rest.where("open").dropDuplicates(["id"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("n") > PART_ROWS)
+    edges = _edges(rest, most)
+    refused: DataFrame | None = None
+    for low, high in zip([None, *edges], [*edges, None]):
+        inside = F.col("open")
+        if low is not None:
+            inside = inside & (F.col("id") >= low)
+        if high is not None:
+            inside = inside & (F.col("id") < high)
+        state = rest.withColumn("asks", inside)
+        if low is None:
+            state = state.withColumn("holds", ~F.col("open"))
+        else:
+            state = state.join(refused.select(F.col("new_id").alias("id")), "id", "left_anti").withColumn("holds", ~F.col("open") | (F.col("id") < low))
+        before = _nearest(state)
+        mine = rest.where(inside).groupBy("id").agg(F.first("k").alias("k"), F.first("f").alias("f"), F.first("form").alias("form"), F.collect_list("h").alias("hs"))
+        mine = mine.join(before.select(F.col("new_id").alias("id"), F.col("old_id").alias("before")), "id", "left").withColumn("before", F.coalesce("before", F.lit(-1)))
+        part = cut(mine.repartition("k").sortWithinPartitions("k", "id").mapInPandas(_in_order, "new_id bigint, old_id bigint"))
+        refused = part if refused is None else cut(refused.unionByName(part))
+    return done.unionByName(refused)
+
+
+def _edges(rest: DataFrame, most: DataFrame) -> list[int]:
+    """Ids that part the open rows so that no proposal has many more than PART_ROWS between two of them."""
+    largest = most.agg(F.max("n")).first()[0]
+    if largest is None:
+        return []
+    parts = -(-largest // PART_ROWS)
+    hot = rest.where("open").join(most.select("k"), "k", "left_semi").dropDuplicates(["id"])
+    cuts = hot.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
+    return sorted({*cuts})
+
+
+class Shards:
+    """Accepted rows as (h, id) postings beside (id, k, f, form) rows, in one folder or several."""
+
+    def __init__(self, spark: SparkSession, folders: list[str]) -> None:
+        self.postings = spark.read.schema(POSTINGS).parquet(*[f"{f}/postings" for f in folders])
+        self.rows = spark.read.schema(ROWS).parquet(*[f"{f}/rows" for f in folders])
+
+
+def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, history: Shards | None = None, weights: bytes | None = None, keep: str | None = None) -> DataFrame:
     """(old_id, new_id): every row that repeats an accepted row, with the smallest accepted row it repeats.
 
-    Rows are taken by id; history holds POSTING rows of what was accepted before, whose ids are smaller. Of
-    it only the postings under keys the new rows ask under go further.
-    Rows with equal proposal, fingerprint and tokens form one class: only its first row is searched, the
-    others repeat it or what it repeats. A row with a null proposal, and the fingerprint or message that is
-    null or without tokens, agree with nothing. keep names a folder that receives the accepted postings.
-    """
-    spark = df.sparkSession
-    total = df.count()
-    base = normalised(df, id_col, key, message, fp)
-    work = f"{shared_dir(spark).rstrip('/')}/orefold-{uuid.uuid4().hex}"
-    try:
-        base.groupBy("k", "f", "form").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).write.parquet(f"{work}/first")
-        first = spark.read.parquet(f"{work}/first")
+    Rows are taken by id; history holds what was accepted before, whose ids are smaller. Of it only the
+    postings under keys the new rows ask under, and the rows these name, go further. Rows with equal proposal,
+    fingerprint and tokens form one class: only its first row is searched, the others repeat it or what it
+    repeats. A row with a null proposal, and the fingerprint or message that is null or without tokens, agree
+    with nothing. keep names a folder that receives the accepted rows and their postings."""
+    with scratch(df.sparkSession) as work:
+        base = normalised(df, id_col, key, message, fp)
+        first = stored(base.groupBy("k", "f", "form").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), f"{work}/first")
         weights = token_weights(first) if weights is None else weights
-        postings(first, weights).withColumn("asks", F.lit(True)).write.parquet(f"{work}/posted")
-        met = spark.read.parquet(f"{work}/posted")
-        if history is not None:
-            history = cut(history.join(met.select("h").distinct(), "h", "left_semi"))
-            met = met.unionByName(history.select("h", "id").withColumn("asks", F.lit(False)))
-        shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.col("n"))
-        asked = 6 * total if history is None else met.count()
-        met = dictionary_join(met, shared, ["h"], spread=F.col("id"), total=asked, keep=F.col("n") > 1).where(F.col("rows") > 1).withColumnRenamed("rows", "n")
-        known = first.select("id", "k", "f", "form")
-        if history is not None:
-            known = known.unionByName(history.select("id", "k", "f", "form").dropDuplicates(["id"]))
-        met.join(known, "id").select("h", "id", "k", "f", "form", "asks", "n").write.parquet(f"{work}/met")
-        found = cut(decide(spark.read.parquet(f"{work}/met")))
+        posted = stored(postings(first, weights), f"{work}/posted")
+        found = cut(decide(_met(posted, first.drop("n"), history, weights, work)))
         if keep is not None:
-            accepted = first.join(found.select(F.col("new_id").alias("id")), "id", "left_anti").select("id", "k", "f", "form")
-            postings(accepted, weights).join(accepted, "id").select("h", "id", "k", "f", "form").write.parquet(keep)
-        same = [F.col(c) for c in ("k", "f", "form")]
-        mark = F.md5(F.concat_ws("|", F.col("k").cast("string"), F.coalesce(F.col("f").cast("string"), F.lit("-")), F.coalesce(F.col("form"), F.lit("-"))))
-        classes = first.where(F.col("n") > 1).select(*same, F.col("id").alias("rep"), "n").withColumn("c", F.unhex(mark))
+            gone = found.select(F.col("new_id").alias("id"))
+            first.join(gone, "id", "left_anti").select("id", "k", "f", "form").write.parquet(f"{keep}/rows")
+            posted.join(gone, "id", "left_anti").write.parquet(f"{keep}/postings")
+        mark = F.unhex(F.md5(F.concat_ws("|", F.hex("k"), F.coalesce(F.hex("f"), F.lit("-")), F.coalesce(F.col("form"), F.lit("-")))))
+        classes = first.where(F.col("n") > 1).select(F.col("id").alias("rep"), "n", mark.alias("c"))
         classes = classes.join(found.select(F.col("new_id").alias("rep"), F.col("old_id").alias("old")), "rep", "left").select("c", "n", F.coalesce("old", "rep").alias("old_id"))
-        members = cut(base.select(F.col("id").alias("new_id"), F.unhex(mark).alias("c")))
-        copies = dictionary_join(members, classes, ["c"], spread=F.col("new_id"), total=total)
+        members = stored(base.select(F.col("id").alias("new_id"), mark.alias("c")), f"{work}/members")
+        copies = dictionary_join(members, classes, ["c"], spread=F.col("new_id"), total=members.count())
         copies = copies.where(F.col("old_id").isNotNull() & (F.col("old_id") != F.col("new_id"))).select("old_id", "new_id")
         return cut(found.select("old_id", "new_id").unionByName(copies).distinct())
-    finally:
-        _remove(spark, work)
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _met(posted: DataFrame, rows: DataFrame, history: Shards | None, weights: bytes, work: str) -> DataFrame:
+    """(h, ROWS, asks, n) of every posting that shares its key with another one, written once."""
+    met, known = posted.withColumn("asks", F.lit(True)), rows.select("id", "k", "f", "form")
+    if history is not None:
+        asked = stored(history.postings.join(posted.select("h").distinct(), "h", "left_semi"), f"{work}/asked")
+        met = met.unionByName(asked.withColumn("asks", F.lit(False)))
+        known = known.unionByName(history.rows.join(asked.select("id").distinct(), "id", "left_semi"))
+    shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("held", F.col("n"))
+    total = posted.count() + (0 if history is None else asked.count())
+    met = dictionary_join(met, shared, ["h"], spread=F.col("id"), total=total, keep=F.col("n") > 1).where(F.col("held") > 1).withColumnRenamed("held", "n")
+    met = stored(met.join(known, "id").select("h", "id", "k", "f", "form", "asks", "n"), f"{work}/met")
+    hot = met.where(F.col("n") > PAIR_ROWS)
+    if hot.isEmpty():
+        return met
+    pairs = stored(paired(hot.drop("n"), weights), f"{work}/pairs")
+    shared = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("held", F.col("n"))
+    pairs = dictionary_join(pairs, shared, ["h"], spread=F.col("id"), total=pairs.count(), keep=F.col("n") > 1).where(F.col("held") > 1).withColumnRenamed("held", "n")
+    return met.where(F.col("n") <= PAIR_ROWS).unionByName(stored(pairs, f"{work}/paired"))
 
 
 class Index:
@@ -244,27 +296,53 @@ class Index:
         self.weights: bytes | None = None
         self._made = 0
 
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema(POSTING).parquet(*self.shards) if self.shards else None
+    def history(self) -> Shards | None:
+        return Shards(self.spark, self.shards) if self.shards else None
 
     def add(self, batch: DataFrame, id_col: str, key: str, message: str, fp: str) -> DataFrame:
         """The repeats of one batch; what it adds to the accepted rows becomes a new shard. The token order is
         fixed by the first batch: it decides how many rows meet, never which are found."""
         if self.weights is None:
             self.weights = token_weights(normalised(batch, id_col, key, message, fp))
-        self._made += 1
-        shard = f"{self.folder}/shard-{self._made:06d}"
-        found = repeats(batch, id_col, key, message, fp, history=self.history(), weights=self.weights, keep=shard)
-        self.shards.append(shard)
         if len(self.shards) >= self.compact_every:
             self.compact()
+        shard = self._next()
+        found = repeats(batch, id_col, key, message, fp, history=self.history(), weights=self.weights, keep=shard)
+        self.shards.append(shard)
         return found
 
-    def compact(self) -> None:
-        """Merges all shards into one, ordered by key."""
+    def _next(self) -> str:
         self._made += 1
-        merged = f"{self.folder}/shard-{self._made:06d}"
-        self.history().repartition("h").sortWithinPartitions("h", "id").write.parquet(merged)
+        return f"{self.folder}/shard-{self._made:06d}"
+
+    def compact(self) -> None:
+        """Merges all shards into one, postings in order of their key, rows in order of their id."""
+        merged, all_ = self._next(), self.history()
+        all_.postings.repartitionByRange("h").sortWithinPartitions("h", "id").write.parquet(f"{merged}/postings")
+        all_.rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{merged}/rows")
         for s in self.shards:
-            _remove(self.spark, s) if "://" in s else shutil.rmtree(s, ignore_errors=True)
+            remove(self.spark, s)
         self.shards = [merged]
+
+
+def arrivals(df: DataFrame, id_col: str, parts: int) -> list[DataFrame]:
+    """df in at most `parts` consecutive ranges of ids with about equally many rows; rows without id in none."""
+    cuts = df.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    edges = sorted({*(cuts or [])})
+    out = []
+    for low, high in zip([None, *edges], [*edges, None]):
+        inside = F.col(id_col).isNotNull()
+        inside = inside if low is None else inside & (F.col(id_col) > low)
+        out.append(df.where(inside if high is None else inside & (F.col(id_col) <= high)))
+    return out
+
+
+def repeats_by_arrival(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, parts: int, compact_every: int) -> DataFrame:
+    """repeats() of a whole table whose rows arrive in consecutive parts, each met with the shards of those before."""
+    out: DataFrame | None = None
+    with scratch(df.sparkSession) as folder:
+        index = Index(df.sparkSession, folder, compact_every=compact_every)
+        for part in arrivals(df, id_col, parts):
+            found = index.add(part, id_col, key, message, fp)
+            out = found if out is None else out.unionByName(found)
+    return out

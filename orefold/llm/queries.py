@@ -9,6 +9,9 @@ from orefold.llm import bpe, history, leak, level, merkle
 from orefold.session import tune
 from orefold.sources.tables import evened, table
 
+#: The findings reach the index in so many consecutive arrivals; shards are merged once so many stand side by side.
+ARRIVALS, COMPACT_EVERY = 4, 3
+
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.copies(evened(table(tune(spark), folder, "corpus_entries", "entry_id", "entry_text")), "entry_id", "entry_text")
@@ -20,7 +23,7 @@ def p2_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(tune(spark), folder, "violations", "finding_id", "proposal_id", "message", "fingerprint")
-    return history.repeats(rows, "finding_id", "proposal_id", "message", "fingerprint")
+    return history.repeats_by_arrival(rows, "finding_id", "proposal_id", "message", "fingerprint", parts=ARRIVALS, compact_every=COMPACT_EVERY)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,14 +64,39 @@ def test_equals_the_one_by_one_rule(spark, seed):
     assert found(df) == brute(data)
 
 
-def test_rounds_and_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("part, block, pair", [(1, 16, 10_000), (7, 16, 3), (20_000, 20_000, 2), (20_000, 3, 0)])
+def test_parts_blocks_and_pairs_give_the_same(spark, monkeypatch, part, block, pair):
     data = sample(160, 9, keys=2)
     df = spark.createDataFrame(data, SCHEMA)
-    monkeypatch.setattr(history, "TAIL_ROWS", 0)
-    monkeypatch.setattr(history, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(history, "PART_ROWS", part)
+    monkeypatch.setattr(history, "BLOCK_ROWS", block)
+    monkeypatch.setattr(history, "PAIR_ROWS", pair)
     assert found(df) == brute(data)
 
 
+def test_a_long_chain_takes_as_many_rounds_as_parts(spark, monkeypatch):
+    """Each row agrees with its neighbours only, so every second decision hangs on the one before."""
+    words = [f"w{i}" for i in range(420)]
+    data = [(i, "HOT", " ".join(words[i : i + 12]), None) for i in range(400)]
+    rounds, real = [], history._nearest
+    monkeypatch.setattr(history, "_nearest", lambda posted: rounds.append(1) or real(posted))
+    monkeypatch.setattr(history, "PART_ROWS", 100)
+    assert found(spark.createDataFrame(data, SCHEMA)) == brute(data) and len(rounds) <= 6
+
+
+def test_hot_tokens_meet_in_pairs_only(spark):
+    """One token in every message of a proposal: under pairs of tokens few rows stand together."""
+    rnd = random.Random(8)
+    data = [(i, "HOT", f"hot a{rnd.randrange(40)} b{rnd.randrange(40)} c{rnd.randrange(40)}", None) for i in range(600)]
+    rows = history.normalised(spark.createDataFrame(data, SCHEMA), *ARGS)
+    weights = bytearray(b"\xff" * history.BUCKETS)
+    weights[spark.sql(f"SELECT pmod(xxhash64('hot'), {history.BUCKETS})").first()[0]] = 0
+    posted = history.postings(rows, bytes(weights)).join(rows, "id")
+    pairs = history.paired(posted, bytes(weights)).groupBy("h").count()
+    assert posted.groupBy("h").count().agg(F.max("count")).first()[0] == 600 and pairs.agg(F.max("count")).first()[0] < 60
+    assert found(spark.createDataFrame(data, SCHEMA), weights=bytes(weights)) == brute(data)
+
+
 def test_prefix_tokens_of_similar_sets_always_meet(spark):
     rnd = random.Random(5)
     data = []
@@ -88,9 +113,9 @@ def test_batches_against_an_index(spark, tmp_path):
     data = sample(240, 4)
     index = history.Index(spark, str(tmp_path / "index"), compact_every=2)
     got = []
-    for a in range(0, 240, 80):
-        got += [tuple(r) for r in index.add(spark.createDataFrame(data[a : a + 80], SCHEMA), *ARGS).collect()]
-    assert sorted(got) == brute(data) and len(index.shards) < 3
+    for a in range(0, 240, 60):
+        got += [tuple(r) for r in index.add(spark.createDataFrame(data[a : a + 60], SCHEMA), *ARGS).collect()]
+    assert sorted(got) == brute(data) and len(index.shards) == 2
 
 
 def test_a_batch_meets_only_the_history_it_asks_for(spark, tmp_path, monkeypatch):
@@ -111,15 +136,35 @@ def test_a_batch_meets_only_the_history_it_asks_for(spark, tmp_path, monkeypatch
     assert seen[1] and all(asked for _, asked in seen[1]) and len(seen[1]) < len(seen[0])
 
 
+def test_hot_keys_are_counted_among_what_stands_under_the_keys(spark, tmp_path, monkeypatch):
+    """A small batch against a history a thousand times its size broadcasts no more than HOT_SHARE keys."""
+    from orefold.plans import skew
+
+    totals, real = [], history.dictionary_join
+    monkeypatch.setattr(history, "dictionary_join", lambda rows, entries, keys, **o: totals.append((entries.where(F.col("n") * skew.HOT_SHARE >= o["total"]).count(), keys)) or real(rows, entries, keys, **o))
+    old = [(i, f"P-{i % 500}", f"m{i} x{i % 97} y{i % 89}", None) for i in range(3_000)]
+    index = history.Index(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame(old, SCHEMA), *ARGS)
+    new = [(3_000 + i, f"P-{i}", f"m{i} x{i % 97} y{i % 89}", None) for i in range(3)]
+    assert sorted(map(tuple, index.add(spark.createDataFrame(new, SCHEMA), *ARGS).collect())) == [(i, 3_000 + i) for i in range(3)]
+    assert totals and all(n <= skew.HOT_SHARE for n, _ in totals)
+
+
+def test_by_arrival_equals_one_pass(spark):
+    data = sample(200, 6) + [(None, "HOT-1", "no id", None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = history.repeats_by_arrival(df, *ARGS, parts=4, compact_every=3)
+    assert sorted(map(tuple, got.collect())) == brute([d for d in data if d[0] is not None])
+    assert history.repeats_by_arrival(df.limit(0), *ARGS, parts=4, compact_every=3).count() == 0
+
+
 def test_hot_exact_copies(spark):
     data = [(i, "HOT", "same old message here", "sha256:AA") for i in range(800)] + [(800 + i, "HOT", f"other {i} thing {i * 7} x{i}", None) for i in range(50)]
     assert found(spark.createDataFrame(data, SCHEMA)) == brute(data) == [(0, i) for i in range(1, 800)]
 
 
-@pytest.mark.parametrize("tail", [0, 200_000])
-def test_one_fingerprint_over_many_messages_beside_null_ones(spark, monkeypatch, tail):
+def test_one_fingerprint_over_many_messages_beside_null_ones(spark):
     """The hot key spans several Arrow batches, the first of which holds null fingerprints too."""
-    monkeypatch.setattr(history, "TAIL_ROWS", tail)
     nulls = [(i, f"N-{i // 2}", f"lone{i // 2} words here{' too' * (i % 2)}", None) for i in range(400)]
     data = nulls + [(400, "HOT", "w0", None)] + [(401 + i, "HOT", f"m{i} x{i * 7} y{i * 11}", "sha256:AB") for i in range(5_000)]
     df = spark.createDataFrame(data, SCHEMA).coalesce(1)
