@@ -11,7 +11,7 @@ compacted on schedule.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -240,18 +240,22 @@ class Shards:
         self.rows = spark.read.schema(ROWS).parquet(*[f"{f}/rows" for f in folders])
 
 
-def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, history: Shards | None = None, weights: bytes | None = None, keep: str | None = None) -> DataFrame:
+def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, history: Shards | None = None, weights: bytes | None = None, keep: str | None = None, learned: Callable[[bytes], None] | None = None) -> DataFrame:
     """(old_id, new_id): every row that repeats an accepted row, with the smallest accepted row it repeats.
 
     Rows are taken by id; history holds what was accepted before, whose ids are smaller. Of it only the
     postings under keys the new rows ask under, and the rows these name, go further. Rows with equal proposal,
     fingerprint and tokens form one class: only its first row is searched, the others repeat it or what it
     repeats. A row with a null proposal, and the fingerprint or message that is null or without tokens, agree
-    with nothing. keep names a folder that receives the accepted rows and their postings."""
+    with nothing. keep names a folder that receives the accepted rows and their postings; learned is told the
+    token weights made from these rows where none are given."""
     with scratch(df.sparkSession) as work:
-        base = normalised(df, id_col, key, message, fp)
+        base = stored(normalised(df, id_col, key, message, fp), f"{work}/base")
         first = stored(base.groupBy("k", "f", "form").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), f"{work}/first")
-        weights = token_weights(first) if weights is None else weights
+        if weights is None:
+            weights = token_weights(first)
+            if learned is not None:
+                learned(weights)
         posted = stored(postings(first, weights), f"{work}/posted")
         found = cut(decide(_met(posted, first.drop("n"), history, weights, work)))
         if keep is not None:
@@ -261,8 +265,8 @@ def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, hist
         mark = F.unhex(F.md5(F.concat_ws("|", F.hex("k"), F.coalesce(F.hex("f"), F.lit("-")), F.coalesce(F.col("form"), F.lit("-")))))
         classes = first.where(F.col("n") > 1).select(F.col("id").alias("rep"), "n", mark.alias("c"))
         classes = classes.join(found.select(F.col("new_id").alias("rep"), F.col("old_id").alias("old")), "rep", "left").select("c", "n", F.coalesce("old", "rep").alias("old_id"))
-        members = stored(base.select(F.col("id").alias("new_id"), mark.alias("c")), f"{work}/members")
-        copies = dictionary_join(members, classes, ["c"], spread=F.col("new_id"), total=members.count())
+        members = base.select(F.col("id").alias("new_id"), mark.alias("c"))
+        copies = dictionary_join(members, classes, ["c"], spread=F.col("new_id"), total=base.count())
         copies = copies.where(F.col("old_id").isNotNull() & (F.col("old_id") != F.col("new_id"))).select("old_id", "new_id")
         return cut(found.select("old_id", "new_id").unionByName(copies).distinct())
 
@@ -302,15 +306,16 @@ class Index:
     def add(self, batch: DataFrame, id_col: str, key: str, message: str, fp: str) -> DataFrame:
         """The repeats of one batch; what it adds to the accepted rows becomes a new shard. The token order is
         fixed by the first batch: it decides how many rows meet, never which are found."""
-        if self.weights is None:
-            self.weights = token_weights(normalised(batch, id_col, key, message, fp))
         if len(self.shards) >= self.compact_every:
             self.compact()
         shard = self._next()
-        found = repeats(batch, id_col, key, message, fp, history=self.history(), weights=self.weights, keep=shard)
+        found = repeats(batch, id_col, key, message, fp, history=self.history(), weights=self.weights, keep=shard, learned=self._learn)
         self.shards.append(shard)
         return found
 
+    def _learn(self, weights: bytes) -> None:
+        self.weights = weights
+
     def _next(self) -> str:
         self._made += 1
         return f"{self.folder}/shard-{self._made:06d}"
