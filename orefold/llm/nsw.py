@@ -8,7 +8,7 @@ recall it reaches on the messages of one proposal.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
@@ -80,3 +80,26 @@ def recall(rows: Sequence[frozenset[str]], beams: Sequence[int], *, share: float
         hit = sum(any(s >= share and i != q for s, i in graph.search(rows[q], beam)) for q in wanted)
         out.append((beam, hit / max(1, len(wanted)), graph.compared / max(1, len(wanted))))
     return out
+
+
+def screened(rows: Iterable[tuple[int, str, str | None, frozenset[str]]], beam: int, *, share: float = 0.75, **settings: int) -> tuple[list[tuple[int, int]], int]:
+    """((old_id, new_id) pairs, comparisons) of (id, proposal, fingerprint, tokens) rows taken by id, one graph of
+    accepted rows per proposal as the screen, the rule itself on what the screen lets through."""
+    graphs: dict[str, SmallWorld] = {}
+    ids: dict[str, list[int]] = {}
+    prints: dict[tuple[str, str], int] = {}
+    out = []
+    for i, proposal, fp, tokens in rows:
+        graph = graphs.setdefault(proposal, SmallWorld(**settings))
+        met = [ids[proposal][j] for s, j in graph.search(tokens, beam) if s >= share] if tokens else []
+        if (proposal, fp) in prints:
+            met.append(prints[proposal, fp])
+        if met:
+            out.append((min(met), i))
+            continue
+        if fp is not None:
+            prints[proposal, fp] = i
+        if tokens:
+            graph.add(tokens)
+            ids.setdefault(proposal, []).append(i)
+    return out, sum(g.compared for g in graphs.values())

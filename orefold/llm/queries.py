@@ -10,7 +10,7 @@ from orefold.session import tune
 from orefold.sources.tables import evened, table
 
 #: The findings reach the index in so many consecutive arrivals; shards are merged once so many stand side by side.
-ARRIVALS, COMPACT_EVERY = 4, 3
+ARRIVALS, COMPACT_EVERY = 3, 2
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

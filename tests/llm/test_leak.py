@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 
 import pytest
@@ -50,12 +51,30 @@ def test_leaks(spark):
 
 
 def test_packs_of_items_find_the_same(spark, monkeypatch):
-    monkeypatch.setattr(leak, "ITEM_CHARS", 40)
+    monkeypatch.setattr(leak, "PACK_BYTES", 60 * leak.WORD_BYTES)
     rnd = random.Random(2)
     items = [(i, " ".join(rnd.choices("abcdefg", k=14))) for i in range(20)]
+    items += [(100 + i, t) for i, t in items[:5]]
     docs = [(d, " ".join(rnd.choices("abcdefg", k=10)) + " " + items[d][1]) for d in range(20)]
     got = leak.leaks(spark.createDataFrame(docs, "d bigint, text string"), "d", "text", spark.createDataFrame(items, "i bigint, text string"), "i", "text")
     assert sorted(map(tuple, got.collect())) == brute(docs, items, 10)
+    args = (spark.createDataFrame(docs, "d bigint, text string"), "d", "text", spark.createDataFrame(items, "i bigint, text string"), "i", "text")
+    some = sorted(map(tuple, leak.cleaned(*args).collect()))
+    monkeypatch.setattr(leak, "PACK_BYTES", 1 << 30)
+    assert some == sorted(map(tuple, leak.cleaned(*args).collect())) and len(some) == 20
+
+
+@pytest.mark.parametrize("letters, n", [("abcdefghij", 30), ("ab", 400)])
+def test_an_automaton_stays_below_its_budget(letters, n):
+    rnd = random.Random(3)
+    vocab = [f"{a}{i}" for a in letters for i in range(1 if n == 400 else 300)]
+    items = [(i, " ".join(rnd.choices(vocab, k=n))) for i in range(6_000 // n * 5)]
+    auto = leak.Automaton(items, 10)
+    total = sum(len(leak.words(t)) for _, t in items)
+    assert auto.size() <= leak.WORD_BYTES * total
+    again = pickle.loads(pickle.dumps(auto))
+    text = leak.words("x " + items[0][1] + " y " + items[7][1])
+    assert again.scan(text) == auto.scan(text) and {0, 7} <= auto.scan(text)[0]
 
 
 def test_cleaned(spark):
