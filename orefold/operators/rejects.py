@@ -1,7 +1,8 @@
 """Rows that fail to parse: valid lines are loaded, the others set apart with a reason.
 
-The lines are tiled into fields by one pattern inside the JVM. Each distinct value of a checked column is
-cast once; the dictionary of values with its verdicts is joined back beside the structural checks.
+The lines are tiled into fields by one pattern inside the JVM, once, and written. Each distinct value of a
+checked column is cast once; the dictionary of values with its verdicts, one for all columns, is joined back
+beside the structural checks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefold.plans.skew import dictionary_join
+from orefold.session import cut, scratch, stored
 
 #: The header of the claim lines.
 CLAIM_HEADER = ("proposal_id", "name", "value", "unit", "uncertainty", "basis", "temperature", "temperature_unit", "note")
@@ -48,37 +50,35 @@ def reject_lines(
     header: tuple[str, ...] = CLAIM_HEADER,
     required: tuple[str, ...] = ("value",),
     optional: tuple[str, ...] = ("temperature",),
-    total: int | None = None,
+    with_fields: bool = True,
 ) -> DataFrame:
     """(id, fields, reason): reason is null for a valid line, else the first that applies of quoting,
-    column_count and the name of the first column, in header order, that is not a number.
+    column_count and the name of the first column, in header order, that is not a number; fields, left out
+    unless with_fields, are null where the line is unreadable or has another number of them.
 
     required columns must hold a number; optional ones may be empty or blank. A null line is unreadable
     (quoting); an empty line has one field (column_count). Repeated lines each keep their row.
     """
-    total = lines.count() if total is None else total
-    parsed = lines.select(F.col(id_col).alias("_id"), F.col(line_col).alias("_line")).withColumn("_f", csv_fields(F.col("_line")))
-    parsed = parsed.withColumn(
-        "_why",
-        F.when(F.col("_line").isNull() | ~is_readable(F.col("_line"), F.col("_f")), F.lit("quoting")).when(F.size("_f") != len(header), F.lit("column_count")),
-    )
     checked = [c for c in header if c in required or c in optional]
+    f = F.col("_f")
+    parsed = lines.select(F.col(id_col).alias("_id"), F.col(line_col).alias("_line")).withColumn("_f", csv_fields(F.col("_line")))
+    why = F.when(F.col("_line").isNull() | ~is_readable(F.col("_line"), f), F.lit("quoting")).when(F.size(f) != len(header), F.lit("column_count"))
+    parsed = parsed.withColumn("_why", why)
     ok = F.col("_why").isNull()
-    for c in checked:
-        parsed = parsed.withColumn(f"_v_{c}", F.when(ok, unquote(F.get(F.col("_f"), F.lit(header.index(c))))))
-    parsed = parsed.withColumn("_f", F.when(ok, F.transform("_f", unquote)))
-    out = parsed
-    for c in checked:
-        v = f"_v_{c}"
-        valid = is_number(F.col(v))
-        if c in optional:
-            valid = valid | (F.trim(F.regexp_replace(F.col(v), r"\s", " ")) == "")
-        words = parsed.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("n")).withColumn(f"_bad_{c}", ~valid)
-        out = dictionary_join(out, words, [v], spread=F.col("_id"), total=total, keep=F.col(f"_bad_{c}"))
-    why = F.col("_why")
-    for c in checked:
-        why = F.coalesce(why, F.when(F.col(f"_bad_{c}"), F.lit(c)))
-    return out.select(F.col("_id").alias(id_col), F.col("_f").alias("fields"), why.alias("reason"))
+    values = [F.when(ok, unquote(F.get(f, F.lit(header.index(c))))).alias(f"_v{i}") for i, c in enumerate(checked)]
+    with scratch(lines.sparkSession) as work:
+        kept = [F.when(ok, F.transform(f, unquote)).alias("_f")] if with_fields else []
+        parsed = stored(parsed.select("_id", "_why", *values, *kept), f"{work}/parsed")
+        each = F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_v{i}").alias("_v")) for i in range(len(checked))]))
+        words = parsed.select(each).where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("n"))
+        blank = F.col("_c").isin([i for i, c in enumerate(checked) if c in optional]) & (F.trim(F.regexp_replace("_v", r"\s", " ")) == "")
+        words = stored(words.withColumn("_bad", ~(is_number(F.col("_v")) | blank)), f"{work}/words")
+        total, out = parsed.count(), parsed
+        for i in range(len(checked)):
+            mine = words.where(F.col("_c") == i).select(F.col("_v").alias(f"_v{i}"), "n", F.col("_bad").alias(f"_bad{i}"))
+            out = dictionary_join(out, mine, [f"_v{i}"], spread=F.col("_id"), total=total, keep=F.col(f"_bad{i}"))
+        reason = F.coalesce(F.col("_why"), *[F.when(F.col(f"_bad{i}"), F.lit(c)) for i, c in enumerate(checked)])
+        return cut(out.select(F.col("_id").alias(id_col), *[F.col("_f").alias("fields")] * with_fields, reason.alias("reason")))
 
 
 def load_lines(rejected: DataFrame, id_col: str, *, header: tuple[str, ...] = CLAIM_HEADER, numbers: tuple[str, ...] = ("value", "temperature")) -> DataFrame:

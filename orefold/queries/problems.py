@@ -24,16 +24,16 @@ def p1_casts(spark: SparkSession, folder: str) -> DataFrame:
     return drift.casts(spans)
 
 
-def _rejected(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.reject_lines(table(tune(spark), folder, "claim_lines", "line_id", "raw_line"), "line_id", "raw_line")
+def _rejected(spark: SparkSession, folder: str, *, with_fields: bool) -> DataFrame:
+    return rejects.reject_lines(table(tune(spark), folder, "claim_lines", "line_id", "raw_line"), "line_id", "raw_line", with_fields=with_fields)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _rejected(spark, folder).where(F.col("reason").isNotNull()).select("line_id", "reason")
+    return _rejected(spark, folder, with_fields=False).where(F.col("reason").isNotNull()).select("line_id", "reason")
 
 
 def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.load_lines(_rejected(spark, folder), "line_id")
+    return rejects.load_lines(_rejected(spark, folder, with_fields=True), "line_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
