@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,21 @@ def resolve(quantity: str | None, unit: str | None, text: str | None) -> tuple[s
     return ("same" if abs(scale - 1) < SAME and abs(offset) < SAME else "converted"), scale, offset
 
 
-@F.pandas_udf(CONVERSION)
-def _resolve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+#: Texts up to this length are remembered with their result; longer ones are read again.
+SHORT = 400
+_remembered = lru_cache(maxsize=1 << 15)(resolve)
+
+
+def _resolved(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for q, u, t in batches:
-        yield pd.DataFrame([resolve(*x) for x in zip(q, u, t)], columns=["status", "scale", "offset"])
+        rows = pd.MultiIndex.from_arrays([q, u, t]).factorize()
+        found = [(resolve if isinstance(x[2], str) and len(x[2]) > SHORT else _remembered)(*(v if isinstance(v, str) else None for v in x)) for x in rows[1]]
+        yield pd.DataFrame(found, columns=["status", "scale", "offset"]).iloc[rows[0]].reset_index(drop=True)
+
+
+def _resolve(quantity: str, unit: str, text: str) -> Column:
+    """resolve() of three columns. Said to be nondeterministic so that filters stay above it and it runs once."""
+    return F.pandas_udf(_resolved, CONVERSION).asNondeterministic()(quantity, unit, text)
 
 
 def _blank(unit: Column) -> Column:

@@ -26,9 +26,32 @@ def test_other_dimensions_are_refused(quantity, unit):
     assert units.conversion(quantity, unit) is None
 
 
+@pytest.mark.parametrize(
+    ("text", "scale", "dims"),
+    [
+        ("(J/mol)*K", 1, (2, 1, -2, 0, 1, -1)), ("J/(mol*K)", 1, (2, 1, -2, 0, -1, -1)), ("J/mol·K", 1, (2, 1, -2, 0, -1, -1)), ("J/mol K", 1, (2, 1, -2, 0, -1, -1)), ("m/s*kg", 1, (1, 1, -1, 0, 0, 0)), ("m/s/s", 1, (1, 0, -2, 0, 0, 0)),
+        ("ft", 0.3048, (1, 0, 0, 0, 0, 0)), ("Da/Å^3", 1.66053906660e3, (-3, 1, 0, 0, 0, 0)), ("psi", 6894.757293168, (-1, 1, -2, 0, 0, 0)), ("Torr", 101325 / 760, (-1, 1, -2, 0, 0, 0)), ("mmHg", 133.322387415, (-1, 1, -2, 0, 0, 0)),
+        ("Ohm^-1 cm^-1", 100, (-3, -1, 3, 2, 0, 0)), ("inches", 0.0254, (1, 0, 0, 0, 0, 0)), ("cubic centimetres per mole", 1e-6, (3, 0, 0, 0, 0, -1)), ("(m/s)^2", 1, (2, 0, -2, 0, 0, 0)), ("10^3 kg/m3", 1e3, (-3, 1, 0, 0, 0, 0)), ("min", 60, (0, 0, 1, 0, 0, 0)),
+    ],
+)
+def test_grammar(text, scale, dims):
+    unit = units.parse_unit(text)
+    assert unit.dims == dims and unit.scale == pytest.approx(scale, rel=1e-9)
+
+
+@pytest.mark.parametrize("text", ["", "  ", "(m", "m)", "m//s", "/s", "m^", "*", "((((((((((((((((((m))))))))))))))))))", "°C*m", "°C^2", "10^3", "furlong per fortnight", "x" * 5000])
+def test_what_is_no_unit(text):
+    assert units.parse_unit(text) is None
+
+
+def test_a_symbol_of_two_meanings_is_read_as_the_one_that_fits():
+    assert units.conversion("density", "Da/A3")[0] == pytest.approx(1.66053906660) and units.conversion("lattice", "A")[0] == pytest.approx(1)
+
+
 @pytest.mark.parametrize(
     ("text", "unit"),
     [
+        ("Please read every band gap (in kJ per mole) as such.", "kJ per mole"), ("For the band gap we adopt hartree units.", "hartree"), ("The band gap was 3.2 eV last time.", None), ("A gap of 1.1 eV; K was not used for the band gap.", None), ("The band gap in V is unknown.", None), ("J were used for the band gap.", "J"),
         ("Cheap. The band gap is given in hartrees. Stable.", "hartrees"), ("Units: band gap in meV.", "meV"), ("meV were used for the band gap.", "meV"), ("All band gap figures below are kcal/mol.", "kcal/mol"), ("We quote the band gap in Ry here.", "Ry"),
         ("The band gap is not in hartrees.", None), ("Older cards had the band gap in hartrees; it has been brought to the common unit.", None), ("Other groups state the band gap in meV, which we do not.", None), ("The melting point is given in F.", None), ("", None),
     ],
