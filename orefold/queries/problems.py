@@ -15,13 +15,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.unify(table(tune(spark), folder, "run_files", "row_no", "payload"), "row_no", "payload")
+    return drift.unify(table(tune(spark), folder, "run_files", "row_no", "producer", "file_seq", "payload"), "row_no", "payload")
 
 
 def p1_casts(spark: SparkSession, folder: str) -> DataFrame:
-    runs = table(tune(spark), folder, "run_files", "producer", "file_seq", "payload")
-    spans = drift.lifespans(drift.catalogue(runs, "producer", "file_seq", "payload"), drift.files_of(runs, "producer", "file_seq"))
-    return drift.casts(spans)
+    return drift.cast_table(table(tune(spark), folder, "run_files", "producer", "file_seq", "payload"))
 
 
 def _rejected(spark: SparkSession, folder: str, *, with_fields: bool) -> DataFrame:

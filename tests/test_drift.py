@@ -100,6 +100,28 @@ def test_unify_keeps_every_leaf(spark):
     assert others[2] == [("a.b", "number", "1"), ("a.b", "string", "1")] and others[3:] == [[], []]
 
 
+def test_renames_tell_what_an_unknown_spelling_stands_for(spark):
+    files = [
+        ("a", 1, [{"reward_fn_id": "x@1", "mean_reward": 0.5}]), ("a", 2, [{"law": "x@1", "grade": 0.5}]), ("a", 4, [{"code": "x@1"}, {"code": "y@2"}]),
+        ("b", 1, [{"law": "z@3"}]),
+        ("c", 1, [{"status": "same", "run_id": "same"}]), ("c", 2, [{"odd": "same"}]),
+    ]
+    df = runs(spark, files)
+    got = drift.unify(df, "row_no", "payload").orderBy("row_no").collect()
+    assert [r.reward_fn_id for r in got] == ["x@1", "x@1", "x@1", "y@2", None, None, None]
+    assert [tuple(x) for x in got[1].others] == [("grade", "number", "0.5")]  # equal numbers may be chance
+    assert [tuple(x) for x in got[4].others] == [("law", "string", "z@3")] and [tuple(x) for x in got[6].others] == [("odd", "string", "same")]
+    named = {(r.producer, r.path): r.column for r in drift.cast_table(df).collect()}
+    assert named["a", "law"] == named["a", "code"] == "reward_fn_id" and named["b", "law"] == "law" and named["c", "odd"] == "odd"
+
+
+def test_unify_keeps_rows_without_file_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, 1, '{"run_id": "r", "path": "p"}', 1), ("a", None, '{"row": 1}', 2), ("a", 1, None, 3)], SCHEMA).selectExpr("*", "'x' AS path", "'y' AS column", "9 AS row", "0 AS n")
+    got = drift.unify(df, "row_no", "payload").orderBy("row_no").collect()
+    assert [(r.row_no, r.run_id, [tuple(x) for x in r.others]) for r in got] == [(1, "r", [("path", "string", "p")]), (2, None, [("row", "number", "1")]), (3, None, [])]
+    assert drift.unify(df.limit(0), "row_no", "payload").count() == 0
+
+
 def test_arrays_have_one_canonical_string(spark):
     docs = ['{"tax_version": [1, 2.0, "2", null, true, {"b": [], "a": "\\""}]}', '{"tax_version": [1.0,2,"2",null,true,{"a":"\\u0022","b":[ ]}], "x": [[10]]}']
     got = drift.unify(runs(spark, [("a", 1, docs)]), "row_no", "payload").orderBy("row_no").collect()
