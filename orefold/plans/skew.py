@@ -13,6 +13,8 @@ from orefold.session import cut
 HOT_SHARE = 1000
 #: A hot key longer than this is left to the shuffled join, so the broadcast is at most HOT_SHARE * this.
 HOT_BYTES = 4096
+#: A dictionary of at most this many bytes and entries is broadcast as a whole.
+SMALL_BYTES, SMALL_ROWS = 8 << 20, 100_000
 
 
 def key_bytes(keys: Sequence[str]) -> Column:
@@ -37,8 +39,10 @@ def dictionary_join(
     dictionary[n] is the number of rows of its key and total the number of all rows. The at most HOT_SHARE
     keys that hold 1/HOT_SHARE of the rows are broadcast (bounded by HOT_SHARE * HOT_BYTES), and their rows
     are spread over the shuffle by the column spread; all other keys meet in a shuffled join, where no key
-    is hot any more. Where all entries are hot, or none is, the other join is left out. keep restricts the shuffled part of the dictionary to the entries of interest; other
-    rows keep nulls. Rows with a null key match nothing. The dictionary's n is not returned.
+    is hot any more. A dictionary whose measured size is small is broadcast as a whole, without any shuffle;
+    where all entries are hot, or none is, the other join is left out. keep restricts the shuffled part of
+    the dictionary to the entries of interest; other rows keep nulls. Rows with a null key match nothing. The
+    dictionary's n is not returned.
 
     The entries that are hot or kept are written into the shared folder first, so the dictionary is made
     once although both joins read it.
@@ -46,10 +50,16 @@ def dictionary_join(
     attrs = [c for c in dictionary.columns if c not in keys and c != n]
     is_hot = (F.col(n) * HOT_SHARE >= F.lit(total)) & (key_bytes(keys) <= HOT_BYTES)
     entries = cut(dictionary if keep is None else dictionary.where(is_hot | keep))
+    width = key_bytes(keys)
+    for a in attrs:
+        simple = entries.schema[a].dataType.typeName() not in ("struct", "array", "map", "binary")
+        width = width + F.coalesce(F.octet_length(F.col(a).cast("string") if simple else F.to_json(F.struct(a))), F.lit(0))
+    size = entries.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), F.count_if(is_hot).alias("hot")).first()
+    small = size["rows"] <= SMALL_ROWS and size["bytes"] <= SMALL_BYTES
     mine = lambda side, c: f"_of_{side}_{c}"
     pick = lambda df, side: df.select(*[F.col(k).alias(mine(side, f"key{i}")) for i, k in enumerate(keys)], *[F.col(a).alias(mine(side, a)) for a in attrs], F.lit(True).alias(mine(side, "there")))
-    hot, rest = entries.where(is_hot), entries.where(~is_hot)
-    with_hot, with_rest = not hot.isEmpty(), not rest.isEmpty()
+    hot, rest = (entries, entries.limit(0)) if small else (entries.where(is_hot), entries.where(~is_hot))
+    with_hot, with_rest = (size["rows"] > 0, False) if small else (size["hot"] > 0, size["rows"] > size["hot"])
     out = rows
     if with_hot:
         out = out.join(F.broadcast(pick(hot, "hot")), [F.col(k) == F.col(mine("hot", f"key{i}")) for i, k in enumerate(keys)], "left")
