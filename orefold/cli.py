@@ -18,8 +18,14 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--seed", type=int, default=0)
     run.add_argument("--now", default="1970-01-01T00:00:00Z")
     run.add_argument("--provider", action="append")
-    for name in ("verify", "lineage"):
-        sub.add_parser(name).add_argument("run")
+    run.add_argument("--cache", help="folder that keeps what was judged, by content")
+    run.add_argument("--seconds", type=float, help="time after which no further part of the records is begun")
+    run.add_argument("--corpora", help="folder with a JSON file per provider instead of the built-in corpora")
+    run.add_argument("--tables", help="folder that receives the large tables as Parquet besides")
+    sub.add_parser("verify").add_argument("run")
+    lineage = sub.add_parser("lineage", help="what a run rests on against what is here now")
+    lineage.add_argument("run")
+    lineage.add_argument("--input", help="the file or folder the run has read")
     agg = sub.add_parser("aggregate", help="pool written runs")
     agg.add_argument("runs", nargs="+")
     agg.add_argument("--out", required=True)
@@ -33,12 +39,17 @@ def main(argv: list[str] | None = None) -> int:
     from orefold.reference.config import resolve
     from orefold.schemas import PROPOSAL
     from orefold.session import build_session
+    from orefold.sources import corpus_files
 
     if args.command == "schema":
         print(PROPOSAL)
         return 0
     if args.command == "lineage":
-        states = report.lineage(args.run)
+        try:
+            states = report.lineage(args.run, inputs=args.input)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
         print(json.dumps(dict(states), indent=1))
         return int(any(s == "DIVERGED" for _, s in states))
     spark = build_session()
@@ -47,7 +58,11 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(problems) or "ok")
         return int(bool(problems))
     if args.command == "aggregate":
-        pooled = report.pool(spark, args.runs)
+        try:
+            pooled = report.pool(spark, args.runs)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
         for name, df in pooled.items():
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")
         Path(args.out, "pooled.html").write_text(report.pooled_page(pooled))
@@ -58,11 +73,13 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     try:
         config = resolve(args.config, **({"evidence": {"only": args.provider}} if args.provider else {}))
-        r = verification.run(spark, str(source), config=config, seed=args.seed, logical_time=args.now)
+        sources, entries = corpus_files.load_folder(spark, args.corpora, only=args.provider) if args.corpora else (None, None)
+        options = verification.Options(cache=args.cache, seconds=args.seconds, sources=sources, entries=entries)
+        r = verification.run(spark, str(source), config=config, seed=args.seed, logical_time=args.now, options=options)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
-    report.write(r, args.out, config=config, logical_time=args.now)
+    report.write(r, args.out, config=config, logical_time=args.now, tables=args.tables)
     return r.exit_code
 
 

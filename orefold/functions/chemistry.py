@@ -153,10 +153,32 @@ def survival(counts: Counts, atmosphere: str, kelvin: float) -> float | None:
     return (r["O"] * mu - phase.ev) / phase.atoms if "O" in r and phase is not None and mu is not None else None
 
 
+def products(counts: Counts, atmosphere: str, kelvin: float) -> tuple[str, ...]:
+    """What an oxide that does not survive falls apart into: its metals, and water or oxygen; () if it survives
+    or nothing is known."""
+    force = survival(counts, atmosphere, kelvin)
+    if force is None or force >= 0:
+        return ()
+    return (*sorted(e for e in counts if e != "O"), "H2O" if atmosphere in th.WATER_RATIO else "O2")
+
+
+def boundary(counts: Counts) -> float | None:
+    """The oxygen potential below which an oxide falls apart; None without oxygen or phase."""
+    r = fm.reduced(counts)
+    phase = phase_of(r)
+    return phase.ev / r["O"] if phase is not None and "O" in r else None
+
+
+@lru_cache(maxsize=1)
+def _entropies() -> dict[str, tuple[float, float, float]]:
+    """(entropy in eV/K, atoms, enthalpy) by key."""
+    parsed = [(fm.parse(f).counts, h, s) for f, h, s in th.ENTRIES]
+    return {fm.key(c): (s / 1000 / th.KJ_PER_EV, sum(c.values()), h) for c, h, s in parsed}
+
+
 def gibbs(formula: str, kelvin: float) -> float | None:
     """Formation free energy in eV with tabulated entropies; None if any is missing."""
-    entropy = {fm.key(fm.parse(f).counts): (s / 1000 / th.KJ_PER_EV, sum(fm.parse(f).counts.values()), h) for f, h, s in th.ENTRIES}
-    phase = phase_of(fm.parse(formula).counts)
+    entropy, phase = _entropies(), phase_of(fm.parse(formula).counts)
     if phase is None:
         return None
     change = entropy[phase.key][0]

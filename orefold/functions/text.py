@@ -21,8 +21,10 @@ def strip_invisible(text: Column) -> Column:
 
 
 def fold_separators(text: Column) -> Column:
-    """Adduct dots become *, dashes -, digits of other scripts plain, blanks nothing."""
-    folded = F.translate(text, "·•‧⋅・.−–—₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹", "******---01234567890123456789")
+    """Adduct dots become *, dashes -, digits of other scripts plain, blanks nothing; as formulas are folded."""
+    from orefold.functions.formula import ADDUCTS, DASHES, SCRIPT_DIGITS
+
+    folded = F.translate(text, ADDUCTS + DASHES + SCRIPT_DIGITS, "*" * len(ADDUCTS) + "-" * len(DASHES) + "0123456789" * 2)
     return F.regexp_replace(folded, r"[ \t\n\r\f\x0B]+", "")
 
 
@@ -35,19 +37,34 @@ def truncate(text: Column, limit: int) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Path-safe form: other characters become _, runs of dots one, outer dots and underscores go, 64 at most."""
-    s = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]", "_"), r"\.{2,}", ".")
-    s = F.substring(F.regexp_replace(s, r"^[._]+|[._]+$", ""), 1, 64)
-    return F.when(s == "", F.lit("unnamed")).otherwise(s)
+    """Path-safe form: other characters become _, as does each run of two and more dots; outer dots go, then
+    outer underscores; the first 64 characters count. Null, and what nothing is left of, is `record`."""
+    s = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]", "_"), r"\.{2,}", "_")
+    s = F.regexp_replace(F.regexp_replace(s, r"^\.+|\.+$", ""), "^_+|_+$", "")
+    return F.when(s.isNull() | (s == ""), F.lit("record")).otherwise(F.substring(s, 1, 64))
 
 
 def sha256(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-def fingerprint(code: Column, pointer: Column, observed: Column) -> Column:
-    """Identity of a finding wherever it occurs: code, pointer and observed value, not record or run."""
-    return sha256(F.concat_ws("\u001f", code, pointer, F.coalesce(observed, F.lit("\u2400"))))
+@F.pandas_udf(T.StringType())
+def _fingerprint(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for rows in batches:
+        out = []
+        for code, pointer_, seen, kind in zip(*rows):
+            value = None if not isinstance(seen, str) else float(seen) if kind == "number" else seen == "true" if kind == "boolean" else seen
+            value = int(value) if kind == "integer" else value
+            out.append("sha256:" + digest(canonical({"code": code, "json_pointer": pointer_, "observed": value})))
+        yield pd.Series(out)
+
+
+def fingerprint(code: Column, pointer: Column, observed: Column, kind: Column | None = None) -> Column:
+    """Identity of a finding wherever it occurs: code, pointer and observed value, not record or run.
+
+    The digest of the canonical JSON of the three; kind says whether the text of observed is a string (also
+    where it is not given), a number, an integer or a boolean."""
+    return _fingerprint(code, pointer, observed, F.lit("string") if kind is None else kind)
 
 
 def is_naive_timestamp(text: Column) -> Column:

@@ -91,16 +91,17 @@ def claim_findings(assessed: DataFrame, key: str) -> DataFrame:
     at = F.concat(F.lit("/claimed_properties/"), F.col("pos").cast("string"))
     a, unit, value = F.col("assessment"), F.concat(at, F.lit("/unit")), F.concat(at, F.lit("/value"))
     checked = ~a.isin("not_a_number", "overflow", "unknown_property")
+    plausible = F.concat_ws(" to ", F.col("plausible_min").cast("string"), F.col("plausible_max").cast("string"))
     alien = ~F.coalesce(is_ascii(F.col("unit")), F.lit(True))
     return found_many(
         assessed,
         key,
         [
-            (a.isin("overflow", "impossible"), "CLAIM.VALUE.PHYSICALLY_IMPOSSIBLE", "error", value, F.coalesce("normalized", "value")),
-            (checked & (alien | (a == "unit_error")), "CLAIM.UNITS.INCONSISTENT", "error", unit, F.col("unit")),
-            (checked & (a != "unit_error") & (F.col("first_token") != F.col("token")), "CLAIM.UNITS.INCONSISTENT", "warning", unit, F.col("unit")),
+            (a.isin("overflow", "impossible"), "CLAIM.VALUE.PHYSICALLY_IMPOSSIBLE", "error", value, F.coalesce("normalized", "value"), F.col("hard_min")),
+            (checked & (alien | (a == "unit_error")), "CLAIM.UNITS.INCONSISTENT", "error", unit, F.col("unit"), F.col("canonical")),
+            (checked & (a != "unit_error") & (F.col("first_token") != F.col("token")), "CLAIM.UNITS.INCONSISTENT", "warning", unit, F.col("unit"), F.col("first_token")),
             (a == "sentinel", "CLAIM.SENTINEL.SUSPECTED", "warning", value, F.col("value")),
-            (a == "implausible", "CLAIM.UNSUPPORTED.PROPERTY_ASSERTION", "warning", value, F.col("normalized")),
-            (a == "unsupported", "CLAIM.UNSUPPORTED.PROPERTY_ASSERTION", "note", value, F.col("normalized")),
+            (a == "implausible", "CLAIM.UNSUPPORTED.PROPERTY_ASSERTION", "warning", value, F.col("normalized"), plausible),
+            (a == "unsupported", "CLAIM.UNSUPPORTED.PROPERTY_ASSERTION", "note", value, F.col("normalized"), plausible),
         ],
     )

@@ -86,9 +86,9 @@ def composition_findings(df: DataFrame, key: str, *, neutrality_level: str = "wa
             (f["code"] == "FMT.ENCODING.NON_ASCII_SYMBOL", "FMT.ENCODING.NON_ASCII_SYMBOL", "error", at, F.col("formula")),
             (f["code"] == "CHEM.FORMULA.UNPARSEABLE", "CHEM.FORMULA.UNPARSEABLE", "error", at, F.col("formula")),
             (f["code"] == "CHEM.FORMULA.UNKNOWN_ELEMENT", "CHEM.FORMULA.UNKNOWN_ELEMENT", "error", at, F.col("formula")),
-            (f["divisor"] > 1, "CHEM.FORMULA.NOT_REDUCED", "note", at, F.col("formula")),
-            (ok & f["out_of_scope"].isNotNull(), "CHEM.SCOPE.NOT_INORGANIC_CRYSTALLINE", "error", at, f["reduced"]),
-            (f["charge"] == "unbalanced", "CHEM.CHARGE.NOT_NEUTRAL", neutrality_level, at, F.lit("no neutral assignment")),
+            (f["divisor"] > 1, "CHEM.FORMULA.NOT_REDUCED", "note", at, F.col("formula"), f["reduced"]),
+            (ok & f["out_of_scope"].isNotNull(), "CHEM.SCOPE.NOT_INORGANIC_CRYSTALLINE", "error", at, f["reduced"], f["out_of_scope"]),
+            (f["charge"] == "unbalanced", "CHEM.CHARGE.NOT_NEUTRAL", neutrality_level, at, f["reduced"]),
             (f["misplaced"].isNotNull(), "CHEM.ELECTRONEG.IMBALANCED", "warning", at, f["misplaced"]),
             (differs != "", "CHEM.FORMULA.INCONSISTENT_WITH_ELEMENTS", "error", "/composition/elements", differs),
         ],

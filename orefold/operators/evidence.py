@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 
 from orefold.functions import formula as fm
 from orefold.operators.findings import COLUMNS, found
+from orefold.plans.skew import SMALL_ROWS
 from orefold.reference.corpora import PROVIDERS, TIERS
+from orefold.session import cut
 
 
-def corpus_rows() -> list[tuple[str, str, str, str, int | None, str]]:
-    """(provider, key, reduced formula, identifier, documents, note); the first spelling of a composition counts."""
+def corpus_rows() -> list[tuple[str, str, str, str, int | None]]:
+    """(provider, key, reduced formula, identifier, documents); the first spelling of a composition counts."""
     out = []
     for p in PROVIDERS:
         seen = set()
-        for formula, identifier, documents, note in p.entries():
+        for formula, identifier, documents in p.entries():
             counts = fm.parse(formula).counts
             k = fm.key(counts)
             if k not in seen:
                 seen.add(k)
-                out.append((p.name, k, fm.spell(counts), identifier, documents, note))
+                out.append((p.name, k, fm.spell(counts), identifier, documents))
     return out
 
 
 def corpora(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(corpus_rows(), "provider string, key string, reduced_formula string, identifier string, n_documents int, note string")
+    return spark.createDataFrame(corpus_rows(), "provider string, key string, reduced_formula string, identifier string, n_documents int")
 
 
 def providers(spark: SparkSession, *, only: Sequence[str] | None = None, failed: Sequence[str] = ()) -> DataFrame:
@@ -44,13 +46,14 @@ def providers(spark: SparkSession, *, only: Sequence[str] | None = None, failed:
 def answers(df: DataFrame, key: str, composition: str, sources: DataFrame, entries: DataFrame) -> DataFrame:
     """(key, provider, mode, evidence, status, identifiers) of every provider for every row with a composition.
 
-    sources and entries are the fixed provider and corpus tables. A load failure is unavailable; entries
+    sources is the fixed provider table, entries the corpora, broadcast only while they are small. A load failure is unavailable; entries
     that all record no document are a miss; other entries a hit; else replay is unavailable, snapshot a miss."""
     known = entries.groupBy("provider", F.col("key").alias("_k")).agg(F.min(F.coalesce(F.col("n_documents") == 0, F.lit(False))).alias("empty"), F.array_sort(F.collect_set("identifier")).alias("identifiers"))
     rows = df.where(F.col(composition).isNotNull()).select(key, F.col(composition).alias("_k"))
     each = sources.agg(F.collect_list(F.struct("provider", "mode", "evidence", "available")).alias("p"))
     asked = rows.join(F.broadcast(each)).select(key, "_k", F.inline("p"))
-    a = asked.join(F.broadcast(known), ["provider", "_k"], "left")
+    known = cut(known)
+    a = asked.join(F.broadcast(known) if known.count() <= SMALL_ROWS else known, ["provider", "_k"], "left")
     status = F.when(~F.col("available"), "unavailable").when(F.col("empty"), "miss").when(F.col("identifiers").isNotNull(), "hit").when(F.col("mode") == "replay", "unavailable").otherwise("miss")
     return a.select(key, "provider", "mode", "evidence", status.alias("status"), F.when(status == "hit", F.col("identifiers")).alias("identifiers"))
 

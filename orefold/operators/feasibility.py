@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from orefold.functions import chemistry as ch
 from orefold.functions import formula as fm
-from orefold.operators.findings import COLUMNS, found_many
+from orefold.operators.findings import found, found_many
 from orefold.reference import thermochemistry as th
 
 
@@ -51,7 +51,8 @@ def _named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def screen(df: DataFrame, key: str, config: dict) -> DataFrame:
-    """df (facts, hint) with kelvin, forces (atmosphere -> driving force), unstable, frame, verdict."""
+    """df (facts, hint) with kelvin, forces (atmosphere -> driving force), unstable, decomposition (atmosphere ->
+    what is left of an oxide that does not survive), frame, verdict."""
     f, hint = F.col("facts"), F.col("hint")
     asked = kelvin(hint["temperature"], hint["temperature_unit"])
     at = F.when((asked > 0) & (asked < 6000), asked).otherwise(F.lit(config["temperature"]))
@@ -62,6 +63,9 @@ def screen(df: DataFrame, key: str, config: dict) -> DataFrame:
     forces = F.transform(gases, lambda g: F.struct(g.alias("atmosphere"), survival(oxygen, f["own"] * atoms, atoms, oxygen_potential(g, F.col("screened_at"))).alias("force")))
     out = out.withColumn("forces", F.coalesce(F.filter(forces, lambda x: x["force"].isNotNull()), F.expr("cast(array() as array<struct<atmosphere:string,force:double>>)")))
     out = out.withColumn("unstable", F.transform(F.filter("forces", lambda x: x["force"] < 0), lambda x: x["atmosphere"]))
+    metals = F.filter(F.array_sort(F.map_keys(f["counts"])), lambda e: e != "O")
+    gone = lambda g: F.struct(g.alias("atmosphere"), F.concat(metals, F.array(F.when(g.isin(*th.WATER_RATIO), F.lit("H2O")).otherwise(F.lit("O2")))).alias("products"))
+    out = out.withColumn("decomposition", F.transform("unstable", gone))
     frame = F.when(F.size("forces") > 0, "grand_potential").when(f["hull"].isNotNull(), "closed_0k").otherwise("not_evaluated")
     t = config["threshold"]
     hold = F.size("unstable") == 0
@@ -84,18 +88,18 @@ def feasibility_findings(s: DataFrame, key: str, config: dict) -> DataFrame:
     screened = F.transform("forces", lambda x: x["atmosphere"])
     open_ = ok & hint["atmosphere"].isin(*config["reactive"]) & ~F.array_contains(screened, hint["atmosphere"])
     gas = s.where(F.size("unstable") > 0).select(key, F.explode("unstable").alias("observed"))
-    gas = gas.select(key, F.lit("FEAS.ATMOSPHERE.UNSTABLE").alias("code"), F.lit("warning").alias("level"), F.lit("/synthesis_hint/atmosphere").alias("json_pointer"), "observed")
+    gas = found(gas, key, F.lit(True), "FEAS.ATMOSPHERE.UNSTABLE", "warning", "/synthesis_hint/atmosphere", F.col("observed"))
     rest = found_many(
         s,
         key,
         [
-            (above, "FEAS.THERMO.EHULL_ABOVE_THRESHOLD", "warning", formula, f["above"]),
+            (above, "FEAS.THERMO.EHULL_ABOVE_THRESHOLD", "warning", formula, f["above"], F.lit(t)),
             (above & (F.size(f["mix"]) > 0), "FEAS.THERMO.DECOMPOSES", "warning", formula, F.array_join(F.transform(f["mix"], lambda m: m["formula"]), ", ")),
             (ok & (F.col("kelvin") > config["frame_limit"]) & (F.col("frame") == "closed_0k"), "FEAS.FRAME.INAPPROPRIATE", "warning", "/synthesis_hint/temperature", F.col("kelvin")),
             (open_, "FEAS.FRAME.INAPPROPRIATE", "note", "/synthesis_hint/atmosphere", hint["atmosphere"]),
         ],
     )
-    return gas.select(key, *COLUMNS).unionByName(rest)
+    return gas.unionByName(rest)
 
 
 def route_findings(s: DataFrame, key: str, config: dict) -> DataFrame:
@@ -122,8 +126,8 @@ def route_findings(s: DataFrame, key: str, config: dict) -> DataFrame:
     )
     named = inside.where(F.size(hint["precursors"]) > 0).select(key, hint["precursors"].alias("p"), _named(hint["precursors"]).alias("ok"))
     bad = named.select(key, F.posexplode(F.arrays_zip("p", "ok")).alias("i", "x")).where(~F.col("x.ok"))
-    bad = bad.select(key, F.lit("FEAS.SYNTH.PRECURSOR_UNAVAILABLE").alias("code"), F.lit("note").alias("level"), F.concat(F.lit("/synthesis_hint/precursors/"), F.col("i").cast("string")).alias("json_pointer"), F.col("x.p").alias("observed"))
-    return rest.unionByName(bad.select(key, *COLUMNS))
+    bad = found(bad, key, F.lit(True), "FEAS.SYNTH.PRECURSOR_UNAVAILABLE", "note", F.concat(F.lit("/synthesis_hint/precursors/"), F.col("i").cast("string")), F.col("x.p"))
+    return rest.unionByName(bad)
 
 
 def ranked_routes(s: DataFrame, key: str, k: int = 3) -> DataFrame:

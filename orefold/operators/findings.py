@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,29 +10,48 @@ from pyspark.sql import functions as F
 
 from orefold.functions.text import fingerprint, truncate
 from orefold.reference.taxonomy import CODES
+from orefold.reference.wording import MESSAGES
 
-COLUMNS = ("code", "level", "json_pointer", "observed")
+#: observed and expected are texts; observed_kind says what the observed one was: string, number, integer, boolean.
+COLUMNS = ("code", "level", "json_pointer", "message", "observed", "observed_kind", "expected", "confidence")
+OBSERVED, MESSAGE = 2000, 1000
+_KINDS = {"double": "number", "float": "number", "integer": "integer", "long": "integer", "short": "integer", "boolean": "boolean"}
+Case = tuple[Column, str, str, Column | str, Column | None] | tuple[Column, str, str, Column | str, Column | None, Column | str | None]
 
 
-def found(df: DataFrame, key: str, when: Column, code: str, level: str, at: Column | str, observed: Column | None = None) -> DataFrame:
-    """The rows of df for which the condition holds, as findings (key, code, level, json_pointer, observed)."""
-    at = F.lit(at) if isinstance(at, str) else at
-    seen = F.lit(None).cast("string") if observed is None else truncate(observed.cast("string"), 2000)
-    return df.where(when).select(key, F.lit(code).alias("code"), F.lit(level).alias("level"), at.alias("json_pointer"), seen.alias("observed"))
+def message(code: str, observed: Column, expected: Column) -> Column:
+    """What a finding says, from the wording of its code; {observed} and {expected} stand for the values."""
+    parts = re.split(r"\{(observed|expected)\}", MESSAGES.get(code, "{observed}"))
+    value = {"observed": F.coalesce(observed, F.lit("nothing")), "expected": F.coalesce(expected, F.lit("nothing"))}
+    return truncate(F.concat(*[value[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)]), MESSAGE)
 
 
-def found_many(df: DataFrame, key: str, cases: Sequence[tuple[Column, str, str, Column | str, Column | None]]) -> DataFrame:
-    """Several conditions in one pass: each row yields a finding for every condition that holds."""
-    items = []
-    for when, code, level, at, observed in cases:
-        at = F.lit(at) if isinstance(at, str) else at
-        seen = F.lit(None).cast("string") if observed is None else truncate(observed.cast("string"), 2000)
-        items.append(F.when(when, F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"), at.alias("json_pointer"), seen.alias("observed"))))
+def finding(df: DataFrame, code: str, level: str, at: Column | str, observed: Column | None = None, expected: Column | str | None = None, confidence: float | None = None) -> Column:
+    """One finding as a struct of COLUMNS; the kind of the observed value is that of its column in df."""
+    kind = None if observed is None else _KINDS.get(df.select(observed).schema[0].dataType.typeName(), "string")
+    seen = F.lit(None).cast("string") if observed is None else truncate(observed.cast("string"), OBSERVED)
+    want = F.lit(expected).cast("string") if not isinstance(expected, Column) else truncate(expected.cast("string"), OBSERVED)
+    values = (F.lit(code), F.lit(level), F.lit(at) if isinstance(at, str) else at, message(code, seen, want), seen, F.when(seen.isNotNull(), F.lit(kind)), want, F.lit(confidence).cast("double"))
+    return F.struct(*[v.alias(c) for c, v in zip(COLUMNS, values)])
+
+
+def found(df: DataFrame, key: str, when: Column, code: str, level: str, at: Column | str, observed: Column | None = None, expected: Column | str | None = None) -> DataFrame:
+    """The rows of df for which the condition holds, as findings (key, COLUMNS)."""
+    return df.where(when).select(key, finding(df, code, level, at, observed, expected).alias("_f")).select(key, "_f.*")
+
+
+def found_many(df: DataFrame, key: str, cases: Sequence[Case]) -> DataFrame:
+    """Several conditions in one pass: each row yields a finding for every condition that holds.
+
+    A case is (when, code, level, at, observed) and, where something else was wanted, expected."""
+    items = [F.when(case[0], finding(df, *case[1:])) for case in cases]
     return df.select(key, F.inline(F.array_compact(F.array(*items))))
 
 
 def with_fingerprint(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("fingerprint", fingerprint(F.col("code"), F.col("json_pointer"), F.col("observed")))
+    """findings with their fingerprint; without a column observed_kind what was observed is a text."""
+    kind = F.col("observed_kind") if "observed_kind" in findings.columns else None
+    return findings.withColumn("fingerprint", fingerprint(F.col("code"), F.col("json_pointer"), F.col("observed"), kind))
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:

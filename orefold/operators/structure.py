@@ -77,15 +77,15 @@ def structure_findings(m: DataFrame, key: str, v: dict, counts: Column) -> DataF
     cases = []
     for x in ("a", "b", "c", "alpha", "beta", "gamma"):
         low, high = (lo, hi) if len(x) == 1 else (alo, ahi)
-        cases.append((F.col("evaluated") & ~F.col(x).between(low, high), "STRUCT.GEOM.IMPLAUSIBLE_LATTICE", "error", f"/structure/lattice/{x}", F.col(x)))
-    cases.append((F.col("evaluated") & F.col("volume").isNull(), "STRUCT.GEOM.IMPLAUSIBLE_LATTICE", "error", "/structure/lattice", None))
+        cases.append((F.col("evaluated") & ~F.col(x).between(low, high), "STRUCT.GEOM.IMPLAUSIBLE_LATTICE", "error", f"/structure/lattice/{x}", F.col(x), f"{low:g} to {high:g}"))
+    cases.append((F.col("evaluated") & F.col("volume").isNull(), "STRUCT.GEOM.IMPLAUSIBLE_LATTICE", "error", "/structure/lattice", None, "angles that close a cell"))
     overlap = F.col("nearest")["distance"] < v["min_distance"]
-    cases.append((overlap, "STRUCT.GEOM.ATOM_OVERLAP", "error", F.concat(F.lit("/structure/sites/"), F.col("nearest")["j"].cast("string"), F.lit("/frac_coords")), F.col("nearest")["distance"]))
-    cases.append((~F.col("density").between(dlo, dhi), "STRUCT.GEOM.IMPLAUSIBLE_DENSITY", "warning", "/structure/lattice", F.col("density")))
+    cases.append((overlap, "STRUCT.GEOM.ATOM_OVERLAP", "error", F.concat(F.lit("/structure/sites/"), F.col("nearest")["j"].cast("string"), F.lit("/frac_coords")), F.col("nearest")["distance"], F.lit(float(v["min_distance"]))))
+    cases.append((~F.col("density").between(dlo, dhi), "STRUCT.GEOM.IMPLAUSIBLE_DENSITY", "warning", "/structure/lattice", F.col("density"), f"{dlo:g} to {dhi:g}"))
     off = F.when(F.col("volume").isNotNull(), disproportion(F.col("totals"), counts, v["occupancy_tolerance"]))
     cases.append((off.isNotNull(), "STRUCT.SITES.OCCUPANCY_INCONSISTENT", "error", "/structure/sites", off))
     wrong = F.col("asserted").isNotNull() & F.col("metric").isNotNull() & ~g.families_agree(F.col("asserted"), F.col("metric"))
-    cases.append((wrong, "STRUCT.SYMMETRY.SPACEGROUP_INCONSISTENT", "warning", "/structure/space_group/number", F.col("metric")))
+    cases.append((wrong, "STRUCT.SYMMETRY.SPACEGROUP_INCONSISTENT", "warning", "/structure/space_group/number", F.col("metric"), F.concat(F.col("asserted"), F.when(g.more_symmetric(F.col("metric"), F.col("asserted")), F.lit(", which needs less symmetry")).otherwise(F.lit(", which needs another cell")))))
     return found_many(m, key, cases)
 
 

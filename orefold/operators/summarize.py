@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orefold.reference import wording
 from orefold.reference.taxonomy import ADVICE
 
 
@@ -68,28 +69,49 @@ def calibration(pairs: DataFrame) -> DataFrame:
 
 
 def advice(spark: SparkSession) -> DataFrame:
+    """The recommendation rules: what to change, for which codes."""
     return spark.createDataFrame([(a, t, list(c)) for a, t, c in ADVICE], "advice_id string, target string, codes array<string>")
 
 
-def recommendations(findings: DataFrame, key: str, rules: DataFrame, total: Column | int) -> DataFrame:
+def statements(spark: SparkSession) -> DataFrame:
+    """(advice_id, statement): what each rule recommends."""
+    return spark.createDataFrame([(a, text) for (a, _, _), text in zip(ADVICE, wording.ADVICE)], "advice_id string, statement string")
+
+
+def recommendations(findings: DataFrame, key: str, rules: DataFrame, total: Column | int, *, pointer: str | None = None, example: str | None = None, most: int = 20, examples: int = 5) -> DataFrame:
     """(rank, advice_id, target, n_records, fraction): per rule the distinct records with any of its codes.
 
     Only rules that apply, most records first, ties by target and id. A record is counted once per rule
-    before the rule's rows come together."""
+    before the rule's rows come together. With pointer and example, the columns that hold them, also codes,
+    json_pointers and example_ids: which of the codes were met, the first `most` pointers and the first
+    `examples` ids, in order; each is reduced to its distinct values, of which the first are taken per rule."""
     r = F.broadcast(rules.select("advice_id", "target", F.explode("codes").alias("code")))
-    hit = findings.where(F.col(key).isNotNull()).join(r, "code").groupBy("advice_id", "target", key).agg(F.lit(1).alias("one"))
-    n = hit.groupBy("advice_id", "target").agg(F.count(F.lit(1)).alias("n_records"))
+    hit = findings.where(F.col(key).isNotNull()).join(r, "code")
+    n = hit.groupBy("advice_id", "target", key).agg(F.lit(1).alias("one")).groupBy("advice_id", "target").agg(F.count(F.lit(1)).alias("n_records"))
     n = n.withColumn("fraction", F.col("n_records") / (F.lit(total) if isinstance(total, int) else total))
+    for column, name, k in ((None if pointer is None else "code", "codes", None), (pointer, "json_pointers", most), (example, "example_ids", examples)):
+        if column is not None:
+            n = n.join(first_values(hit, "advice_id", column, k).withColumnRenamed("values", name), "advice_id", "left")
     return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_records"), "target", "advice_id")))
 
 
 def observed_fields(findings: DataFrame, rules: DataFrame, k: int = 20) -> DataFrame:
     """(advice_id, pointers): the first k pointers, in order, at which a rule's codes stand."""
     r = F.broadcast(rules.select("advice_id", F.explode("codes").alias("code")))
-    d = findings.join(r, "code").select("advice_id", "json_pointer").distinct()
-    w = Window.partitionBy("advice_id").orderBy("json_pointer")
-    top = d.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k)
-    return top.groupBy("advice_id").agg(F.array_sort(F.collect_list("json_pointer")).alias("pointers"))
+    return first_values(findings.join(r, "code"), "advice_id", "json_pointer", k).withColumnRenamed("values", "pointers")
+
+
+def first_values(rows: DataFrame, group: str, column: str, k: int | None) -> DataFrame:
+    """(group, values): the first k distinct values of a column per group, in order; all of them without k.
+
+    A value stands once per group before the groups come together; ranks are taken over 64 parts of a group
+    first, so that no task sorts more of a large group than its part and k values of each."""
+    d = rows.where(F.col(column).isNotNull()).select(group, column).distinct()
+    if k is not None:
+        part = F.pmod(F.xxhash64(column), F.lit(64))
+        for keys in ([F.col(group), part], [F.col(group)]):
+            d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(column))).where(F.col("_i") <= k).drop("_i")
+    return d.groupBy(group).agg(F.array_sort(F.collect_list(column)).alias("values"))
 
 
 def scalar_rewards(verdicts: DataFrame) -> DataFrame:
@@ -110,15 +132,19 @@ def component_means(verdicts: DataFrame, columns: list[str]) -> DataFrame:
     return g.select("component", "n", (F.col("s").cast("double") / F.col("n")).alias("mean"))
 
 
-def assumptions(verdicts: DataFrame, key: str) -> DataFrame:
-    """(key, assumptions): what a record's verdict takes for granted, by the checks that ran."""
-    lines = F.array_compact(
-        F.array(
-            F.lit("formula as written; decimal points separate adducts"),
-            F.when(F.col("frame") == "closed_0k", F.lit("closed system at 0 K from enthalpies at 298 K")),
-            F.when(F.col("frame") == "grand_potential", F.lit("oxygen reservoir fixed by the atmosphere; no suboxides, no kinetics")),
-            F.when(F.col("value_structure_valid").isNotNull(), F.lit("periodic images of the nearest cells only")),
-            F.when(F.col("unavailable"), F.lit("a provider could not answer")),
-        )
+def assumptions(verdicts: DataFrame, key: str, config: dict) -> DataFrame:
+    """(key, assumptions): what a record's verdict takes for granted, by the checks that ran, as (id, statement,
+    value); value is the threshold or setting it rests on."""
+    v, f = config["validity"], config["feasibility"]
+    lines = (
+        (F.lit(True), "formula_as_written", "The formula is read as written; a point separates adducts.", None),
+        (F.col("composition_key").isNotNull(), "common_states", "Only common oxidation states are tried.", v["max_combinations"]),
+        (F.col("frame") == "closed_0k", "closed_system", "Energies are those of a closed system at 0 K, from enthalpies at 298 K.", f["threshold"]),
+        (F.col("frame") == "grand_potential", "open_system", "The atmosphere fixes the oxygen reservoir; suboxides and kinetics are left out.", f["temperature"]),
+        (F.col("value_structure_valid").isNotNull(), "nearest_cells", "Distances reach into the neighbouring cells only.", v["min_distance"]),
+        (F.col("value_structure_valid").isNotNull(), "metric_tolerance", "Edges are equal within this tolerance.", v["metric_length"]),
+        (F.col("value_claims_supported").isNotNull(), "wide_ranges", "Plausible ranges are wide; a value inside one is not confirmed.", None),
+        (F.col("unavailable"), "silent_provider", "A provider could not answer.", None),
     )
-    return verdicts.select(key, lines.alias("assumptions"))
+    made = [F.when(when, F.struct(F.lit(i).alias("id"), F.lit(t).alias("statement"), F.lit(None if x is None else float(x)).cast("double").alias("value"))) for when, i, t, x in lines]
+    return verdicts.select(key, F.array_compact(F.array(*made)).alias("assumptions"))

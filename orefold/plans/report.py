@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,32 +13,53 @@ from pyspark.sql import functions as F
 from orefold import __version__
 from orefold.functions import chemistry as ch
 from orefold.functions import formula as fm
-from orefold.operators import audit, crossrun, summarize
+from orefold.operators import audit, crossrun, score, summarize
 from orefold.operators.evidence import corpus_rows
 from orefold.plans import verification as vf
 from orefold.reference.config import digest, redact, resolve
-from orefold.reference.corpora import PROVIDERS
+from orefold.reference.corpora import PROVIDERS, SNAPSHOT
 from orefold.reference.taxonomy import TAXONOMY_VERSION
 from orefold.reference.thermochemistry import ENTRIES
 from orefold.sources import artifacts as af
 
 FIGURES = 4
-#: The projections for training a generator, and which records each leaves out.
+#: The projections for training a generator: file columns, which statuses they hold and leave out, and why.
 PROJECTIONS = {
-    "scalar_reward": "accepted and rejected records; unverifiable and quarantined ones are left out",
-    "preference_pairs": "rejected records with a repair that scores higher",
-    "calibration_pairs": "stated confidences of records and fields with a terminal outcome",
-    "findings": "every finding of every record",
+    "scalar_reward": (("record_id", "proposal_id", "candidate_key", "reward", "status"), ("accepted", "rejected"), ("unverifiable",), "What could not be checked says nothing about the generator."),
+    "preference_pairs": (("record_id", "repair_id", "proposal_id", "rejected_reward", "chosen_reward", "targets"), ("rejected",), ("accepted", "unverifiable"), "Only repairs that were checked again and scored higher."),
+    "calibration_pairs": (("record_id", "proposal_id", "json_pointer", "confidence", "outcome"), ("accepted", "rejected"), ("unverifiable",), "An unverifiable outcome measures what we cover, not how sure the generator should be."),
+    "violation_table": (("record_id", "proposal_id", "code", "level", "json_pointer"), ("accepted", "rejected", "unverifiable"), (), "Every finding of every record, as an index for diagnosis."),
 }
-VERDICTS = "key string, record_id string, run_id string, proposal_id string, candidate_key string, composition_key string, reduced string, tier string, feasibility string, status string, reward double, unavailable boolean"
-FINDINGS = "key string, code string, level string, phase string, json_pointer string, observed string, fingerprint string"
+VERDICTS = (
+    "key string, record_id string, run_id string, proposal_id string, candidate_key string, composition_key string, reduced string, out_of_scope string, tier string, tier_confidence double, supporters array<string>, conflicts array<string>, feasibility string, frame string, charge string, "
+    "n_routes bigint, n_claims bigint, n_bad bigint, structure_errors bigint, structure_warnings bigint, value_composition_valid double, value_structure_valid double, value_novelty double, value_feasibility double, value_claims_supported double, reward double, status string, n_findings bigint, n_errors bigint, unavailable boolean"
+)
+FINDINGS = "key string, record_id string, proposal_id string, candidate_key string, code string, level string, phase string, gate boolean, unverifiable boolean, json_pointer string, message string, observed string, expected string, confidence double, fingerprint string"
+CHECKS = "key string, record_id string, proposal_id string, candidate_key string, check_id string, phase string, outcome string, detail string"
+SCHEMAS = {
+    "verdicts": (VERDICTS, ("key", "record_id", "run_id", "candidate_key", "reward", "status", "n_findings")),
+    "findings": (FINDINGS, ("key", "record_id", "candidate_key", "code", "level", "phase", "json_pointer", "message", "fingerprint")),
+    "checks": (CHECKS, ("key", "record_id", "check_id", "phase", "outcome")),
+    "scalar_reward": ("record_id string, proposal_id string, candidate_key string, reward double, status string", ("record_id", "reward", "status")),
+    "preference_pairs": ("record_id string, repair_id string, proposal_id string, rejected_reward double, chosen_reward double, targets array<string>", ("record_id", "repair_id", "rejected_reward", "chosen_reward")),
+    "calibration_pairs": ("record_id string, proposal_id string, json_pointer string, confidence double, outcome string", ("record_id", "json_pointer", "confidence", "outcome")),
+    "violation_table": ("record_id string, proposal_id string, code string, level string, json_pointer string", ("record_id", "code", "level", "json_pointer")),
+}
+#: Phases every record has a check of.
+PHASES = ("parse", "composition", "structure", "novelty", "claims")
 
 
-def datasets() -> list[dict]:
-    """Every reference table a result rests on: name, entries, digest; sorted by name."""
+def datasets(only: Sequence[str] | None = None) -> list[dict]:
+    """Every reference table a result rests on: name, how it answers, version, entries, digest, coverage and
+    licence; sorted by name."""
     rows = corpus_rows()
-    out = [{"id": p.name, "kind": p.mode, "entries": len(own := [r for r in rows if r[0] == p.name]), "sha256": af.hashlib.sha256(repr(own).encode()).hexdigest()} for p in PROVIDERS]
-    out.append({"id": "thermochemistry", "kind": "snapshot", "entries": len(ENTRIES), "sha256": af.hashlib.sha256(repr(ENTRIES).encode()).hexdigest()})
+    names = [p for p in PROVIDERS if only is None or p.name in only]
+    row = lambda name, kind, entries, content, covers: {"id": f"{name}@{SNAPSHOT}", "provider": name, "kind": kind, "snapshot": SNAPSHOT, "entries": entries, "sha256": af.hashlib.sha256(repr(content).encode()).hexdigest(), "coverage": covers, "license": "facts; as this package"}
+    out = []
+    for p in names:
+        own = [r for r in rows if r[0] == p.name]
+        out.append(row(p.name, "cassette" if p.mode == "replay" else "snapshot", len(own), own, f"{len(own)} well-known compositions; what is absent is not thereby new"))
+    out.append(row("thermochemistry", "snapshot", len(ENTRIES), ENTRIES, f"{len(ENTRIES)} phases with enthalpies at 298 K"))
     return sorted(out, key=lambda d: d["id"])
 
 
@@ -66,11 +88,18 @@ def hull_figure(formula: str) -> dict | None:
 
 
 def potential_figure(formula: str, kelvin: float = 1273.15) -> dict | None:
-    """Driving force of an oxide in every atmosphere with an oxygen potential."""
+    """Driving force of an oxide in every atmosphere with an oxygen potential, and the potential at which the
+    oxide falls apart; below it the atmosphere's name is followed by what is left."""
     f = fm.parse(formula)
     gases = ["O2", "air", "CO2", "Ar", "sealed_ampoule", "vacuum", "forming_gas", "H2"]
-    points = [(ch.oxygen_potential(g, kelvin), s, g) for g in gases if f.ok and (s := ch.survival(f.counts, g, kelvin)) is not None]
-    return {"kind": "potential", "formula": formula, "points": points, "line": []} if points else None
+    points = []
+    for gas in gases if f.ok else ():
+        if (force := ch.survival(f.counts, gas, kelvin)) is not None:
+            left = ch.products(fm.reduced(f.counts), gas, kelvin)
+            points.append((ch.oxygen_potential(gas, kelvin), force, f"{gas}: {' + '.join(left)}" if left else gas))
+    edge = ch.boundary(f.counts) if f.ok else None
+    line = [] if edge is None or not points else [(edge, min(p[1] for p in points)), (edge, max(p[1] for p in points))]
+    return {"kind": "potential", "formula": formula, "kelvin": kelvin, "boundary": edge, "points": points, "line": line} if points else None
 
 
 def route_figure(formula: str) -> dict | None:
@@ -79,15 +108,30 @@ def route_figure(formula: str) -> dict | None:
     return {"kind": "routes", "formula": formula, "points": points, "line": []} if points else None
 
 
+def corpus_phases() -> dict[str, list[tuple[str, str]]]:
+    """By chemical system, (reduced formula, identifier) of every phase the corpora know, each formula once."""
+    out: dict[str, dict[str, str]] = {}
+    for _, k, formula, identifier, _ in corpus_rows():
+        system = out.setdefault("-".join(sorted(x.split(":")[0] for x in k.split("|"))), {})
+        system[formula] = min(identifier, system.get(formula, identifier))
+    return {s: sorted(v.items()) for s, v in out.items()}
+
+
 def context_figure(formula: str) -> dict | None:
-    """Energies of the phases in the chemical system by the share of its most electronegative element."""
+    """The phases the corpora know in the chemical system, by the share of its most electronegative element; at
+    their energy where the tables have one, else at none."""
     f = fm.parse(formula)
-    if not f.ok:
+    ranked = sorted((-ch.ELECTRONEGATIVITY[e], e) for e in f.counts if e in ch.ELECTRONEGATIVITY) if f.ok else []
+    if not ranked:
         return None
-    ranked = sorted((-ch.ELECTRONEGATIVITY[e], e) for e in f.counts if e in ch.ELECTRONEGATIVITY)
-    inside = [p for p in ch.phases().values() if set(p.counts) <= set(f.counts)]
-    points = sorted((p.counts.get(ranked[0][1], 0.0) / p.atoms, p.per_atom, p.formula) for p in inside) if ranked else []
-    return {"kind": "context", "formula": formula, "points": points, "line": []} if points else None
+    known = corpus_phases().get("-".join(sorted(f.counts)), [])
+    points, unplaced = [], []
+    for name, identifier in known:
+        counts = fm.parse(name).counts
+        phase = ch.phase_of(counts)
+        (points if phase is not None else unplaced).append((counts.get(ranked[0][1], 0.0) / sum(counts.values()), phase.per_atom if phase is not None else 0.0, f"{name} ({identifier})"))
+    everything = sorted([*points, *unplaced])
+    return {"kind": "context", "formula": formula, "element": ranked[0][1], "points": everything, "without_energy": sorted(n for _, _, n in unplaced), "line": []} if everything else None
 
 
 def _table(df: DataFrame, limit: int = 20) -> str:
@@ -97,14 +141,19 @@ def _table(df: DataFrame, limit: int = 20) -> str:
     return f"<table><tr>{head}</tr>{body}</table>"
 
 
-def write(r: vf.Run, folder: str, *, config: dict | None = None, logical_time: str = "1970-01-01T00:00:00Z") -> dict:
-    """All artifacts of a run in a fresh folder, the manifest last; returns the manifest."""
+def write(r: vf.Run, folder: str, *, config: dict | None = None, logical_time: str = "1970-01-01T00:00:00Z", tables: str | None = None) -> dict:
+    """All artifacts of a run in a fresh folder, the manifest last; returns the manifest. tables names a folder
+    that receives verdicts, findings and checks as Parquet besides, written by all tasks."""
     config = resolve() if config is None else config
     out = af.prepare(folder)
     files: list[dict] = []
+    only = config["evidence"]["only"]
+    inputs = r.batches.select("path", "length", "digest", "batch_id").orderBy("path").collect()
     manifest: dict = {
         "run_id": r.run_id, "exit_code": r.exit_code, "logical_time": logical_time, "config": redact(config), "config_sha256": digest(config), "taxonomy_version": TAXONOMY_VERSION, "reward_fn_id": config["reward"]["id"],
-        "corpus_fingerprint": corpus_fingerprint(), "reference_data": datasets(), "source_sha256": af.tree_digest(str(Path(__file__).resolve().parents[1])), "provenance": af.provenance(), "version": __version__, "counts": r.counts,
+        "corpus_fingerprint": corpus_fingerprint(), "reference_data": datasets(only), "unavailable_providers": [], "source_sha256": af.tree_digest(str(Path(__file__).resolve().parents[1])), "provenance": af.provenance(), "version": __version__, "counts": r.counts,
+        "inputs": [{"name": Path(x["path"]).name, "bytes": x["length"], "sha256": x["digest"], "batch_id": x["batch_id"]} for x in inputs],
+        "offline": True, "notes": ["No live source was consulted; absence from a table is not absence from the world."],
     }
     rejected = r.batches.where(F.col("code").isNotNull()).select("path", "code", "rule", "detail").orderBy("path").limit(1).collect()
     manifest["rejected"] = [dict(x.asDict(), path=Path(x.path).name) for x in rejected]
@@ -113,24 +162,26 @@ def write(r: vf.Run, folder: str, *, config: dict | None = None, logical_time: s
     if r.checked is not None:
         s = vf.summary(r)
         v = r.checked.verdicts
-        files.append(af.write_lines(v, out / "verdicts.jsonl", ["proposal_id", "candidate_key"]))
         ids = v.select("key", "record_id", "proposal_id", "candidate_key")
-        files.append(af.write_lines(r.checked.findings.join(ids, "key"), out / "findings.jsonl", ["proposal_id", "code", "json_pointer", "candidate_key", "level"]))
+        whole = {"verdicts": v, "findings": r.checked.findings.join(ids, "key"), "checks": s["checks"].join(ids, "key")}
+        order = {"verdicts": ["proposal_id", "candidate_key"], "findings": ["proposal_id", "code", "json_pointer", "candidate_key", "level"], "checks": ["proposal_id", "candidate_key", "phase", "check_id"]}
+        for name, df in whole.items():
+            files.append(af.write_lines(df, out / f"{name}.jsonl", order[name]))
+            if tables is not None:
+                af.write_table(df, f"{tables}/{name}")
+        away = r.checked.answers.where(F.col("status") == "unavailable").groupBy("provider", "mode").agg(F.count(F.lit(1)).alias("records")).orderBy("provider").collect()
+        manifest["unavailable_providers"] = [{"provider": x["provider"], "records": x["records"], "reason": "never asked about these compositions" if x["mode"] == "replay" else "could not be consulted"} for x in away]
         files.append(af.write_lines(r.ledger, out / "ledger.jsonl", ["rule_id"]))
-        for name, order in (("code_by_field", ["code", "json_pointer"]), ("recommendations", ["rank"]), ("tiers", ["tier"]), ("routes", ["key", "rank"])):
-            files.append(af.write_lines(s[name], out / f"{name}.jsonl", order))
-        files.append(af.write_lines(s["scalar_reward"].select("record_id", "proposal_id", "candidate_key", "reward", "status"), out / "scalar_reward.jsonl", ["record_id"]))
-        eligible = s["calibration_pairs"].join(v.where(F.col("status") != "unverifiable").select("key"), "key", "left_semi").where(F.col("outcome") != "unverifiable")
-        files.append(af.write_lines(eligible, out / "calibration_pairs.jsonl", ["key", "json_pointer"]))
-        if r.repaired is not None:
-            files.append(af.write_lines(vf.preference_pairs(r.repaired), out / "preference_pairs.jsonl", ["key", "repair_id"]))
+        advised = s["recommendations"].join(F.broadcast(summarize.statements(v.sparkSession)), "advice_id", "left")
+        for name, df, by in (("code_by_field", s["code_by_field"], ["code", "json_pointer"]), ("recommendations", advised, ["rank"]), ("tiers", s["tiers"], ["tier"]), ("routes", s["routes"], ["key", "rank"])):
+            files.append(af.write_lines(df, out / f"{name}.jsonl", by))
+        files += _projections(r, s, out, manifest)
         manifest["reward"] = s["reward"].first().asDict()
         manifest["component_means"] = {x.component: x.mean for x in s["component_means"].collect()}
         manifest["totals"] = s["ledger_totals"].first().asDict()
-        files.append(af.write_lines(summarize.assumptions(v, vf.KEY), out / "assumptions.jsonl", ["key"]))
-        manifest["projections"] = PROJECTIONS
+        files.append(af.write_lines(summarize.assumptions(v, vf.KEY, config), out / "assumptions.jsonl", ["key"]))
         manifest["calibration"] = s["calibration"].first().asDict()
-        files += _figures(out, v)
+        files += _figures(out, v, manifest)
         page = _page(r, s, out)
         (out / "report.html").write_text(page)
         files.append({"path": "report.html", "sha256": af.hashlib.sha256(page.encode()).hexdigest(), "bytes": len(page.encode())})
@@ -139,21 +190,54 @@ def write(r: vf.Run, folder: str, *, config: dict | None = None, logical_time: s
     return manifest
 
 
-def _figures(out: Path, verdicts: DataFrame) -> list[dict]:
-    """Up to FIGURES of each kind for the first records in scope, each as SVG with its data beside it."""
-    first = verdicts.where(F.col("out_of_scope").isNull() & F.col("reduced").isNotNull()).orderBy("proposal_id", "candidate_key").limit(4 * FIGURES).collect()
-    files, made = [], {}
+def _projections(r: vf.Run, s: dict[str, DataFrame], out: Path, manifest: dict) -> list[dict]:
+    """The projections and their index, which says of each what it holds, leaves out, and why."""
+    v = r.checked.verdicts
+    ids = v.select("key", "record_id", "proposal_id", "status")
+    pairs = s["calibration_pairs"].where(F.col("outcome") != "unverifiable").join(ids, "key")
+    tables = {
+        "scalar_reward": (s["scalar_reward"], ["record_id"]),
+        "calibration_pairs": (pairs.where(F.col("status").isin("accepted", "rejected")), ["record_id", "json_pointer"]),
+        "violation_table": (r.checked.findings.join(ids.select("key", "record_id", "proposal_id"), "key"), ["record_id", "code", "json_pointer", "level"]),
+    }
+    if r.repaired is not None:
+        tables["preference_pairs"] = (vf.preference_pairs(r.repaired).join(ids.select("key", "record_id", "proposal_id"), "key"), ["record_id", "repair_id"])
+    files, index = [], []
+    for name, (df, order) in sorted(tables.items()):
+        columns, held, left_out, why = PROJECTIONS[name]
+        files.append(done := af.write_lines(df.select(*columns), out / f"{name}.jsonl", order))
+        index.append({"name": name, "path": done["path"], "rows": done["rows"], "sha256": done["sha256"], "columns": sorted(columns), "eligibility": {"included": held, "excluded": left_out, "reason": why}})
+    doc = {"run_id": r.run_id, "taxonomy_version": TAXONOMY_VERSION, "reward_fn_id": manifest["reward_fn_id"], "projections": index, "caveats": caveats(r)}
+    return [*files, af.write_document(doc, out / "projections.json")]
+
+
+def _figures(out: Path, verdicts: DataFrame, manifest: dict) -> list[dict]:
+    """Up to FIGURES of a kind for records in scope, each as SVG with its data beside it and linked from the
+    manifest. A record has its hull if its system is binary, else its context; records are taken in order until
+    there are enough of these and of the routes."""
+    inside = verdicts.where(F.col("out_of_scope").isNull() & F.col("reduced").isNotNull()).select("record_id", "reduced", "proposal_id", "candidate_key")
+    # Records of one formula have the same figures, so the first records of distinct formulas are enough to choose from.
+    first = inside.groupBy("reduced").agg(F.min(F.struct("proposal_id", "candidate_key", "record_id")).alias("r")).orderBy("r.proposal_id", "r.candidate_key").limit(16 * FIGURES).collect()
+    files, made, links = [], {"context": 0, "potential": 0, "routes": 0}, []
+
+    def draw(kind: str, fig: dict | None, record: str) -> None:
+        if fig is None or made[kind] >= FIGURES:
+            return
+        made[kind] += 1
+        name = f"figure-{fig['kind']}-{sum(x['kind'] == fig['kind'] for x in links) + 1}"
+        svg = _svg(f"{fig['kind']} {fig['formula']}", fig["points"], fig["line"])
+        files.append(af.write_document({**fig, "record_id": record}, out / f"{name}.json"))
+        (out / f"{name}.svg").write_text(svg)
+        files.append({"path": f"{name}.svg", "sha256": af.hashlib.sha256(svg.encode()).hexdigest(), "bytes": len(svg.encode())})
+        links.append({"record_id": record, "kind": fig["kind"], "path": f"{name}.svg", "data": f"{name}.json"})
+
     for row in first:
-        for build in (context_figure, hull_figure, potential_figure, route_figure):
-            fig = build(row.reduced)
-            if fig is None or made.get(fig["kind"], 0) >= FIGURES:
-                continue
-            n = made[fig["kind"]] = made.get(fig["kind"], 0) + 1
-            name = f"figure-{fig['kind']}-{n}"
-            files.append(af.write_document(fig, out / f"{name}.json"))
-            svg = _svg(f"{fig['kind']} {row.reduced}", fig["points"], fig["line"])
-            (out / f"{name}.svg").write_text(svg)
-            files.append({"path": f"{name}.svg", "sha256": af.hashlib.sha256(svg.encode()).hexdigest(), "bytes": len(svg.encode())})
+        if made["context"] >= FIGURES and made["routes"] >= FIGURES:
+            break
+        draw("context", hull_figure(row.reduced) or context_figure(row.reduced), row.r.record_id)
+        draw("potential", potential_figure(row.reduced), row.r.record_id)
+        draw("routes", route_figure(row.reduced), row.r.record_id)
+    manifest["figures"] = links
     return files
 
 
@@ -184,47 +268,115 @@ def _page(r: vf.Run, s: dict[str, DataFrame], out: Path) -> str:
 
 
 def verify(spark: SparkSession, folder: str) -> list[str]:
-    """Problems of a written run, found from its files alone: digests, counts, references, ordering, phases,
-    derived gates, projections, addresses."""
+    """Problems of a written run, found from its files alone: digests, schemas, counts, references both ways,
+    figures, rewards and gates made again from their components, projections, order, phases, paths and
+    addresses. Each is a table of the rows that break it; ok is that all are empty."""
     problems = af.verify_files(folder)
     out = Path(folder)
-    if problems and problems[0].startswith("manifest") or not (out / "verdicts.jsonl").is_file():
+    if problems and problems[0].startswith("manifest"):
         return problems
     manifest = json.loads((out / "manifest.json").read_text())
+    if not (out / "verdicts.jsonl").is_file():
+        return [*problems, *(["verdicts are missing"] if manifest["exit_code"] in (0, 4) and (manifest["counts"] or {}).get("admitted") else [])]
+    for name, (schema, required) in SCHEMAS.items():
+        if (path := out / f"{name}.jsonl").is_file() and not (bad := af.broken_lines(spark, str(path), schema, required)).isEmpty():
+            problems.append(f"{name}.jsonl: {bad.first()['why']}")
     v = af.read_lines(spark, str(out / "verdicts.jsonl"), VERDICTS)
     f = af.read_lines(spark, str(out / "findings.jsonl"), FINDINGS)
-    counts, n = manifest["counts"], v.count()
-    if counts["records_in"] != counts["admitted"] + counts["quarantined"] or counts["admitted"] != n:
+    counts = manifest["counts"]
+    states = {r["status"]: r["n"] for r in v.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts["records_in"] != counts["admitted"] + counts["quarantined"] or counts["admitted"] != sum(states.values()):
         problems.append("counts do not add up")
-    for state in ("accepted", "rejected", "unverifiable"):
-        if v.where(F.col("status") == state).count() != counts.get(state, 0):
-            problems.append(f"{state}: other count in the verdicts")
-    broken = {
-        "finding without verdict": audit.orphans(f, v, "key", "key"),
-        "reward out of range": v.where(~F.coalesce(F.col("reward").between(0, 1), F.lit(False))),
-        "failed gate with a reward": v.where(F.col("composition_key").isNull() & ((F.col("reward") != 0) | (F.col("status") != "rejected"))),
-        "accepted with an error": v.where(F.col("status") == "accepted").join(f.where(F.col("level") == "error"), "key", "left_semi"),
-        "host path or address": audit.with_url(v, "key", ["reduced", "composition_key"]),
-    }
-    reward = v.select("record_id", F.col("reward").alias("derived"), F.col("status").alias("state"))
-    projected = af.read_lines(spark, str(out / "scalar_reward.jsonl"), "record_id string, reward double, status string").join(reward, "record_id", "left")
-    broken["projection differs"] = audit.mismatched(projected, F.col("reward"), F.col("derived"))
-    broken["unverifiable in a projection"] = projected.where(~F.col("state").isin("accepted", "rejected"))
+    problems += [f"{s}: other count in the verdicts" for s in ("accepted", "rejected", "unverifiable") if states.get(s, 0) != counts.get(s, 0)]
+    for d in manifest["reference_data"] or [{"id": "reference data"}]:
+        if str(d.get("snapshot", "")).lower() in ("", "latest", "none", "null"):
+            problems.append(f"{d['id']}: no version")
+    broken = {**_broken_records(spark, out, v, f, manifest), **_broken_projections(spark, out, v, manifest, problems)}
     problems += [name for name, rows in broken.items() if not rows.isEmpty()]
-    keys = [(r.get("proposal_id", ""), r.get("candidate_key", "")) for r in map(json.loads, (out / "verdicts.jsonl").open())]
-    if keys != sorted(keys, key=lambda k: tuple(x.encode() for x in k)):
-        problems.append("verdicts are not in order")
+    known = {r["record_id"] for r in v.where(F.col("record_id").isin([x["record_id"] for x in manifest["figures"]])).select("record_id").collect()}
+    for x in manifest["figures"]:
+        if x["record_id"] not in known:
+            problems.append(f"{x['path']}: figure of no record")
+        problems += [f"{x['path']}: {part} is missing" for part in ("path", "data") if not (out / x.get(part, "-")).is_file()]
+    for path in sorted(out.glob("*.json*")):
+        if not audit.with_url(spark.read.text(str(path)).withColumn("at", F.lit(path.name)), "at", ["value"]).isEmpty():
+            problems.append(f"{path.name}: host path or address")
     if "http" in (out / "report.html").read_text():
         problems.append("report holds an address")
     return problems
 
 
-def lineage(folder: str, *, config: dict | None = None) -> list[tuple[str, str]]:
-    """(part, MATCH, DIVERGED or UNKNOWN) of what a run rests on against what is here now."""
-    m = json.loads((Path(folder) / "manifest.json").read_text())
-    now = {"config": digest(resolve() if config is None else config), "source": af.tree_digest(str(Path(__file__).resolve().parents[1])), "corpora": corpus_fingerprint(), "taxonomy": TAXONOMY_VERSION, "commit": af.provenance()["commit"]}
-    then = {"config": m.get("config_sha256"), "source": m.get("source_sha256"), "corpora": m.get("corpus_fingerprint"), "taxonomy": m.get("taxonomy_version"), "commit": (m.get("provenance") or {}).get("commit")}
-    return [(k, "UNKNOWN" if then[k] is None or now[k] is None else "MATCH" if then[k] == now[k] else "DIVERGED") for k in now]
+def _broken_records(spark: SparkSession, out: Path, v: DataFrame, f: DataFrame, manifest: dict) -> dict[str, DataFrame]:
+    """By what is wrong, the verdicts, findings and checks that break it."""
+    checks = af.read_lines(spark, str(out / "checks.jsonl"), CHECKS)
+    weights, neutral = manifest["config"]["reward"]["weights"], F.col("composition_key").isNull()
+    derived = F.when(neutral, 0.0).otherwise(score.weighted({n: F.col(f"value_{n}") for n in weights}, weights))
+    told = f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == "error").alias("e"))
+    both = v.join(told, "record_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "e": F.coalesce("e", F.lit(0))})
+    mine = f.select("record_id", F.col("proposal_id").alias("p"), F.col("candidate_key").alias("c")).join(v.select("record_id", "proposal_id", "candidate_key"), "record_id")
+    present = checks.where(F.col("phase").isin(*PHASES)).select("record_id", "phase").distinct().groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
+    order = {"verdicts": (VERDICTS, ["proposal_id", "candidate_key"]), "findings": (FINDINGS, ["proposal_id", "code", "json_pointer", "candidate_key"])}
+    return {
+        "finding without verdict": audit.orphans(f, v, "record_id", "record_id"),
+        "check without verdict": audit.orphans(checks, v, "record_id", "record_id"),
+        "finding with another id or key than its verdict": mine.where(~F.col("p").eqNullSafe(F.col("proposal_id")) | ~F.col("c").eqNullSafe(F.col("candidate_key"))),
+        "verdict counts other findings": both.where((F.col("n") != F.col("n_findings")) | (F.col("e") != F.col("n_errors"))),
+        "verdict of another run": v.where(~F.col("run_id").eqNullSafe(F.lit(manifest["run_id"]))),
+        "reward out of range": v.where(~F.coalesce(F.col("reward").between(0, 1), F.lit(False))),
+        "reward differs from its components": audit.mismatched(v, F.col("reward"), derived, 1e-5),
+        "failed gate with a reward": v.where(neutral & ((F.col("reward") != 0) | (F.col("status") != "rejected"))),
+        "accepted with an error": v.where(F.col("status") == "accepted").join(f.where(F.col("level") == "error"), "record_id", "left_semi"),
+        "phase without a check": v.join(present.where(F.col("n") == len(PHASES)), "record_id", "left_anti"),
+        **{f"{name} are not in order": audit.unordered(af.numbered_lines(spark, str(out / f"{name}.jsonl"), schema), "line", keys) for name, (schema, keys) in order.items()},
+    }
+
+
+def _broken_projections(spark: SparkSession, out: Path, v: DataFrame, manifest: dict, problems: list[str]) -> dict[str, DataFrame]:
+    """By what is wrong, the projected rows that break it; what concerns the index goes into problems."""
+    index = json.loads((out / "projections.json").read_text())
+    if index["run_id"] != manifest["run_id"]:
+        problems.append("projections.json: another run")
+    broken = {}
+    records = v.select("record_id", F.col("status").alias("_status"), F.col("reward").alias("_reward"))
+    for p in index["projections"]:
+        rows = af.read_lines(spark, str(out / p["path"]), SCHEMAS[p["name"]][0])
+        if rows.count() != p["rows"]:
+            problems.append(f"{p['path']}: other number of rows")
+        if "record_id" not in p["columns"]:
+            problems.append(f"{p['path']}: rows without record")
+        held = rows.join(records, "record_id", "left")
+        broken[f"{p['name']}: row of no record"] = held.where(F.col("_status").isNull())
+        broken[f"{p['name']}: row of a record it leaves out"] = held.where(F.col("_status").isin(p["eligibility"]["excluded"]))
+        if p["name"] == "scalar_reward":
+            broken["scalar_reward: other reward"] = audit.mismatched(held, F.col("reward"), F.col("_reward"))
+            broken["scalar_reward: record left out"] = v.where(F.col("status").isin("accepted", "rejected")).join(rows, "record_id", "left_anti")
+        if p["name"] == "preference_pairs":
+            broken["preference_pairs: no gain or no repair"] = rows.where(F.col("repair_id").isNull() | ~F.coalesce(F.col("chosen_reward") > F.col("rejected_reward"), F.lit(False)))
+    return broken
+
+
+def lineage(folder: str, *, config: dict | None = None, inputs: str | None = None) -> list[tuple[str, str]]:
+    """(part, MATCH, DIVERGED or UNKNOWN) of what a run rests on against what is here now: code, versions,
+    settings, each reference table, each input file of a file or folder given, and the artifacts themselves."""
+    out = Path(folder)
+    if not (out / "manifest.json").is_file():
+        raise ValueError(f"{folder} holds no run")
+    m = json.loads((out / "manifest.json").read_text())
+    same = lambda then, now: "UNKNOWN" if then is None or now is None else "MATCH" if then == now else "DIVERGED"
+    plain = lambda c: None if c is None else {k: v for k, v in flatten(c) if k not in ("evidence.only", "evidence.offline")}
+    commit = af.provenance()["commit"]
+    parts = [
+        ("config", same(plain(m.get("config")), plain(redact(resolve() if config is None else config)))), ("source", same(m.get("source_sha256"), af.tree_digest(str(Path(__file__).resolve().parents[1])))),
+        ("version", same(m.get("version"), __version__)), ("corpora", same(m.get("corpus_fingerprint"), corpus_fingerprint())), ("taxonomy", same(m.get("taxonomy_version"), TAXONOMY_VERSION)), ("commit", same((m.get("provenance") or {}).get("commit"), commit)),
+    ]
+    now = {d["id"]: d["sha256"] for d in datasets()}
+    parts += [(f"corpus {d['id']}", same(d["sha256"], now.get(d["id"]))) for d in m.get("reference_data", [])]
+    given = None if inputs is None else Path(inputs)
+    for x in m.get("inputs", []):
+        path = None if given is None else given if given.is_file() else given / x["name"]
+        parts.append((f"input {x['name']}", same(x["sha256"], af.file_digest(path) if path is not None and path.is_file() else None)))
+    altered = [a["path"] for a in m.get("artifacts", []) if not (out / a["path"]).is_file() or af.file_digest(out / a["path"]) != a["sha256"]]
+    return [*parts, ("artifacts", "DIVERGED" if altered else "MATCH")]
 
 
 def flatten(value: object, path: str = "") -> list[tuple[str, str]]:
@@ -243,6 +395,8 @@ def pool(spark: SparkSession, folders: list[str]) -> dict[str, DataFrame]:
     """Written runs together: runs, pooled code rates, trend, life cycle of findings, comparability."""
     if not folders:
         raise ValueError("no runs")
+    if missing := [f for f in folders if not (Path(f) / "verdicts.jsonl").is_file()]:
+        raise ValueError(f"no finished run in {', '.join(missing)}")
     docs = [json.loads((Path(f) / "manifest.json").read_text()) for f in folders]
     cols = ["run_id", "logical_time", "taxonomy_version", "reward_fn_id", "corpus_fingerprint", "config_sha256", "source_sha256"]
     heads = spark.createDataFrame([tuple(d.get(c) for c in cols) for d in docs], ", ".join(f"{c} string" for c in cols))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,19 +70,20 @@ def check(docs: DataFrame, config: dict, *, units: DataFrame | None = None, sour
     for p in parts[1:]:
         found = found.unionByName(p)
     found = cut(fd.with_fingerprint(fd.with_phase(found)))
-    return Checked(_verdicts(base, m, s, tiered, claims, found, config["reward"]), found, s, claims, answered)
+    return Checked(_verdicts(base, m, s, tiered, answered, claims, found, config["reward"]), found, s, claims, answered)
 
 
-def _verdicts(base: DataFrame, m: DataFrame, s: DataFrame, tiered: DataFrame, claims: DataFrame, found: DataFrame, reward: dict) -> DataFrame:
+def _verdicts(base: DataFrame, m: DataFrame, s: DataFrame, tiered: DataFrame, answered: DataFrame, claims: DataFrame, found: DataFrame, reward: dict) -> DataFrame:
     level, code = F.col("level"), F.col("code")
     counted = found.groupBy(KEY).agg(
         F.count_if(level == "error").alias("n_errors"), F.count_if(level == "warning").alias("n_warnings"), F.count(F.lit(1)).alias("n_findings"),
         F.count_if((level == "error") & code.isin(*SCREENED)).alias("ce"), F.count_if((level == "warning") & code.isin(*SCREENED)).alias("cw"),
         F.count_if((level == "error") & (F.col("phase") == "structure")).alias("se"), F.count_if((level == "warning") & (F.col("phase") == "structure")).alias("sw"),
     )
+    split = evidence.conflicts(answered, KEY).groupBy(KEY).agg(F.array_sort(F.collect_list(F.concat_ws(": ", "evidence", "providers"))).alias("conflicts"))
     audited = claims.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(claims_audit.is_bad(F.col("assessment"))).alias("n_bad"))
-    out = base.select(KEY, "proposal_id", "candidate_key", F.col("facts.key").alias("composition_key"), F.col("facts.reduced").alias("reduced"), F.col("facts.out_of_scope").alias("out_of_scope"))
-    out = out.join(s.select(KEY, "feasibility", "frame"), KEY, "left").join(tiered, KEY, "left").join(m.select(KEY, "evaluated"), KEY, "left").join(counted, KEY, "left").join(audited, KEY, "left")
+    out = base.select(KEY, "proposal_id", "candidate_key", F.col("facts.key").alias("composition_key"), F.col("facts.reduced").alias("reduced"), F.col("facts.out_of_scope").alias("out_of_scope"), F.col("facts.charge").alias("charge"), F.size("facts.routes").alias("n_routes"))
+    out = out.join(s.select(KEY, "feasibility", "frame"), KEY, "left").join(tiered, KEY, "left").join(m.select(KEY, "evaluated"), KEY, "left").join(counted, KEY, "left").join(audited, KEY, "left").join(split, KEY, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ok = F.col("composition_key").isNotNull()
     values = {
@@ -94,17 +96,40 @@ def _verdicts(base: DataFrame, m: DataFrame, s: DataFrame, tiered: DataFrame, cl
     points = F.when(ok, score.weighted(values, reward["weights"])).otherwise(0.0)
     state = score.status(~ok, F.col("out_of_scope").isNotNull(), zero("n_unavailable") > 0, zero("n_errors") > 0)
     return out.select(
-        KEY, "proposal_id", "candidate_key", "composition_key", "reduced", "out_of_scope", "tier", F.col("confidence").alias("tier_confidence"), "feasibility", "frame",
+        KEY, "proposal_id", "candidate_key", "composition_key", "reduced", "out_of_scope", "tier", F.col("confidence").alias("tier_confidence"), "supporters", "conflicts", "feasibility", "frame", "charge", "n_routes",
+        zero("n_claims").alias("n_claims"), zero("n_bad").alias("n_bad"), zero("se").alias("structure_errors"), zero("sw").alias("structure_warnings"),
         *[x.alias(f"value_{n}") for n, x in values.items()], points.alias("reward"), state.alias("status"), zero("n_findings").alias("n_findings"), zero("n_errors").alias("n_errors"), (zero("n_unavailable") > 0).alias("unavailable"),
     )
 
 
-def reverified(checked: Checked, docs: DataFrame, config: dict, units: DataFrame) -> DataFrame:
+def checks(verdicts: DataFrame) -> DataFrame:
+    """(key, check_id, phase, outcome, detail) of every check of every record, a record's rows in order of phase
+    and id. An outcome is pass, warn, fail, not_applicable or unavailable: what could not be asked never passes."""
+    v, away, ok = F.col, F.lit("not_applicable"), F.col("composition_key").isNotNull()
+    inside = ok & v("out_of_scope").isNull()
+    by_count = lambda errors, warnings: F.when(errors > 0, "fail").when(warnings > 0, "warn").otherwise("pass")
+    rows = (
+        ("claims.audit", "claims", F.when(v("n_claims") == 0, away).otherwise(by_count(v("n_bad"), F.lit(0))), F.concat(v("n_bad").cast("string"), F.lit(" of "), v("n_claims").cast("string"), F.lit(" claims do not hold"))),
+        ("composition.charge_neutrality", "composition", F.when(v("charge") == "balanced", "pass").when(v("charge") == "unbalanced", "warn").otherwise(away), v("charge")),
+        ("composition.formula_normalize", "composition", F.when(ok, "pass").otherwise("fail"), v("composition_key")),
+        ("feasibility.screen", "feasibility", F.when(~ok, away).when(v("feasibility") == "plausible", "pass").when(v("feasibility") == "marginal", "warn").when(v("feasibility") == "implausible", "fail").otherwise("unavailable"), v("frame")),
+        ("novelty.prior_art", "novelty", F.when(~ok, away).when(v("unavailable"), "unavailable").otherwise("pass"), v("tier")),
+        ("parse.envelope", "parse", F.lit("pass"), F.lit("the file was read within its bounds")),
+        ("route.enumeration", "route", F.when(~inside, away).when(v("n_routes") > 0, "pass").otherwise("warn"), F.concat(F.coalesce(v("n_routes"), F.lit(0)).cast("string"), F.lit(" routes"))),
+        ("schema.record_conformance", "schema", F.lit("pass"), F.lit("the record keeps the closed schema")),
+        ("structure.coherence", "structure", F.when(v("value_structure_valid").isNull(), away).otherwise(by_count(v("structure_errors"), v("structure_warnings"))), F.concat(v("structure_errors").cast("string"), F.lit(" errors, "), v("structure_warnings").cast("string"), F.lit(" warnings"))),
+    )
+    made = [F.struct(F.lit(i).alias("check_id"), F.lit(p).alias("phase"), o.alias("outcome"), d.alias("detail")) for i, p, o, d in rows]
+    return verdicts.select(KEY, F.inline(F.array(*made)))
+
+
+def reverified(checked: Checked, docs: DataFrame, config: dict, units: DataFrame, options: Options | None = None) -> DataFrame:
     """Repairs of the checked rows with the status and reward their patched proposals get, and whether they
     improve; the patched rows pass the same checks once, repairs are not proposed for repairs."""
     offered = cut(repair.proposals(docs, checked.findings, KEY))
     again = offered.select(F.concat_ws("~", KEY, "repair_id").alias(KEY), F.col("patched").alias("doc"), F.get_json_object("patched", "$.proposal_id").alias("proposal_id"), F.concat(F.lit("sha256:"), F.sha2("patched", 256)).alias("candidate_key"))
-    after = check(again, config, units=units).verdicts.select(KEY, F.col("status").alias("status_after"), F.col("reward").alias("reward_after"))
+    options = options or Options()
+    after = check(again, config, units=units, sources=options.sources, entries=options.entries).verdicts.select(KEY, F.col("status").alias("status_after"), F.col("reward").alias("reward_after"))
     before = checked.verdicts.select(KEY, F.col("status").alias("status_before"), F.col("reward").alias("reward_before"))
     joined = offered.withColumn("_again", F.concat_ws("~", KEY, "repair_id")).join(after.withColumnRenamed(KEY, "_again"), "_again", "left").drop("_again")
     return joined.join(before, KEY).withColumn("improves", F.coalesce(F.col("reward_after") > F.col("reward_before"), F.lit(False)))
@@ -115,60 +140,120 @@ def preference_pairs(repaired: DataFrame) -> DataFrame:
     return repaired.where(F.col("improves") & (F.col("status_before") == "rejected")).select(KEY, "repair_id", F.col("reward_before").alias("rejected_reward"), F.col("reward_after").alias("chosen_reward"), "targets")
 
 
-def check_batches(batches: DataFrame, config: dict) -> tuple[Checked | None, DataFrame, DataFrame]:
+@dataclass
+class Options:
+    """Where a run takes its corpora from, keeps its verdicts, and when it begins no further part."""
+
+    cache: str | None = None
+    seconds: float | None = None
+    sources: DataFrame | None = None
+    entries: DataFrame | None = None
+    chunks: int = 16
+    clock: Callable[[], float] = time.monotonic
+
+
+def check_batches(batches: DataFrame, config: dict, options: Options | None = None) -> tuple[Checked | None, DataFrame, DataFrame]:
     """(checked, admitted, all proposals with their decision) of parsed envelopes; checked is None if none is
-    admitted. Rejected envelopes take no part."""
+    admitted. Rejected envelopes take no part. Records left out by a time budget have the decision unprocessed."""
+    options = options or Options()
     rows = cut(admission.admit(env.proposals_of(batches), "proposal_id", ["path", "pos"], F.size("issues") == 0))
     docs = rows.where(F.col("decision") == "admitted").drop("decision", "issues")
     if docs.isEmpty():
         return None, docs, rows
     units = cut(claims_audit.first_units(claims_audit.long_claims(parsed(docs), KEY, KEY), KEY))
-    checked = check(docs, config, units=units)
+
+    def judge(part: DataFrame, units: DataFrame) -> Checked:
+        if options.cache is not None:
+            return cached(part, config, options.cache, units=units, sources=options.sources, entries=options.entries)[0]
+        return check(part, config, units=units, sources=options.sources, entries=options.entries)
+
+    if options.seconds is None:
+        checked = judge(docs, units)
+    else:
+        checked, left = check_within(docs, config, options.seconds, chunks=options.chunks, clock=options.clock, judge=judge)
+        left = cut(left.select(KEY, F.lit(True).alias("_left")))
+        rows = cut(rows.join(left, KEY, "left").withColumn("decision", F.when(F.col("_left"), "unprocessed").otherwise(F.col("decision"))).drop("_left"))
+        docs = rows.where(F.col("decision") == "admitted").drop("decision", "issues")
+        if checked is None:
+            return None, docs, rows
     checked.units = units
     return checked, docs, rows
 
 
-def content_keys(docs: DataFrame, config: dict, units: DataFrame) -> DataFrame:
+def content_keys(docs: DataFrame, config: dict, units: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """docs with content_key: digest of everything a verdict depends on but the run it is part of.
 
-    That is the candidate, the thresholds, the versions of engine, taxonomy and reference tables, and the
-    batch's first units, which decide findings too."""
+    That is the candidate, the thresholds, the versions of engine, taxonomy and reference tables, corpora from
+    files among them, and the batch's first units, which decide findings too."""
     from orefold.plans.report import corpus_fingerprint
 
+    own = ""
+    if entries is not None:
+        each = F.xxhash64(*[F.col(c) for c in sorted(entries.columns)])
+        own = str(entries.agg(F.count(F.lit(1)), F.bit_xor(each), F.sum(F.pmod(each, F.lit(1 << 40)))).first())
+
     used = units.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "first_token"))), ",").alias("u")).first()["u"]
-    base = _hash("|".join([__version__, digest(config), TAXONOMY_VERSION, corpus_fingerprint(), used or ""]))
+    base = _hash("|".join([__version__, digest(config), TAXONOMY_VERSION, corpus_fingerprint(), used or "", own]))
     return docs.withColumn("content_key", F.sha2(F.concat_ws("|", F.lit(base), F.col("candidate_key")), 256))
 
 
-def cached_check(docs: DataFrame, config: dict, folder: str, *, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(verdicts, findings, number computed) of docs, taking from folder what was judged before.
+#: The tables of Checked that a store keeps, one row or several per content key.
+STORED = ("verdicts", "findings", "screened", "claims", "answers")
 
-    The store holds one verdict per content key and its findings, partitioned by the key's first two digits;
-    new content is found by an anti-join, checked once whatever the number of its records, and appended.
-    Keys of records are stamped on when the stored rows are joined back."""
+
+def cached(docs: DataFrame, config: dict, folder: str, *, units: DataFrame | None = None, sources: DataFrame | None = None, entries: DataFrame | None = None) -> tuple[Checked, int]:
+    """(checked, number computed) of docs, taking from folder what was judged before.
+
+    The store holds the tables of each content key, partitioned by the key's first two digits, and only the
+    partitions of the keys asked for are read. New content is found by an anti-join, checked once whatever the
+    number of its records, and appended under a mark of its own; a mark is entered in the list of complete
+    ones last, so rows of a write that broke off are never read. Keys, ids and run of records are stamped on
+    when the stored rows are joined back."""
     spark = docs.sparkSession
     units = cut(claims_audit.first_units(claims_audit.long_claims(parsed(docs), KEY, KEY), KEY)) if units is None else units
-    wanted = cut(content_keys(docs, config, units))
-    try:
-        todo = crossrun.misses(wanted, spark.read.parquet(f"{folder}/verdicts"), "content_key")
-    except AnalysisException:
-        todo = wanted
+    wanted = cut(content_keys(docs, config, units, entries).withColumn("shard", F.substring("content_key", 1, 2)))
+    shards = [r["shard"] for r in wanted.select("shard").distinct().collect()]  # 256 at most
+    marks = _marks(spark, folder)
+    here = lambda name: spark.read.parquet(f"{folder}/{name}").where(F.col("shard").isin(shards) & F.col("mark").isin(marks))
+    todo = crossrun.misses(wanted, here("verdicts").select("content_key"), "content_key") if marks else wanted
     fresh = cut(todo.groupBy("content_key").agg(F.min("doc").alias("doc"), F.min("proposal_id").alias("proposal_id"), F.min("candidate_key").alias("candidate_key")))
     n = fresh.count()
     if n:
-        done = check(fresh.withColumnRenamed("content_key", KEY), config, units=units)
-        for name, df in (("findings", done.findings), ("verdicts", done.verdicts.drop("proposal_id", "candidate_key"))):
-            df.withColumnRenamed(KEY, "content_key").withColumn("shard", F.substring("content_key", 1, 2)).write.mode("append").partitionBy("shard").parquet(f"{folder}/{name}")
-    stamp = wanted.select(KEY, "content_key", "proposal_id", "candidate_key", F.substring("content_key", 1, 2).alias("shard"))
-    back = lambda name, cols: spark.read.parquet(f"{folder}/{name}").join(stamp.select(KEY, "content_key", "shard", *cols), ["shard", "content_key"]).drop("shard", "content_key")
-    return back("verdicts", ["proposal_id", "candidate_key"]), back("findings", []), n
+        mark = uuid.uuid4().hex
+        done = check(fresh.withColumnRenamed("content_key", KEY), config, units=units, sources=sources, entries=entries)
+        for name in STORED:
+            df = getattr(done, name).drop("proposal_id", "candidate_key", "doc").withColumnRenamed(KEY, "content_key")
+            df.withColumns({"mark": F.lit(mark), "shard": F.substring("content_key", 1, 2)}).write.mode("append").partitionBy("shard").parquet(f"{folder}/{name}")
+        spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("append").parquet(f"{folder}/complete")
+        marks = [*marks, mark]
+    stamp = wanted.select(KEY, "content_key", "proposal_id", "candidate_key", "shard")
+
+    def back(name: str, *own: str) -> DataFrame:
+        return here(name).drop("mark").join(stamp.select(KEY, "content_key", "shard", *own), ["shard", "content_key"]).drop("shard", "content_key")
+
+    return Checked(*[back(t, *(["proposal_id", "candidate_key"] if t == "verdicts" else [])) for t in STORED], units), n
+
+
+def _marks(spark: SparkSession, folder: str) -> list[str]:
+    """The complete writes of a store, one for each run that found something new; none where there is no store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/complete")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return sorted(r["mark"] for r in spark.read.parquet(f"{folder}/complete").collect())
+
+
+def cached_check(docs: DataFrame, config: dict, folder: str, *, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(verdicts, findings, number computed): cached() for those who need no more."""
+    done, n = cached(docs, config, folder, units=units)
+    return done.verdicts, done.findings, n
 
 
-def check_within(docs: DataFrame, config: dict, seconds: float, *, chunks: int = 16, clock=time.monotonic) -> tuple[Checked | None, DataFrame]:
+def check_within(docs: DataFrame, config: dict, seconds: float, *, chunks: int = 16, clock=time.monotonic, judge: Callable[[DataFrame, DataFrame], Checked] | None = None) -> tuple[Checked | None, DataFrame]:
     """(checked, left out) with a budget of seconds: records are checked in chunks by the hash of their key, and
     no chunk is begun after the budget. What was not begun is returned for quarantine as VERIFY.BUDGET.EXHAUSTED.
 
-    Units are taken from all records, so a cut-off run judges each record as a full one would."""
+    Units are taken from all records, so a cut-off run judges each record as a full one would; judge(part, units)
+    stands in for check()."""
     begun = clock()
     docs = docs.withColumn("_chunk", F.pmod(F.xxhash64(KEY), F.lit(chunks)))
     units = cut(claims_audit.first_units(claims_audit.long_claims(parsed(docs), KEY, KEY), KEY))
@@ -180,7 +265,7 @@ def check_within(docs: DataFrame, config: dict, seconds: float, *, chunks: int =
         part = docs.where(F.col("_chunk") == i).drop("_chunk")
         if part.isEmpty():
             continue
-        c = check(part, config, units=units)
+        c = check(part, config, units=units) if judge is None else judge(part, units)
         c.verdicts = cut(c.verdicts)
         done = c if done is None else Checked(*[getattr(done, f).unionByName(getattr(c, f)) for f in ("verdicts", "findings", "screened", "claims", "answers")], units)
     return done, docs.limit(0).select(KEY, "proposal_id", F.lit("VERIFY.BUDGET.EXHAUSTED").alias("violation_code"))
@@ -199,17 +284,19 @@ class Run:
     counts: dict | None = None
 
 
-def run(spark: SparkSession, path: str, *, config: dict | None = None, seed: int = 0, logical_time: str = "1970-01-01T00:00:00Z", repairs: bool = True) -> Run:
+def run(spark: SparkSession, path: str, *, config: dict | None = None, seed: int = 0, logical_time: str = "1970-01-01T00:00:00Z", repairs: bool = True, options: Options | None = None) -> Run:
     """One run over a file or folder of batches. The first rejected file ends it with exit code 3; 4 says that
-    records were quarantined or a provider could not answer; 0 that nothing is missing."""
+    records were quarantined or a provider could not answer; 0 that nothing is missing. options name a store of
+    verdicts, a time budget and corpora from files."""
     config = resolve() if config is None else config
     batches = cut(env.envelopes(spark, path, config["input"]))
     shas = batches.agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("digest", F.lit("-")))), "|").alias("d")).first()["d"]
     run_id = "run-" + _hash("|".join([digest(config), str(seed), logical_time, shas or ""]))[:24]
     if not batches.where(F.col("code").isNotNull()).isEmpty():
         return Run(run_id, 3, batches)
-    checked, docs, rows = check_batches(batches, config)
-    aside = rows.where(F.col("decision") != "admitted").select("key", "proposal_id", F.when(F.col("decision") == "duplicate", "FMT.ID.DUPLICATE_PROPOSAL_ID").otherwise(F.col("issues")[0]["code"]).alias("violation_code"))
+    checked, docs, rows = check_batches(batches, config, options)
+    why = F.when(F.col("decision") == "duplicate", "FMT.ID.DUPLICATE_PROPOSAL_ID").when(F.col("decision") == "unprocessed", "VERIFY.BUDGET.EXHAUSTED")
+    aside = rows.where(F.col("decision") != "admitted").select("key", "proposal_id", why.otherwise(F.col("issues")[0]["code"]).alias("violation_code"))
     if checked is None:
         c = admission.counts(rows).first().asDict()
         return Run(run_id, 4, batches, docs, aside, counts=c)
@@ -218,7 +305,7 @@ def run(spark: SparkSession, path: str, *, config: dict | None = None, seed: int
     c = admission.counts(rows).first().asDict()
     c |= {r["status"]: r["n"] for r in checked.verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     away = not checked.answers.where(F.col("status") == "unavailable").isEmpty()
-    repaired = reverified(checked, docs, config, checked.units) if repairs else None
+    repaired = reverified(checked, docs, config, checked.units, options) if repairs else None
     return Run(run_id, 4 if away or c["quarantined"] else 0, batches, docs, aside, checked, repaired, admission.ledger(hits, admission.rules(spark)), c)
 
 
@@ -253,7 +340,8 @@ def summary(r: Run) -> dict[str, DataFrame]:
         "tiers": c.verdicts.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.count(F.lit(1)).alias("n")),
         "calibration_pairs": outcomes,
         "calibration": summarize.calibration(outcomes),
-        "recommendations": summarize.recommendations(c.findings, KEY, summarize.advice(c.findings.sparkSession), n),
+        "recommendations": summarize.recommendations(c.findings.join(c.verdicts.select(KEY, "proposal_id"), KEY), KEY, summarize.advice(c.findings.sparkSession), n, pointer="json_pointer", example="proposal_id"),
+        "checks": checks(c.verdicts),
         "scalar_reward": summarize.scalar_rewards(c.verdicts),
         "routes": feasibility.ranked_routes(c.screened.where(F.col("facts.key").isNotNull()), KEY),
     }

@@ -28,7 +28,7 @@ _EN = _values("en", "sym, x", [*el.ELECTRONEGATIVITY.items()])
 _STATES = _values("states", "sym, ord, state", [(s, i, v) for s, vs in el.STATES.items() for i, v in enumerate(vs)])
 _SPECS = _values("specs", "name, canonical, hard_min, lo, hi", [(n, u, m, a, b) for n, u, m, a, b in pr.SPECS])
 _FACTORS = _values("factors", "canonical, token, factor, offs", [(c, t, float(f), float(o)) for c, t, f, o in pr.FACTORS])
-_CORPUS = _values("corpus", "provider, key, identifier, n_documents", [(p, k, i, n) for p, k, _, i, n, _ in corpus_rows()])
+_CORPUS = _values("corpus", "provider, key, identifier, n_documents", [(p, k, i, n) for p, k, _, i, n in corpus_rows()])
 _PROVIDERS = _values("providers", "provider, mode, evidence", [(p.name, p.mode, p.evidence) for p in PROVIDERS])
 _PHASES = _values("phases", "key, ev, atoms", [(fm.key(c), h / th.KJ_PER_EV, float(sum(c.values()))) for c, h in ((fm.parse(f).counts, h) for f, h, _ in th.ENTRIES)])
 _PHASE_COUNTS = _values("phase_counts", "key, sym, n", [(fm.key(c), s, float(n)) for c in (fm.parse(f).counts for f, _, _ in th.ENTRIES) for s, n in c.items()])
@@ -240,9 +240,9 @@ SQL: dict[str, str] = {
     "strip_format_chars": r"SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '\p{Cf}', '', 'g')) AS BIGINT) AS removed, 'sha256:' || sha256(regexp_replace(text, '\p{Cf}', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
     "fold_separators": r"SELECT doc_id, 'sha256:' || sha256(regexp_replace(translate(text, '·•‧⋅・.−–—₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹', '******---01234567890123456789'), '[ \t\n\r\f\x0B]+', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
     "non_ascii_reject": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\x00-\x7F]')",
-    "safe_slug": r"""WITH s AS (SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g'), '\.{2,}', '.', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 64) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS slug FROM s""",
+    "safe_slug": r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g'), '\.{2,}', '_', 'g'), '^\.+|\.+$', '', 'g'), '^_+|_+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN s = '' THEN 'record' ELSE substring(s, 1, 64) END AS slug FROM s""",
     "candidate_key_hash": "SELECT batch_no, 'sha256:' || sha256(payload) AS candidate_key FROM batch_files",
-    "finding_fingerprint": "SELECT finding_id, 'sha256:' || sha256(concat_ws(chr(31), code, json_pointer, coalesce(observed, chr(9216)))) AS own_fingerprint FROM violations",
+    "finding_fingerprint": """SELECT finding_id, 'sha256:' || sha256('{"code":' || coalesce(CAST(to_json(code) AS VARCHAR), 'null') || ',"json_pointer":' || coalesce(CAST(to_json(json_pointer) AS VARCHAR), 'null') || ',"observed":' || coalesce(CAST(to_json(observed) AS VARCHAR), 'null') || '}') AS own_fingerprint FROM violations""",
     "naive_timestamp_flag": r"""WITH t AS (SELECT row_no, payload->>'$.logical_time' AS t FROM run_files) SELECT row_no, regexp_matches(t, '^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?') AND NOT regexp_matches(t, '([Zz]|[+-]\d{2}:\d{2})$') AS naive FROM t WHERE t IS NOT NULL""",
     "truncated_messages": "SELECT finding_id, CASE WHEN length(message) > 60 THEN substring(message, 1, 59) || '…' ELSE message END AS message FROM violations",
     "round_significant": "WITH c AS (SELECT proposal_no, unnest(claimed_properties) AS c, generate_subscripts(claimed_properties, 1) - 1 AS pos FROM proposals) SELECT proposal_no, CAST(pos AS BIGINT) AS pos, CAST(format('{:.5e}', c.value) AS DOUBLE) AS value FROM c WHERE c.value IS NOT NULL",

@@ -14,7 +14,7 @@ DEFAULTS: dict = {
     "feasibility": {"threshold": 0.067, "atmospheres": ["air", "H2"], "temperature": 1273.15, "frame_limit": 600.0, "reactive": ["H2", "forming_gas", "NH3", "O2", "air", "CO2"]},
     "routes": {"max_routes": 3, "low_force": 0.05},
     "reward": {"id": "gated_mean@1.0", "unknown": 0.5, "weights": {"composition_valid": 0.25, "structure_valid": 0.20, "novelty": 0.25, "feasibility": 0.15, "claims_supported": 0.15}},
-    "evidence": {"only": None},
+    "evidence": {"only": None, "offline": True},
 }
 SECRET = re.compile(r"key|secret|token|password", re.I)
 
@@ -36,12 +36,26 @@ def redact(value: object, name: str = "") -> object:
     return "[redacted]" if value is not None and SECRET.search(name) else value
 
 
+def unknown(config: dict, known: dict, path: str = "") -> list[str]:
+    """Dotted names of settings that the defaults do not have."""
+    out = []
+    for k, v in config.items():
+        if k not in known:
+            out.append(f"{path}{k}")
+        elif isinstance(v, dict) and isinstance(known[k], dict):
+            out += unknown(v, known[k], f"{path}{k}.")
+    return sorted(out)
+
+
 def resolve(path: str | None = None, **overrides: object) -> dict:
-    """Defaults, then the JSON file, then overrides."""
+    """Defaults, then the JSON file, then overrides; a setting of the file that there is none of is an error."""
     config = DEFAULTS
     if path is not None:
         with open(path, encoding="utf-8") as f:
-            config = merge(config, json.load(f))
+            overlay = json.load(f)
+        if wrong := unknown(overlay, DEFAULTS):
+            raise ValueError(f"unknown settings: {', '.join(wrong)}")
+        config = merge(config, overlay)
     return merge(config, overrides)
 
 
