@@ -44,6 +44,12 @@ def slug(text: Column) -> Column:
     return F.when(s.isNull() | (s == ""), F.lit("record")).otherwise(F.substring(s, 1, 64))
 
 
+def first_bare_word(text: Column) -> Column:
+    """The first word outside of brackets: the formula part of a precursor's name."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", " "), r"\[[^\]]*\]", " "))
+    return F.split(bare, " ")[0]
+
+
 def sha256(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 

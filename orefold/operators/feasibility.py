@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orefold.functions import chemistry as ch
 from orefold.functions import formula as fm
+from orefold.functions.text import first_bare_word
 from orefold.operators.findings import found, found_many
 from orefold.reference import thermochemistry as th
 
@@ -45,9 +45,14 @@ def atmospheres(proposed: Column, screened: list[str]) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _readable(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield pd.Series([None if names is None else [n is None or not n.strip() or fm.parse(ch.precursor_name(n)).ok for n in names] for names in s], dtype=object)
+        yield pd.Series([None if names is None else [n is None or not n.strip() or fm.parse(n).ok for n in names] for names in s], dtype=object)
+
+
+def _named(precursors: Column) -> Column:
+    """Whether the formula part of each precursor can be read; blank ones count as readable."""
+    return _readable(F.transform(precursors, first_bare_word))
 
 
 def screen(df: DataFrame, key: str, config: dict) -> DataFrame:

@@ -69,6 +69,12 @@ def _field(i: int) -> str:
     return f"CASE WHEN f[{i}] LIKE '\"%' THEN replace(substring(f[{i}], 2, length(f[{i}]) - 2), '\"\"', '\"') ELSE f[{i}] END"
 
 
+def _alias_case(name: str, paths: tuple[str, ...]) -> str:
+    folded = [x.lower().replace("_", "").replace("-", "") for x in paths]
+    steps = ", ".join(f"'{x}'" for x in folded if "." not in x) or "''"
+    return f"WHEN fold IN ({', '.join(repr(x) for x in folded)}) OR step IN ({steps}) THEN '{name}'"
+
+
 SQL: dict[str, str] = {
     "p1_found": """WITH leaf AS (SELECT producer, file_seq, replace(substring(t.fullkey, 3), '"', '') AS path,
           CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
@@ -85,6 +91,13 @@ SQL: dict[str, str] = {
       UNION ALL SELECT producer, file_seq, 'removed', path, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.producer = g.producer AND r.file_seq = g.file_seq AND r.old_path = g.path)
       UNION ALL SELECT producer, file_seq, 'added', '', path FROM come c WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.producer = c.producer AND r.file_seq = c.file_seq AND r.new_path = c.path)
       UNION ALL SELECT producer, file_seq, 'retyped', path, path FROM j WHERE a <> b""",
+    "p1_casts": f"""WITH leaf AS (SELECT DISTINCT producer, file_seq, replace(substring(t.fullkey, 3), '"', '') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind FROM run_files r, json_tree(r.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%'),
+      files AS (SELECT producer, file_seq, row_number() OVER (PARTITION BY producer ORDER BY file_seq) AS r FROM (SELECT DISTINCT producer, file_seq FROM run_files)), n AS (SELECT *, r - row_number() OVER (PARTITION BY producer, path, kind ORDER BY r) AS island FROM leaf JOIN files USING (producer, file_seq)),
+      spans AS (SELECT producer, path, kind, min(file_seq) AS first_seq, max(file_seq) AS last_seq FROM n GROUP BY producer, path, kind, island), f AS (SELECT *, regexp_replace(lower(path), '[^a-z0-9.]', '', 'g') AS fold FROM spans), g AS (SELECT *, list_extract(string_split(fold, '.'), -1) AS step FROM f),
+      c AS (SELECT *, CASE {' '.join(_alias_case(name, paths) for name, _, paths in drift.ALIASES)} END AS col FROM g)
+      SELECT producer, path, kind, first_seq, last_seq, coalesce(col, path) AS "column", CASE {' '.join(f"WHEN col = '{name}' THEN '{kind}'" for name, kind, _ in drift.ALIASES)} ELSE kind END AS cast_to FROM c""",
+    "p3_loaded": f"""WITH p AS ({_FIELDS}), q AS (SELECT *, raw_line IS NOT NULL AND coalesce(list_sum(list_transform(f, lambda x: length(x) + 1)), 0) = length(raw_line) + 1 AND len(f) = 9 AS ok, {_field(3)} AS v, {_field(7)} AS t FROM p)
+      SELECT line_id, {', '.join(f'TRY_CAST(trim({_field(i)}) AS DOUBLE) AS {c}' if c in ('value', 'temperature') else f'{_field(i)} AS "{c}"' for i, c in enumerate(rejects.CLAIM_HEADER, 1))} FROM q WHERE ok AND {_finite('v')} AND ({_finite('t')} OR regexp_full_match(t, '\\s*'))""",
     "p3_found": f"""WITH p AS ({_FIELDS}), q AS (SELECT line_id, CASE WHEN raw_line IS NULL OR coalesce(list_sum(list_transform(f, lambda x: length(x) + 1)), 0) <> length(raw_line) + 1 THEN 'quoting' WHEN len(f) <> 9 THEN 'column_count' END AS why, {_field(3)} AS v, {_field(7)} AS t FROM p),
       r AS (SELECT line_id, coalesce(why, CASE WHEN NOT {_finite('v')} THEN 'value' WHEN NOT ({_finite('t')} OR regexp_full_match(t, '\\s*')) THEN 'temperature' END) AS reason FROM q) SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
 }

@@ -15,6 +15,7 @@ from orefold.plans import verification
 from orefold.queries.reference_sql import SQL as SQL
 from orefold.reference.config import DEFAULTS
 from orefold.session import tune
+from orefold.sources import envelopes as env
 from orefold.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,8 +223,7 @@ def hint_findings(spark: SparkSession, folder: str) -> DataFrame:
 def precursor_names(spark: SparkSession, folder: str) -> DataFrame:
     p = table(tune(spark), folder, "proposals", NO, "synthesis_hint")
     e = p.select(NO, F.posexplode("synthesis_hint.precursors").alias("pos", "raw"))
-    bare = F.trim(F.regexp_replace(F.regexp_replace("raw", r"\([^)]*\)", " "), r"\[[^\]]*\]", " "))
-    return e.select(NO, F.col("pos").cast("bigint").alias("pos"), F.split(bare, " ")[0].alias("name"))
+    return e.select(NO, F.col("pos").cast("bigint").alias("pos"), tx.first_bare_word(F.col("raw")).alias("name"))
 
 
 @query
@@ -274,6 +274,51 @@ def recommendations_ranked(spark: SparkSession, folder: str) -> DataFrame:
     return r.select(F.col("rank").cast("bigint").alias("rank"), "advice_id", "target", "n_records", F.round("fraction", 6).alias("fraction"))
 
 
+@query
+def recommendation_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    t = table(tune(spark), folder, "taxonomy_codes", "code", "phase", "default_level")
+    rules = t.groupBy(F.col("phase").alias("advice_id"), F.col("default_level").alias("target")).agg(F.collect_set("code").alias("codes"))
+    v = _violations(spark, folder, "record_id", "proposal_id", "code", "json_pointer")
+    r = summarize.recommendations(v, "record_id", rules, 1, pointer="json_pointer", example="proposal_id")
+    return r.select("advice_id", "target", "n_records", *[F.array_join(c, ",").alias(c) for c in ("codes", "json_pointers", "example_ids")])
+
+
+@query
+def tier_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.tiers(_answers(spark, folder), NO).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tier_supporters(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.tiers(_answers(spark, folder), NO).select(NO, F.array_join("supporters", ",").alias("supporters"))
+
+
+@query
+def corpus_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.corpora(spark).groupBy("provider").agg(F.count(F.lit(1)).alias("n_entries"))
+
+
+@query
+def decomposition_products(spark: SparkSession, folder: str) -> DataFrame:
+    s = feasibility.screen(_facts(spark, folder, "synthesis_hint").withColumn("hint", F.col("synthesis_hint")), NO, DEFAULTS["feasibility"])
+    return s.select(NO, F.inline("decomposition")).withColumn("products", F.array_join("products", ","))
+
+
+@query
+def symmetry_rank(spark: SparkSession, folder: str) -> DataFrame:
+    a = symmetry_agreement(spark, folder).where(F.col("asserted").isNotNull())
+    return a.select(NO, g.rank(F.col("metric")).cast("bigint").alias("metric_rank"), g.more_symmetric(F.col("metric"), F.col("asserted")).alias("more_symmetric"))
+
+
+@query
+def schema_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Unknown and missing fields at the top of every proposal that stands in a list."""
+    b = table(tune(spark), folder, "batch_files", "batch_no", "payload")
+    each = b.select("batch_no", F.posexplode(F.from_json("payload", "proposals array<string>")["proposals"]).alias("pos", "doc")).where(F.col("doc").isNotNull() & F.json_object_keys("doc").isNotNull())
+    found = each.select("batch_no", F.col("pos").cast("bigint").alias("pos"), F.explode(env.conformance("doc")).alias("i")).select("batch_no", "pos", "i.*")
+    return found.where(F.col("code").isin("FMT.SCHEMA.UNKNOWN_FIELD", "FMT.SCHEMA.REQUIRED_FIELD_MISSING") & (F.length("json_pointer") - F.length(F.replace("json_pointer", F.lit("/"), F.lit(""))) == 1))
+
+
 @query
 def top_code_fields(spark: SparkSession, folder: str) -> DataFrame:
     c = summarize.code_by_field(_violations(spark, folder, "code", "json_pointer")).where(F.col("code").isNotNull() & F.col("json_pointer").isNotNull())
@@ -313,7 +358,9 @@ def finding_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def comparability_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return crossrun.comparability(table(tune(spark), folder, "documents", "lang", "source", "kind"), ["lang", "source", "kind"])
+    aspects = ["taxonomy_version", "reward_fn_id", "corpus_fingerprint", "config_sha256", "source_sha256"]
+    r = table(tune(spark), folder, "run_files", "payload")
+    return crossrun.comparability(r.select(*[F.get_json_object("payload", f"$.{a}").alias(a) for a in aspects]), aspects)
 
 
 @query

@@ -212,6 +212,25 @@ SQL: dict[str, str] = {
         round(avg(confidence) FILTER (outcome = 'incorrect'), 6) AS mean_confidence_when_incorrect FROM o""",
     "recommendations_ranked": """WITH n AS (SELECT t.phase AS advice_id, t.default_level AS target, count(DISTINCT v.proposal_id) AS n_records FROM violations v JOIN taxonomy_codes t USING (code) WHERE v.proposal_id IS NOT NULL GROUP BY 1, 2)
         SELECT CAST(row_number() OVER (ORDER BY n_records DESC, target, advice_id) AS BIGINT) AS rank, advice_id, target, n_records, round(n_records / (SELECT count(DISTINCT proposal_id) FROM violations)::DOUBLE, 6) AS fraction FROM n""",
+    "recommendation_evidence": """WITH j AS (SELECT t.phase AS advice_id, t.default_level AS target, v.code, v.json_pointer, v.proposal_id, v.record_id FROM violations v JOIN taxonomy_codes t USING (code) WHERE v.record_id IS NOT NULL),
+        d AS (SELECT DISTINCT advice_id, 'c' AS k, code AS x FROM j UNION ALL SELECT DISTINCT advice_id, 'p', json_pointer FROM j WHERE json_pointer IS NOT NULL UNION ALL SELECT DISTINCT advice_id, 'e', proposal_id FROM j WHERE proposal_id IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY advice_id, k ORDER BY x) AS i FROM d), a AS (SELECT advice_id, string_agg(x, ',' ORDER BY x) FILTER (k = 'c') AS codes, string_agg(x, ',' ORDER BY x) FILTER (k = 'p' AND i <= 20) AS json_pointers, string_agg(x, ',' ORDER BY x) FILTER (k = 'e' AND i <= 5) AS example_ids FROM r GROUP BY 1),
+        n AS (SELECT advice_id, target, count(DISTINCT record_id) AS n_records FROM j GROUP BY 1, 2) SELECT advice_id, target, n_records, codes, json_pointers, example_ids FROM n JOIN a USING (advice_id)""",
+    "tier_histogram": f"""WITH {_ANSWERS}, {_TIERED} SELECT CASE WHEN e THEN '{TIERS[0][1]}' WHEN c THEN '{TIERS[1][1]}' WHEN l THEN '{TIERS[2][1]}' WHEN away > 0 THEN 'unknown' ELSE 'no_evidence' END AS tier, count(*) AS n FROM tier GROUP BY 1""",
+    "tier_supporters": f"""WITH {_ANSWERS}, {_TIERED}, w AS (SELECT proposal_no, CASE WHEN e THEN 'experimental' WHEN c THEN 'computed' WHEN l THEN 'literature' WHEN away > 0 THEN '' ELSE '*' END AS class FROM tier)
+        SELECT proposal_no, coalesce(string_agg(provider, ',' ORDER BY provider) FILTER (class = '*' OR (status = 'hit' AND evidence = class)), '') AS supporters FROM ans JOIN w USING (proposal_no) GROUP BY 1""",
+    "corpus_coverage": f"WITH {_CORPUS} SELECT provider, count(*) AS n_entries FROM corpus GROUP BY 1",
+    "decomposition_products": f"""WITH {_PHASES}, {_FC}, h AS (SELECT proposal_no, synthesis_hint.temperature AS t, synthesis_hint.temperature_unit AS u, synthesis_hint.atmosphere AS gas0 FROM proposals), hk AS (SELECT proposal_no, gas0, {_KELVIN} AS k0 FROM h),
+        g AS (SELECT proposal_no, CASE WHEN k0 > 0 AND k0 < 6000 THEN k0 ELSE 1273.15 END AS k, unnest(list_distinct(list_filter(['air', 'H2', CASE WHEN gas0 <> 'unknown' THEN gas0 END], lambda x: x IS NOT NULL))) AS gas FROM hk),
+        j AS (SELECT i.proposal_no, gas, g.k AS k, fc.n / i.g AS o, ph.ev FROM ident i JOIN phases ph USING (key) JOIN fc ON fc.proposal_no = i.proposal_no AND fc.sym = 'O' JOIN g ON g.proposal_no = i.proposal_no), bad AS (SELECT proposal_no, gas FROM j WHERE o * {_MU} - ev < 0),
+        m AS (SELECT proposal_no, string_agg(sym, ',' ORDER BY sym) AS metals FROM fc WHERE sym <> 'O' GROUP BY 1) SELECT proposal_no, gas AS atmosphere, metals || CASE WHEN gas IN ({', '.join(map(_text, th.WATER_RATIO))}) THEN ',H2O' ELSE ',O2' END AS products FROM bad JOIN m USING (proposal_no)""",
+    "symmetry_rank": f"""WITH {_LAT}, q AS (SELECT proposal_no, {_FAMILY} AS asserted, alpha, beta, gamma, abs(a - b) <= 0.01 AS ab, abs(b - c) <= 0.01 AS bc, abs(a - c) <= 0.01 AS ac, abs(alpha - 90) <= 0.5 AS ra, abs(beta - 90) <= 0.5 AS rb, abs(gamma - 90) <= 0.5 AS rg,
+        abs(alpha - 90) <= 0.5 AND abs(beta - 90) <= 0.5 AND abs(gamma - 90) <= 0.5 AS sq FROM lat WHERE vol IS NOT NULL), m AS (SELECT proposal_no, asserted, {_METRIC} AS metric FROM q),
+        k(family, r) AS (VALUES ('cubic', 7), ('hexagonal', 6), ('trigonal', 5), ('rhombohedral', 5), ('tetragonal', 4), ('orthorhombic', 3), ('monoclinic', 2), ('triclinic', 1))
+        SELECT proposal_no, CAST(x.r AS BIGINT) AS metric_rank, x.r > y.r AS more_symmetric FROM m JOIN k x ON x.family = metric JOIN k y ON y.family = asserted""",
+    "schema_fields": f"""WITH e AS (SELECT batch_no, CAST(j.key AS BIGINT) AS pos, j.value AS doc FROM batch_files b, json_each(b.payload, '$.proposals') j WHERE json_type(b.payload, '$.proposals') = 'ARRAY' AND json_type(j.value) = 'OBJECT'), k AS (SELECT batch_no, pos, unnest(json_keys(doc)) AS k FROM e)
+        SELECT batch_no, pos, '/' || k AS json_pointer, 'FMT.SCHEMA.UNKNOWN_FIELD' AS code FROM k WHERE k NOT IN ({', '.join(map(_text, SCHEMA.fields))})
+        UNION ALL SELECT e.batch_no, e.pos, '/' || r.f, 'FMT.SCHEMA.REQUIRED_FIELD_MISSING' FROM e, (VALUES ('proposal_id'), ('composition')) r(f) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.batch_no = e.batch_no AND k.pos = e.pos AND k.k = r.f)""",
     "top_code_fields": f"SELECT code, json_pointer, count(*) AS n FROM ({_CODES}) GROUP BY 1, 2 ORDER BY n DESC, code, json_pointer LIMIT 20",
     "pooled_rates": "SELECT code, json_pointer, CAST(count(*) AS BIGINT) AS total_findings, CAST(count(DISTINCT run_id) + max(CASE WHEN run_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS runs_present_in, round(100.0::DOUBLE * count(*) / (SELECT count(DISTINCT record_id) FROM violations), 3) AS per_100 FROM violations GROUP BY 1, 2",
     "cross_run_trend": """WITH e AS (SELECT min(batch_seq) AS a, max(batch_seq) AS z FROM violations), r AS (SELECT count(DISTINCT record_id) FILTER (batch_seq = a) AS ra, count(DISTINCT record_id) FILTER (batch_seq = z) AS rz FROM violations, e),
@@ -222,7 +241,7 @@ SQL: dict[str, str] = {
         SELECT component, count(*) AS n, round(CAST(sum(CAST(v AS DECIMAL(26, 12))) AS DOUBLE) / count(*), 6) AS mean FROM v WHERE v IS NOT NULL GROUP BY 1""",
     "finding_lifecycle": """WITH m AS (SELECT max(batch_seq) AS z FROM violations), last AS (SELECT DISTINCT fingerprint FROM violations, m WHERE batch_seq = z AND fingerprint IS NOT NULL), old AS (SELECT DISTINCT fingerprint FROM violations, m WHERE batch_seq < z AND fingerprint IS NOT NULL)
         SELECT fingerprint, 'new' AS state FROM (SELECT * FROM last EXCEPT SELECT * FROM old) UNION ALL SELECT fingerprint, 'resolved' FROM (SELECT * FROM old EXCEPT SELECT * FROM last) UNION ALL SELECT fingerprint, 'persistent' FROM (SELECT * FROM last INTERSECT SELECT * FROM old)""",
-    "comparability_flags": "SELECT aspect, n_values, n_values <= 1 AS comparable FROM (SELECT 'lang' AS aspect, count(DISTINCT lang) AS n_values FROM documents UNION ALL SELECT 'source', count(DISTINCT source) FROM documents UNION ALL SELECT 'kind', count(DISTINCT kind) FROM documents)",
+    "comparability_flags": "SELECT aspect, n_values, n_values <= 1 AS comparable FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS aspect, count(DISTINCT payload->>'$.{a}') AS n_values FROM run_files" for a in ("taxonomy_version", "reward_fn_id", "corpus_fingerprint", "config_sha256", "source_sha256")) + ")",
     "run_table": "SELECT run_id, count(DISTINCT record_id) AS n_records, count(*) AS n_findings FROM violations WHERE run_id IS NOT NULL GROUP BY 1",
     "runs_per_code": "SELECT code, run_id, n, CAST(rank AS BIGINT) AS rank FROM (SELECT code, run_id, count(*) AS n, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, run_id ASC NULLS LAST) AS rank FROM violations WHERE code IS NOT NULL GROUP BY 1, 2) WHERE rank <= 3",
     "incremental_misses": f"""WITH d AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN 'sha256:' || sha256(text) END AS content_key, created_at FROM documents) SELECT doc_id, content_key FROM d n WHERE created_at >= {_OLD} AND (content_key IS NULL OR content_key NOT IN (SELECT content_key FROM d WHERE created_at < {_OLD} AND content_key IS NOT NULL))""",
