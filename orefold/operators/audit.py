@@ -41,5 +41,5 @@ def mismatched(df: DataFrame, stated: Column, derived: Column, tolerance: float
 
 def with_url(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, column): text columns that hold a web address or an absolute host path."""
-    c = F.explode(F.array(*[F.when(F.col(x).rlike(r"https?://|(^|\s)(/home/|/root/|/Users/|[A-Za-z]:\\)"), F.lit(x)) for x in columns])).alias("column")
+    c = F.explode(F.array(*[F.when(F.col(x).rlike(r"https?://|(^|[\s\"'=(])(/home/|/root/|/Users/|[A-Za-z]:\\)"), F.lit(x)) for x in columns])).alias("column")
     return df.select(key, c).where(F.col("column").isNotNull())

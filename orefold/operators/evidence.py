@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold.functions import formula as fm
-from orefold.operators.findings import COLUMNS, found
+from orefold.operators.findings import found, found_many
 from orefold.plans.skew import SMALL_ROWS
 from orefold.reference.corpora import PROVIDERS, TIERS
 from orefold.session import cut
@@ -97,11 +97,9 @@ def evidence_findings(df: DataFrame, key: str, answered: DataFrame, tiered: Data
     """Findings on prior art. df has the reduced formula as reduced."""
     at = "/composition/formula"
     t = tiered.join(df.select(key, "reduced"), key)
-    out = found(t, key, F.col("tier") == "experimentally_reported", "NOVEL.DUPLICATE.EXACT_MATCH", "error", at, F.col("reduced"))
-    out = out.unionByName(found(t, key, F.col("tier") == "computed_only", "NOVEL.DUPLICATE.COMPOSITION_MATCH", "warning", at, F.col("reduced")))
-    out = out.unionByName(found(t, key, F.col("tier") == "literature_mention", "NOVEL.PRIOR_ART.LITERATURE_MENTION", "note", at, F.col("reduced")))
+    tier, told, away = F.col("tier"), F.col("reduced"), F.col("status") == "unavailable"
+    known = (("experimentally_reported", "NOVEL.DUPLICATE.EXACT_MATCH", "error"), ("computed_only", "NOVEL.DUPLICATE.COMPOSITION_MATCH", "warning"), ("literature_mention", "NOVEL.PRIOR_ART.LITERATURE_MENTION", "note"))
+    out = found_many(t, key, [(tier == name, code, level, at, told) for name, code, level in known])
     out = out.unionByName(found(conflicts(answered, key), key, F.lit(True), "NOVEL.EVIDENCE.SOURCES_DISAGREE", "note", at, F.col("providers")))
-    away = F.col("status") == "unavailable"
-    out = out.unionByName(found(answered, key, away & (F.col("mode") == "replay"), "VERIFY.UNAVAILABLE.OFFLINE_CACHE_MISS", "none", at, F.col("provider")))
-    out = out.unionByName(found(answered, key, away & (F.col("mode") != "replay"), "VERIFY.UNAVAILABLE.PROVIDER_ERROR", "none", at, F.col("provider")))
-    return out.select(key, *COLUMNS)
+    silent = [(away & (F.col("mode") == "replay"), "VERIFY.UNAVAILABLE.OFFLINE_CACHE_MISS", "none", at, F.col("provider")), (away & (F.col("mode") != "replay"), "VERIFY.UNAVAILABLE.PROVIDER_ERROR", "none", at, F.col("provider"))]
+    return out.unionByName(found_many(answered, key, silent))

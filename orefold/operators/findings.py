@@ -26,9 +26,15 @@ def message(code: str, observed: Column, expected: Column) -> Column:
     return truncate(F.concat(*[value[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)]), MESSAGE)
 
 
-def finding(df: DataFrame, code: str, level: str, at: Column | str, observed: Column | None = None, expected: Column | str | None = None, confidence: float | None = None) -> Column:
-    """One finding as a struct of COLUMNS; the kind of the observed value is that of its column in df."""
-    kind = None if observed is None else _KINDS.get(df.select(observed).schema[0].dataType.typeName(), "string")
+def _kinds(df: DataFrame, columns: Sequence[Column | None]) -> list[str | None]:
+    """What the columns hold, told by one analysis of df."""
+    some = [c.alias(f"c{i}") for i, c in enumerate(columns) if c is not None]
+    types = iter(df.select(*some).schema if some else ())
+    return [None if c is None else _KINDS.get(next(types).dataType.typeName(), "string") for c in columns]
+
+
+def finding(kind: str | None, code: str, level: str, at: Column | str, observed: Column | None = None, expected: Column | str | None = None, confidence: float | None = None) -> Column:
+    """One finding as a struct of COLUMNS; kind is what the observed column holds."""
     seen = F.lit(None).cast("string") if observed is None else truncate(observed.cast("string"), OBSERVED)
     want = F.lit(expected).cast("string") if not isinstance(expected, Column) else truncate(expected.cast("string"), OBSERVED)
     values = (F.lit(code), F.lit(level), F.lit(at) if isinstance(at, str) else at, message(code, seen, want), seen, F.when(seen.isNotNull(), F.lit(kind)), want, F.lit(confidence).cast("double"))
@@ -37,14 +43,16 @@ def finding(df: DataFrame, code: str, level: str, at: Column | str, observed: Co
 
 def found(df: DataFrame, key: str, when: Column, code: str, level: str, at: Column | str, observed: Column | None = None, expected: Column | str | None = None) -> DataFrame:
     """The rows of df for which the condition holds, as findings (key, COLUMNS)."""
-    return df.where(when).select(key, finding(df, code, level, at, observed, expected).alias("_f")).select(key, "_f.*")
+    (kind,) = _kinds(df, [observed])
+    return df.where(when).select(key, finding(kind, code, level, at, observed, expected).alias("_f")).select(key, "_f.*")
 
 
 def found_many(df: DataFrame, key: str, cases: Sequence[Case]) -> DataFrame:
     """Several conditions in one pass: each row yields a finding for every condition that holds.
 
     A case is (when, code, level, at, observed) and, where something else was wanted, expected."""
-    items = [F.when(case[0], finding(df, *case[1:])) for case in cases]
+    kinds = _kinds(df, [case[4] for case in cases])
+    items = [F.when(case[0], finding(kind, *case[1:])) for kind, case in zip(kinds, cases)]
     return df.select(key, F.inline(F.array_compact(F.array(*items))))
 
 

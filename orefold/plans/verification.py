@@ -34,7 +34,9 @@ class Checked:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(key, doc, columns of the proposal) from (key, doc)."""
+    """(key, doc, columns of the proposal) from (key, doc); docs that have the columns already stay as they are."""
+    if "composition" in docs.columns:
+        return docs
     out = docs.withColumn("p", F.from_json("doc", PROPOSAL))
     return out.select(*docs.columns, *[F.col(f"p.{c}").alias(c) for c in ("composition", "structure", "claimed_properties", "synthesis_hint", "generator_confidence")])
 
@@ -52,7 +54,7 @@ def check(docs: DataFrame, config: dict, *, units: DataFrame | None = None, sour
     m = cut(m.select(KEY, "evaluated", "a", "b", "c", "alpha", "beta", "gamma", "volume", "density", "totals", "nearest", "metric", "asserted", F.col("facts.counts").alias("counts")))
     sources = evidence.providers(spark, only=config["evidence"]["only"]) if sources is None else sources
     entries = evidence.corpora(spark) if entries is None else entries
-    answered = evidence.answers(base.withColumn("composition_key", F.col("facts.key")), KEY, "composition_key", sources, entries)
+    answered = cut(evidence.answers(base.withColumn("composition_key", F.col("facts.key")), KEY, "composition_key", sources, entries))
     tiered = evidence.tiers(answered, KEY)
     if sources.isEmpty():
         tiered = base.where(F.col("facts.key").isNotNull()).select(KEY, F.lit("unknown").alias("tier"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("supporters"), F.lit(1).alias("n_unavailable"))

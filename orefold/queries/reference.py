@@ -541,8 +541,8 @@ def address_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def proposal_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(tune(spark), folder, "proposals", NO, "proposal_id", "composition", "structure", "claimed_properties", "synthesis_hint", "generator_confidence")
-    doc = F.to_json(F.struct("proposal_id", "composition", "structure", "claimed_properties", "synthesis_hint", "generator_confidence"))
-    docs = p.select(F.lpad(F.col(NO).cast("string"), 12, "0").alias("key"), doc.alias("doc"), "proposal_id", tx.sha256(doc).alias("candidate_key"))
+    columns = ("composition", "structure", "claimed_properties", "synthesis_hint", "generator_confidence")
+    p = table(tune(spark), folder, "proposals", NO, "proposal_id", *columns)
+    docs = p.select(F.lpad(F.col(NO).cast("string"), 12, "0").alias("key"), "proposal_id", F.concat(F.lit("proposal "), F.col(NO).cast("string")).alias("candidate_key"), *columns)
     v = verification.check(docs, DEFAULTS).verdicts
     return v.select(F.col("key").cast("bigint").alias(NO), "status", F.round("reward", 6).alias("reward"), "tier", "feasibility", "n_findings")

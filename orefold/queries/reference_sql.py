@@ -270,5 +270,5 @@ SQL: dict[str, str] = {
     "length_rederivation_mismatch": "SELECT doc_id, n_chars, CAST(length(text) AS BIGINT) AS derived FROM documents WHERE NOT coalesce(n_chars = length(text), n_chars IS NULL AND text IS NULL)",
     "ordering_violations": "SELECT finding_id FROM (SELECT finding_id, recorded_at, lag(recorded_at) OVER (ORDER BY finding_id) AS p FROM violations WHERE recorded_at IS NOT NULL) WHERE p > recorded_at",
     "required_phases_missing": "SELECT phase FROM (VALUES ('parse'), ('schema'), ('composition'), ('structure'), ('novelty'), ('feasibility'), ('claims'), ('route'), ('meta')) r(phase) WHERE phase NOT IN (SELECT phase FROM taxonomy_codes WHERE gate)",
-    "address_findings": r"SELECT batch_no, 'payload' AS column FROM batch_files WHERE regexp_matches(payload, 'https?://|(^|\s)(/home/|/root/|/Users/|[A-Za-z]:\\)') UNION ALL SELECT batch_no, 'batch_id' FROM batch_files WHERE regexp_matches(batch_id, 'https?://|(^|\s)(/home/|/root/|/Users/|[A-Za-z]:\\)')",
+    "address_findings": r"SELECT batch_no, 'payload' AS column FROM batch_files WHERE regexp_matches(payload, 'https?://|(^|[\s\x22''=(])(/home/|/root/|/Users/|[A-Za-z]:\\)') UNION ALL SELECT batch_no, 'batch_id' FROM batch_files WHERE regexp_matches(batch_id, 'https?://|(^|[\s\x22''=(])(/home/|/root/|/Users/|[A-Za-z]:\\)')",
 }
