@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefold.session import exists
+
 
 def pooled(findings: DataFrame, run: str, n_records: int) -> DataFrame:
     """(code, json_pointer, total_findings, runs_present_in, per_100): over all runs, per 100 records."""
@@ -67,11 +69,7 @@ def hits(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 def recompute(wanted: DataFrame, folder: str, key: str, compute) -> DataFrame:
     """Results of wanted: those stored under their content key, and the others computed and appended."""
     spark = wanted.sparkSession
-    try:
-        stored = spark.read.parquet(folder)
-        todo = misses(wanted, stored, key)
-    except Exception:  # noqa: BLE001  the folder does not exist before the first run
-        todo = wanted
+    todo = misses(wanted, spark.read.parquet(folder), key) if exists(spark, folder) else wanted
     compute(todo).write.mode("append").parquet(folder)
     return spark.read.parquet(folder).join(wanted.select(key).distinct(), key, "left_semi")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orefold.reference import wording
 from orefold.reference.taxonomy import ADVICE
@@ -18,29 +19,39 @@ def code_by_field(findings: DataFrame) -> DataFrame:
     return f.groupingSets([[c], [p], [c, p]], c, p).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Distinct values that one task sorts; more are narrowed down first.
+SORTED = 100_000
+
+
 def upper_median(values: DataFrame, value: str, *, margin: float = 1 / 2000) -> DataFrame:
     """One row: n, mean, min, max, p50 of the non-null values; p50 is the element at n/2 of the sorted values.
 
-    A quantile sketch brackets the element with a margin of five times its error bound; only the distinct
-    values inside the bracket are sorted, and those below it are counted, so the element is exact. The mean
-    is summed as a decimal, so it does not depend on the order of the rows. No values give nulls and n 0."""
-    v = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    While more than SORTED distinct values may hold the element, a quantile sketch of them brackets it with a
+    margin of five times the sketch's error, and the values below the bracket are counted; only what is left is
+    sorted, so the element is exact. The mean is summed as a decimal, so it does not depend on the order of the
+    rows. No values give nulls and n 0."""
+    spark, kind = values.sparkSession, values.schema[value].dataType
     rows = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    total = rows.agg(
-        F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v").cast("decimal(26,12)")).alias("s"),
-        F.percentile_approx("v", [0.5 - margin, 0.5 + margin], 10_000).alias("q"),
-    )
-    known = F.broadcast(total.select("n", "q"))
-    low = F.when(F.col("n") > 10_000, F.col("q")[0])
-    high = F.when(F.col("n") > 10_000, F.col("q")[1])
-    inside = v.join(known).withColumn("in", F.coalesce(F.col("v").between(low, high), F.lit(True)))
-    under = inside.agg(F.coalesce(F.sum(F.when(~F.col("in"), F.when(F.col("v") < low, F.col("c")))), F.lit(0)).alias("under"))
-    few = inside.where("in").join(F.broadcast(under))
-    run = few.withColumn("below", F.col("under") + F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    half = F.floor(F.col("n") / 2)
-    at = run.where((F.col("below") <= half) & (half < F.col("below") + F.col("c"))).select(F.col("v").alias("p50"))
-    out = total.join(F.broadcast(at), how="left")
-    return out.select("n", (F.col("s").cast("double") / F.col("n")).alias("mean"), "min", "max", "p50")
+    s = rows.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("v").cast("decimal(26,12)")).cast("double").alias("s")).first()
+    mean, found = (s["s"] / s["n"] if s["n"] else None), None
+    if s["n"]:
+        low, high, under, at = s["low"], s["high"], 0, s["n"] // 2
+        while True:
+            inside = rows.where(F.col("v").between(low, high))
+            counted = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+            size = counted.agg(F.count("v").alias("m"), F.sum("c").alias("r")).first()
+            if size["m"] <= SORTED:
+                break
+            p = (at - under) / size["r"]
+            a, z = inside.agg(F.percentile_approx("v", [max(0.0, p - margin), min(1.0, p + margin)], 10_000)).first()[0]
+            below, within = inside.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, z))).first()
+            if (a, z) == (low, high) or not under + below <= at < under + below + within:
+                break
+            low, high, under = a, z, under + below
+        run = counted.withColumn("below", F.lit(under) + F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        found = run.where((F.col("below") <= at) & (F.lit(at) < F.col("below") + F.col("c"))).first()["v"]
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), *[T.StructField(c, kind) for c in ("min", "max", "p50")]])
+    return spark.createDataFrame([(s["n"], mean, s["low"], s["high"], found)], schema)
 
 
 def calibration_outcomes(confidences: DataFrame, findings: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from orefold.operators import admission, claims_audit, composition, crossrun, ev
 from orefold.reference.config import digest, resolve
 from orefold.reference.taxonomy import TAXONOMY_VERSION
 from orefold.schemas import PROPOSAL
-from orefold.session import cut
+from orefold.session import cut, exists
 from orefold.sources import envelopes as env
 
 KEY = "key"
@@ -154,11 +154,16 @@ class Options:
     clock: Callable[[], float] = time.monotonic
 
 
-def check_batches(batches: DataFrame, config: dict, options: Options | None = None) -> tuple[Checked | None, DataFrame, DataFrame]:
+def check_batches(batches: DataFrame, config: dict, options: Options | None = None, seen: DataFrame | None = None) -> tuple[Checked | None, DataFrame, DataFrame]:
     """(checked, admitted, all proposals with their decision) of parsed envelopes; checked is None if none is
-    admitted. Rejected envelopes take no part. Records left out by a time budget have the decision unprocessed."""
+    admitted. Rejected envelopes take no part. Records left out by a time budget have the decision unprocessed; those
+    whose proposal_id stands in seen are duplicates."""
     options = options or Options()
-    rows = cut(admission.admit(env.proposals_of(batches), "proposal_id", ["path", "pos"], F.size("issues") == 0))
+    rows = admission.admit(env.proposals_of(batches), "proposal_id", ["path", "pos"], F.size("issues") == 0)
+    if seen is not None:
+        told = seen.select("proposal_id").distinct().withColumn("_seen", F.lit(True))
+        rows = rows.join(told, "proposal_id", "left").withColumn("decision", F.when(F.col("_seen") & (F.col("decision") == "admitted"), "duplicate").otherwise(F.col("decision"))).drop("_seen")
+    rows = cut(rows)
     docs = rows.where(F.col("decision") == "admitted").drop("decision", "issues")
     if docs.isEmpty():
         return None, docs, rows
@@ -238,8 +243,7 @@ def cached(docs: DataFrame, config: dict, folder: str, *, units: DataFrame | Non
 
 def _marks(spark: SparkSession, folder: str) -> list[str]:
     """The complete writes of a store, one for each run that found something new; none where there is no store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/complete")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, f"{folder}/complete"):
         return []
     return sorted(r["mark"] for r in spark.read.parquet(f"{folder}/complete").collect())
 

@@ -70,6 +70,12 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         remove(spark, folder)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a path is there, on whatever file system it lies; other errors are raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -228,3 +228,12 @@ def test_config(tmp_path):
     c = resolve(str(p), evidence={"only": ["mineral_reference"]})
     assert c["routes"] == {"max_routes": 3, "low_force": 0.1} and c["evidence"]["only"] == ["mineral_reference"]
     assert redact(c)["api_key"] == "[redacted]" and digest(c) != digest(resolve()) and merge({"a": 1}, {"b": 2}) == {"a": 1, "b": 2}
+
+
+def test_a_median_of_many_values_is_narrowed_down(spark, monkeypatch):
+    monkeypatch.setattr(summarize, "SORTED", 50)
+    v = spark.range(40_001).selectExpr("double(pmod(xxhash64(id), 1000003)) AS x")
+    want = sorted(r.x for r in v.collect())[40_001 // 2]
+    assert summarize.upper_median(v, "x", margin=1 / 200).first().p50 == want
+    same = spark.range(1000).selectExpr("double(id % 2) AS x")
+    assert summarize.upper_median(same, "x").first().p50 == 1.0

@@ -99,4 +99,6 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     write(tmp_path / "in", "b.json", SECOND)
     watch.verify_stream(spark, src, sink)
     v = spark.read.parquet(f"{sink}/verdicts")
-    assert v.count() == n + 3 and v.select("micro_batch").distinct().count() == 2
+    assert v.count() == n + 2 and v.select("micro_batch").distinct().count() == 2
+    refused = {(r.key, r.decision, r.micro_batch) for r in spark.read.parquet(f"{sink}/refused").collect()}
+    assert ("b.json#000000", "duplicate", 1) in refused and v.groupBy("proposal_id").count().where("count > 1").count() == 0
