@@ -51,12 +51,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_distinct, p6_found, p7_ids, p8_found, p8_cleaned, p9_found, p9_levels)}
-SQL: dict[str, str] = {
-    "p2_found": r"""WITH t AS (SELECT entry_id, x.fullkey, x.type, x.atom FROM corpus_entries c, json_tree(c.entry_text) x WHERE c.entry_text IS NOT NULL),
+_FORMS = r"""WITH t AS (SELECT entry_id, x.fullkey, x.type, x.atom FROM corpus_entries c, json_tree(c.entry_text) x WHERE c.entry_text IS NOT NULL),
       n AS (SELECT entry_id, regexp_replace(lower(fullkey), '[^\p{L}\p{N}.]+', '', 'g') AS k, CASE WHEN type = 'VARCHAR' THEN 's' || regexp_replace(regexp_replace(regexp_replace(lower(atom->>'$'), '([0-9])\.([0-9])', '\1ţ\2', 'g'), '([0-9])\.([0-9])', '\1ţ\2', 'g'), '[^\p{L}\p{N}]+', '', 'g')
         WHEN type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'n' || CAST(CAST(CAST(atom AS VARCHAR) AS DOUBLE) AS VARCHAR) WHEN type = 'OBJECT' THEN 'o' ELSE type || coalesce(CAST(atom AS VARCHAR), '') END AS v FROM t),
-      g AS (SELECT entry_id, string_agg(k || '=' || v, '|' ORDER BY k, v) AS form FROM n GROUP BY 1), m AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY form) AS keep_id FROM g)
-      SELECT keep_id, entry_id AS copy_id FROM m WHERE keep_id <> entry_id""",
+      g AS (SELECT entry_id, string_agg(k || '=' || v, '|' ORDER BY k, v) AS form FROM n GROUP BY 1)"""
+SQL: dict[str, str] = {
+    "p2_found": _FORMS + ", m AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY form) AS keep_id FROM g) SELECT keep_id, entry_id AS copy_id FROM m WHERE keep_id <> entry_id",
+    "p2_distinct": _FORMS + " SELECT min(entry_id) AS keep_id, count(*) AS copies FROM g GROUP BY form",
     "p8_found": r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL), ig AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 8)) AS s FROM i)),
       d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), dg AS (SELECT doc_id, array_to_string(w[s:s + 9], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 8)) AS s FROM d))
       SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
