@@ -18,6 +18,11 @@ def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
     return drift.unify(table(tune(spark), folder, "run_files", "row_no", "producer", "file_seq", "payload"), "row_no", "payload")
 
 
+def p1_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of p1_runs alone."""
+    return p1_runs(spark, folder).drop("others")
+
+
 def p1_casts(spark: SparkSession, folder: str) -> DataFrame:
     return drift.cast_table(table(tune(spark), folder, "run_files", "producer", "file_seq", "payload"))
 
@@ -56,7 +61,7 @@ def p5_common(spark: SparkSession, folder: str) -> DataFrame:
     return unify_units.common_units(table(tune(spark), folder, "proposals", *cols), "proposal_no")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_casts, p3_found, p3_loaded, p4_found, p4_proposals, p4_nodes, p5_found, p5_common)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_columns, p1_casts, p3_found, p3_loaded, p4_found, p4_proposals, p4_nodes, p5_found, p5_common)}
 _NUMBER = r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *\z"
 _FIELDS = r"""SELECT line_id, raw_line, regexp_extract_all(',' || raw_line, ',("[^"]*(?:""[^"]*)*"|[^",]*)', 1) AS f FROM claim_lines"""
 
@@ -91,6 +96,9 @@ SQL: dict[str, str] = {
       UNION ALL SELECT producer, file_seq, 'removed', path, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.producer = g.producer AND r.file_seq = g.file_seq AND r.old_path = g.path)
       UNION ALL SELECT producer, file_seq, 'added', '', path FROM come c WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.producer = c.producer AND r.file_seq = c.file_seq AND r.new_path = c.path)
       UNION ALL SELECT producer, file_seq, 'retyped', path, path FROM j WHERE a <> b""",
+    "p1_columns": f"""WITH leaf AS (SELECT row_no, replace(substring(t.fullkey, 3), '"', '') AS path, CASE t.type WHEN 'VARCHAR' THEN t.atom->>'$' ELSE replace(CAST(t.value AS VARCHAR), ' ', '') END AS v FROM run_files r, json_tree(r.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%'),
+      f AS (SELECT *, regexp_replace(lower(path), '[^a-z0-9.]', '', 'g') AS fold FROM leaf), g AS (SELECT *, list_extract(string_split(fold, '.'), -1) AS step FROM f), c AS (SELECT *, CASE {' '.join(_alias_case(name, paths) for name, _, paths in drift.ALIASES)} END AS col FROM g)
+      SELECT r.row_no, {', '.join(f"TRY_CAST(arg_min(v, path) FILTER (col = '{n}') AS {'VARCHAR' if k == 'string' else k.upper()}) AS {n}" for n, k, _ in drift.ALIASES)} FROM run_files r LEFT JOIN c USING (row_no) GROUP BY 1""",
     "p1_casts": f"""WITH leaf AS (SELECT DISTINCT producer, file_seq, replace(substring(t.fullkey, 3), '"', '') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind FROM run_files r, json_tree(r.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%'),
       files AS (SELECT producer, file_seq, row_number() OVER (PARTITION BY producer ORDER BY file_seq) AS r FROM (SELECT DISTINCT producer, file_seq FROM run_files)), n AS (SELECT *, r - row_number() OVER (PARTITION BY producer, path, kind ORDER BY r) AS island FROM leaf JOIN files USING (producer, file_seq)),
       spans AS (SELECT producer, path, kind, min(file_seq) AS first_seq, max(file_seq) AS last_seq FROM n GROUP BY producer, path, kind, island), f AS (SELECT *, regexp_replace(lower(path), '[^a-z0-9.]', '', 'g') AS fold FROM spans), g AS (SELECT *, list_extract(string_split(fold, '.'), -1) AS step FROM f),
