@@ -33,13 +33,15 @@ def dictionary_join(
     total: int,
     n: str = "n",
     keep: Column | None = None,
+    whole: bool = True,
 ) -> DataFrame:
     """Left join of rows to a dictionary with unique keys, in one pass over the rows.
 
     dictionary[n] is the number of rows of its key and total the number of all rows. The at most HOT_SHARE
     keys that hold 1/HOT_SHARE of the rows are broadcast (bounded by HOT_SHARE * HOT_BYTES), and their rows
     are spread over the shuffle by the column spread; all other keys meet in a shuffled join, where no key
-    is hot any more. A dictionary whose measured size is small is broadcast as a whole, without any shuffle;
+    is hot any more. A dictionary whose measured size is small is broadcast as a whole, without any shuffle,
+    unless whole says that it grows with the data and is better left in the shuffle from the start;
     where all entries are hot, or none is, the other join is left out. keep restricts the shuffled part of
     the dictionary to the entries of interest; other rows keep nulls. Rows with a null key match nothing. The
     dictionary's n is not returned.
@@ -55,7 +57,7 @@ def dictionary_join(
         simple = entries.schema[a].dataType.typeName() not in ("struct", "array", "map", "binary")
         width = width + F.coalesce(F.octet_length(F.col(a).cast("string") if simple else F.to_json(F.struct(a))), F.lit(0))
     size = entries.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), F.count_if(is_hot).alias("hot")).first()
-    small = size["rows"] <= SMALL_ROWS and size["bytes"] <= SMALL_BYTES
+    small = whole and size["rows"] <= SMALL_ROWS and size["bytes"] <= SMALL_BYTES
     mine = lambda side, c: f"_of_{side}_{c}"
     pick = lambda df, side: df.select(*[F.col(k).alias(mine(side, f"key{i}")) for i, k in enumerate(keys)], *[F.col(a).alias(mine(side, a)) for a in attrs], F.lit(True).alias(mine(side, "there")))
     hot, rest = (entries, entries.limit(0)) if small else (entries.where(is_hot), entries.where(~is_hot))
