@@ -266,7 +266,7 @@ def repeats(df: DataFrame, id_col: str, key: str, message: str, fp: str, *, hist
         classes = first.where(F.col("n") > 1).select(F.col("id").alias("rep"), "n", mark.alias("c"))
         classes = classes.join(found.select(F.col("new_id").alias("rep"), F.col("old_id").alias("old")), "rep", "left").select("c", "n", F.coalesce("old", "rep").alias("old_id"))
         members = base.select(F.col("id").alias("new_id"), mark.alias("c"))
-        copies = dictionary_join(members, classes, ["c"], spread=F.col("new_id"), total=base.count())
+        copies = dictionary_join(members, classes, ["c"], spread=F.col("new_id"), total=base.count(), whole=False)
         copies = copies.where(F.col("old_id").isNotNull() & (F.col("old_id") != F.col("new_id"))).select("old_id", "new_id")
         return cut(found.select("old_id", "new_id").unionByName(copies).distinct())
 
@@ -280,14 +280,14 @@ def _met(posted: DataFrame, rows: DataFrame, history: Shards | None, weights: by
         known = known.unionByName(history.rows.join(asked.select("id").distinct(), "id", "left_semi"))
     shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("held", F.col("n"))
     total = posted.count() + (0 if history is None else asked.count())
-    met = dictionary_join(met, shared, ["h"], spread=F.col("id"), total=total, keep=F.col("n") > 1).where(F.col("held") > 1).withColumnRenamed("held", "n")
+    met = dictionary_join(met, shared, ["h"], spread=F.col("id"), total=total, keep=F.col("n") > 1, whole=False).where(F.col("held") > 1).withColumnRenamed("held", "n")
     met = stored(met.join(known, "id").select("h", "id", "k", "f", "form", "asks", "n"), f"{work}/met")
     hot = met.where(F.col("n") > PAIR_ROWS)
     if hot.isEmpty():
         return met
     pairs = stored(paired(hot.drop("n"), weights), f"{work}/pairs")
     shared = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("held", F.col("n"))
-    pairs = dictionary_join(pairs, shared, ["h"], spread=F.col("id"), total=pairs.count(), keep=F.col("n") > 1).where(F.col("held") > 1).withColumnRenamed("held", "n")
+    pairs = dictionary_join(pairs, shared, ["h"], spread=F.col("id"), total=pairs.count(), keep=F.col("n") > 1, whole=False).where(F.col("held") > 1).withColumnRenamed("held", "n")
     return met.where(F.col("n") <= PAIR_ROWS).unionByName(stored(pairs, f"{work}/paired"))
 
 
