@@ -37,9 +37,11 @@ def redact(value: object, name: str = "") -> object:
 
 
 def unknown(config: dict, known: dict, path: str = "") -> list[str]:
-    """Dotted names of settings that the defaults do not have."""
+    """Dotted names of settings that the defaults do not have; credentials may stand anywhere, they are redacted."""
     out = []
     for k, v in config.items():
+        if k not in known and SECRET.search(k):
+            continue
         if k not in known:
             out.append(f"{path}{k}")
         elif isinstance(v, dict) and isinstance(known[k], dict):
